@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, jaccard_join, packing
 from .shared import table
 
 
@@ -14,7 +14,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup, op9_jaccard_join)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
