@@ -132,8 +132,8 @@ def frequencies(texts: DataFrame, width: int = WIDTH, bins: int = BINS) -> tuple
     block = min(bins, BLOCK)
     schema = "block int, part int, counts binary"
     rows = texts.select("text").mapInArrow(_binned(width, bins, block), schema)
-    rows = rows.repartition(16 * (bins // block), "block", "part").mapInArrow(_summed(block), schema)
-    rows = rows.repartition(bins // block, "block").mapInArrow(_summed(block), schema).collect()  # bins // block + 1 blobs
+    rows = rows.repartition("block", "part").mapInArrow(_summed(block), schema)
+    rows = rows.repartition("block").mapInArrow(_summed(block), schema).collect()  # bins // block + 1 blobs
     counts, sizes = np.zeros(bins, np.uint32), np.zeros(4 * LIGHT, np.uint32)
     for r in rows:
         if r["block"] == _SIZES:

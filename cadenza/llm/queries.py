@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing
+from . import exact_dedup, jaccard_join, language, packing, pii
 from .shared import table
 
 
@@ -10,6 +10,14 @@ def op1_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digested(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -18,7 +26,7 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_exact_dedup, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_language_id, op7_exact_dedup, op9_jaccard_join)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
