@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pii
+from . import exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality
 from .shared import table
 
 
@@ -22,11 +22,19 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_language_id, op7_exact_dedup, op9_jaccard_join)}
+def op10_quality(spark, sf_dir):
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_language_id, op7_exact_dedup, op8_fingerprints, op9_jaccard_join, op10_quality)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
