@@ -98,7 +98,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
             run = hashes[first[rows]]
             for i in range(1, k):
                 run = run * _C1 + hashes[first[rows] + i]
-            out[limits[rows]] = mix(run + _U(k) * _C3)
+            out[limits[rows]] = mix(run + _U(k * int(_C3) & (1 << 64) - 1))
     return out, limits
 
 
