@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cadenza.plans import records, series
 
+QUERIES: dict = {**series.QUERIES, **records.QUERIES}
+ORACLES: dict = {**series.ORACLES, **records.ORACLES}
 
-def flagship(spark, sf_dir):
-    return QUERIES["alignment_report"](spark, sf_dir)
+flagship = series.alignment_report
