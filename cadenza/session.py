@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _HERE = Path(__file__).resolve().parent
+#: Bytes of an Arrow batch that goes to or from a Python worker; Spark's own default lets two workers outgrow an executor of 3 GB on long texts.
+BATCH_BYTES = 8 << 20
 
 
 def session(name: str = "cadenza", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,8 +26,13 @@ def session(name: str = "cadenza", master: str | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers: nothing to do where PYTHONPATH leads to it, else it is added once to the session's files."""
-    context = spark.sparkContext
+    """Before Python workers are used: limits their Arrow batches, where the session has Spark's default, and makes this package importable there.
+
+    Nothing is to be done for the latter where PYTHONPATH leads to it, else the package is added once to the session's files.
+    """
+    context, limit = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(limit, str(BATCH_BYTES))
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(_HERE.parent) in paths or getattr(context, "_cadenza_shipped", False):
         return

@@ -62,9 +62,9 @@ def file_url(path: Column) -> Column:
 def track_xml(sessions: DataFrame, key: str) -> DataFrame:
     """key and xml: a track's element with its grid's anchor and its cues as marks."""
     attribute = lambda name, c: F.concat(F.lit(f' {name}="'), escaped(c.cast("string")), F.lit('"'))
-    numbered = F.transform("cues", lambda c, i: F.concat(F.lit("<POSITION_MARK"), attribute("Name", c["name"]), F.lit(' Type="0"'), attribute("Start", F.format_number(c["time"], "0.000")), attribute("Num", F.when((c["kind"] != "end") & (i < 8), i).otherwise(F.lit(-1))), F.lit("/>")))
-    head = F.concat(F.lit("<TRACK"), attribute("TrackID", F.xxhash64(key).cast("string")), attribute("Name", F.col(key)), attribute("Location", file_url(F.col("file"))), attribute("AverageBpm", F.format_number("bpm", "0.00")), attribute("TotalTime", F.rint("duration").cast("long")), attribute("Tonality", F.col("camelot")), F.lit(">"))
-    grid = F.concat(F.lit("<TEMPO"), attribute("Inizio", F.format_number("first_downbeat_sec", "0.000")), attribute("Bpm", F.format_number("bpm", "0.00")), F.lit(' Metro="4/4" Battito="1"/>'))
+    numbered = F.transform("cues", lambda c, i: F.concat(F.lit("<POSITION_MARK"), attribute("Name", c["name"]), F.lit(' Type="0"'), attribute("Start", F.format_string("%.3f", c["time"])), attribute("Num", F.when((c["kind"] != "end") & (i < 8), i).otherwise(F.lit(-1))), F.lit("/>")))
+    head = F.concat(F.lit("<TRACK"), attribute("TrackID", F.xxhash64(key).cast("string")), attribute("Name", F.col(key)), attribute("Location", file_url(F.col("file"))), attribute("AverageBpm", F.format_string("%.2f", F.col("bpm"))), attribute("TotalTime", F.rint("duration").cast("long")), attribute("Tonality", F.col("camelot")), F.lit(">"))
+    grid = F.concat(F.lit("<TEMPO"), attribute("Inizio", F.format_string("%.3f", F.col("first_downbeat_sec"))), attribute("Bpm", F.format_string("%.2f", F.col("bpm"))), F.lit(' Metro="4/4" Battito="1"/>'))
     return sessions.select(key, F.concat(head, grid, F.array_join(numbered, ""), F.lit("</TRACK>")).alias("xml"))
 
 

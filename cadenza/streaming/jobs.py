@@ -29,7 +29,7 @@ def job_events(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
 
 
 def phase_times(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """How long each phase of a job took, emitted when the next one begins or the job ends. State: the running phase and its start; it goes with the end or after an hour without events."""
+    """How long each phase of a job took, emitted when the next one begins or the job ends. State: the running phase and its start; it goes with the job's end, or when the watermark is an hour past its last event."""
     ship(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,10 +37,11 @@ def phase_times(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             state.remove()
             return
         phase, since = state.get if state.exists else (None, None)
+        last = 0.0
         out = []
         rows = pd.concat(list(batches)).sort_values("seq")
         for kind, name, at in zip(rows["type"], rows["phase"], rows["at"], strict=True):
-            now = at.timestamp()
+            now = last = at.timestamp()
             end = kind in TERMINAL
             if phase is not None and (end or name != phase):
                 out.append((key[0], phase, now - since, end))
@@ -53,11 +54,11 @@ def phase_times(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             state.remove()
         else:
             state.update((phase, since))
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(int(last * 1000) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["job_id", "phase", "seconds", "done"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, PHASES, "phase string, since double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, PHASES, "phase string, since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_counts(events: DataFrame, window: str = "5 minutes") -> DataFrame:
