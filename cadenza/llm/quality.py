@@ -100,7 +100,8 @@ class Machine:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], epochs: int = 12, batch: int = 128, rate: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> None:
         """rows: (bins, values, statistics, label). Adam on the logistic loss."""
-        if not rows:
+        if not rows:  # nothing is known: every score is 0.5
+            self.factors[:] = 0.0
             return
         stats, y = np.stack([r[2] for r in rows]), np.array([r[3] for r in rows])
         self.mean, self.spread = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6)
