@@ -14,7 +14,7 @@ import xxhash
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Bytes of text that are worked on at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
 

@@ -8,15 +8,21 @@ threshold, and the result gives the component of each document under these links
 2. Boundary: from the sizes, the cost of enumerating the subsets of light sets is set against scanning inverted lists.
 3. Signatures: a light set of n gives, for each size m that a partner may have and that is light too, its subsets of as many
    shingles as a linked pair must share; two sets of these sizes that share a subset link, so nothing is verified. A heavy set
-   (or a light one that may link to a heavy one) goes to the inverted lists of its rarest shingles: n - ceil(t n) + 1 of them,
-   which no linked pair can both miss. Equal sets of a task are represented by the first of them.
-4. Lists: the smallest document of a list is its hub. Members are verified against hubs, so a list of copies costs its length,
-   not its square. Components of these links follow.
-5. Rest: in lists that still hold several components, members outside of the largest component are verified against those of
-   other components, unless sizes or positions rule it out. After that every pair that shares a list is verified or connected.
-
-Lists and hubs are aggregated before they are shuffled, nothing but bins is collected (a fixed size), and tables go through the
-shared folder.
+   (or a light one that may link to a heavy one) goes to the inverted lists of its rarest shingles: n - ceil(t n) + s(n) of
+   them with s(n) = 1 + n // 16, so that a linked pair shares at least min(s(n), s(m)) lists. Equal sets of a task are
+   represented by the first of them.
+4. Hubs: each set's few smallest hashes say which sets are probably alike. The smallest document that has such a hash is its hub,
+   and each document is verified against the two hubs it meets most: a family of copies costs its size, not its square.
+   Components of these links follow.
+5. Lists: an inverted list matters only if it holds several components. Lists are aggregated to their smallest and
+   largest component, so a family's members are one row for each task. Of the lists that hold several, documents in too few of
+   them to be linked outside of their component fall away. For the rest, one member of each component and list is
+   verified against the ones of the list's smallest component that it meets most, until that links nothing more; then pairs in
+   different components are counted over their lists, and those that share enough lists are verified. After that every pair
+   that can be linked is verified or connected, so no link is missed.
+
+Lists and hubs are aggregated before they are shuffled; texts are read again for verifying, and a hub's set is built once for all
+that are held against it. Nothing but bins is collected (a fixed size), and tables go through the shared folder.
 
 Null and empty texts, and texts of white space, have empty sets and link with nothing: their component is their own doc_id.
 Fewer words than a shingle are one shingle. Very long texts are read whole. Rows with one doc_id are one node. Rows without
@@ -33,14 +39,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.session import ship
 
 from .arrays import mix, shingle_sets
 from .components import components
-from .shared import small, stored
+from .shared import discard, small, stored
 
 WIDTH = 5
 #: The threshold as a fraction: 75 of 100.
@@ -50,6 +56,12 @@ BINS = 1 << 22
 BLOCK = 1 << 18
 #: Light sets have at most so many shingles.
 LIGHT = 8
+#: A set of n goes to n // SHARE more lists than one shared list would take.
+SHARE = 16
+#: Rounds of verifying components against heads, at most; what they leave is counted pair by pair.
+ROUNDS = 4
+#: Smallest hashes of a set that look for its hub, and hubs that it is verified against.
+SKETCH, HUBS = 6, 2
 #: Block that holds the counts of set sizes.
 _SIZES = -1
 #: Equal sets that a task remembers.
@@ -65,6 +77,11 @@ def overlap(a: int, b: int, t: tuple[int, int] = THRESHOLD) -> int:
     return -(-t[0] * (a + b) // (t[0] + t[1]))
 
 
+def shared_lists(n: int) -> int:
+    """Of two linked sets, the smaller one's value of this is the fewest lists that they share."""
+    return 1 + n // SHARE
+
+
 def _binned(width: int, bins: int, block: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sizes = np.zeros(bins, np.uint32), np.zeros(4 * LIGHT, np.uint32)
@@ -142,7 +159,7 @@ def frequencies(texts: DataFrame, width: int = WIDTH, bins: int = BINS) -> tuple
             counts[r["block"] * block : (r["block"] + 1) * block] = _unpacked(r["counts"], block)
     mean = max(1.0, float(counts.sum(dtype=np.float64)) / bins)
     spread = mean + 3 * mean**0.5
-    return np.clip(np.ceil(8 * np.log2(np.maximum(counts, 1) / spread)), 0, 255).astype(np.uint8), sizes
+    return np.clip(np.ceil(8 * np.log2(np.maximum(counts, 1) / spread)), 0, 127).astype(np.uint8), sizes
 
 
 def subsets_of(n: int, light: int, t: tuple[int, int] = THRESHOLD) -> int:
@@ -156,18 +173,19 @@ def boundary(sizes: np.ndarray, t: tuple[int, int] = THRESHOLD) -> int:
     def cost(light: int) -> float:
         total = 0.0
         for n in range(1, len(sizes)):
-            lists = (n - ceil_part(n, t) + 1) + 2.0 * n  # entries, and what verifying reads
+            lists = (n - ceil_part(n, t) + shared_lists(n)) + 2.0 * n  # entries, and what verifying reads
             total += int(sizes[n]) * ((subsets_of(n, light, t) if n <= light else 0) + (lists if n * t[1] // t[0] > light else 0))
         return total
 
     return min(range(LIGHT + 1), key=lambda k: (cost(k), k))
 
 
-def prefix(own: np.ndarray, levels: np.ndarray, t: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """The rarest shingles of a set, first those of rare bins, then by hash; levels is indexed by the top bits."""
+def prefix(own: np.ndarray, levels: np.ndarray, t: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, first those of rare bins, then by hash, and the place of the last of them in that order; levels is indexed by the top bits."""
     shift = np.uint64(64 - len(levels).bit_length() + 1)
-    order = np.argsort(levels[(own >> shift).astype(np.int64)], kind="stable")
-    return own[order[: len(own) - ceil_part(len(own), t) + 1]]
+    level = levels[(own >> shift).astype(np.int64)]
+    order = np.argsort(level, kind="stable")[: len(own) - ceil_part(len(own), t) + shared_lists(len(own))]
+    return own[order], (int(level[order[-1]]) << 56) + (int(own[order[-1]]) >> 8)
 
 
 def subsets(own: np.ndarray, light: int, t: tuple[int, int] = THRESHOLD) -> tuple[list[int], list[bool]]:
@@ -190,7 +208,7 @@ def _signed(width: int, levels, light: int, t: tuple[int, int]):
         order = levels.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            size, first, lists, keys, low = [], [], [], [], []
+            size, first, lists, last, least, keys, low = [], [], [], [], [], [], []
             for doc, own in zip(ids, shingle_sets(batch.column(1), width), strict=True):
                 n = len(own)
                 size.append(n)
@@ -202,46 +220,52 @@ def _signed(width: int, levels, light: int, t: tuple[int, int]):
                     seen[mark] = doc
                 first.append(doc if known is None or doc is None else known)
                 new = doc is not None and n and known is None
-                lists.append(prefix(own, order, t).view(np.int64) if new and n * t[1] // t[0] > light else None)
+                rare, place = prefix(own, order, t) if new and n * t[1] // t[0] > light else (None, None)
+                lists.append(None if rare is None else rare.view(np.int64))
+                last.append(place)
+                least.append(own[:SKETCH].view(np.int64) if lists[-1] is not None else None)
                 k, s = subsets(own, light, t) if new and n <= light else (None, None)
                 keys.append(k)
                 low.append(s)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.bool_()))],
-                ["doc_id", "n", "first", "lists", "subsets", "lower"],
+                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(last, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.bool_()))],
+                ["doc_id", "n", "first", "lists", "last", "least", "subsets", "lower"],
             )
 
     return task
 
 
-def _sets(width: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in shingle_sets(batch.column(1), width)], pa.binary())], ["id", "own"])
-
-    return task
-
+def _verified(width: int, t: tuple[int, int]):
+    """Takes a, b and their texts, sorted by b; gives the pairs whose sets are similar enough."""
 
-def _verified(t: tuple[int, int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, text, own_b = None, None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
+            for k, (b, own_a) in enumerate(zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), width), strict=True)):
+                if b != hub or not batch.column(3)[k].equals(text):
+                    hub, text = b, batch.column(3)[k]
+                    (own_b,) = shingle_sets(batch.column(3).slice(k, 1), width)
+                both = np.concatenate([own_a, own_b])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(t[1] * common >= t[0] * (len(p) + len(q) - common))
+                keep.append(t[1] * common >= t[0] * (len(own_a) + len(own_b) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return task
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "own_a", "own_b").mapInArrow(_verified(t), "a long, b long")
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
+    """Those of the stored pairs (a, b) whose texts' sets are similar enough. Texts of a are shuffled to b, once for each pair."""
+    hubs = small(stored(pairs.select(F.col("b").alias("hub")).distinct(), "join-hubs"))
+    a = texts.join(small(pairs), texts["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
+    b = texts.join(hubs, texts["doc_id"] == hubs["hub"], "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return a.join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, t), "a long, b long")
+
+
+def _part_of(rows: DataFrame, parts: DataFrame, column: str = "id") -> DataFrame:
+    """rows with the component of their document; a document without links is its own."""
+    return rows.join(small(parts), F.col(column) == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", column))
 
 
 def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD, bins: int = BINS) -> DataFrame:
@@ -249,40 +273,99 @@ def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD,
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = texts.where("doc_id is not null")
     found, sizes = frequencies(texts, width, bins)
     light, levels = boundary(sizes, t), spark.sparkContext.broadcast(found)
-    signs = stored(texts.mapInArrow(_signed(width, levels, light, t), "doc_id long, n long, first long, lists array<long>, subsets array<long>, lower array<boolean>"), "join-signs")
+    signs = stored(texts.mapInArrow(_signed(width, levels, light, t), "doc_id long, n long, first long, lists array<long>, last long, least array<long>, subsets array<long>, lower array<boolean>"), "join-signs")
+    rows = stored(signs.select("doc_id", "n", "first"), "join-rows")
 
     # light sets: all of a key's sets link to its smallest one of the smaller size
-    keys = signs.where("subsets is not null").select("doc_id", F.explode(F.arrays_zip("subsets", "lower")).alias("x")).select(F.col("doc_id").alias("id"), F.col("x.subsets").alias("key"), F.col("x.lower").alias("lower"))
+    keys = signs.where("subsets is not null").select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("subsets", "lower")).alias("x")).select("id", F.col("x.subsets").alias("key"), F.col("x.lower").alias("lower"))
     hub = keys.groupBy("key").agg(F.min(F.when(F.col("lower"), F.col("id"))).alias("hub"), F.min("id").alias("low"), F.max("id").alias("top")).where("hub is not null and low < top").select("key", "hub")
     links = keys.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = links.union(signs.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-
-    # heavy sets: lists of two and more
-    entries = signs.where("lists is not null").select(F.col("doc_id").alias("id"), "n", F.posexplode("lists").alias("pos", "key"))
-    heads = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    lists = stored(entries.join(small(stored(heads, "join-heads")), "key").select("key", "hub", "id", "n", "pos"), "join-lists")
-    pairs = lists.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = stored(pairs, "join-pairs")
-    members = stored(lists.select("id").distinct(), "join-members")
-    sets = stored(texts.where("doc_id is not null").join(small(members), texts["doc_id"] == members["id"], "left_semi").mapInArrow(_sets(width), "id long, own binary"), "join-sets")
-    links = stored(links.union(_linked(pairs, sets, t)), "join-links")
+    links = links.union(rows.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+
+    # heavy sets: against the hubs of their smallest hashes
+    least = signs.where("least is not null").select(F.col("doc_id").alias("id"), F.explode("least").alias("key"))
+    hub = least.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    met = least.join(hub, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c"))
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("c"), (-F.col("hub")).alias("hub"))), asc=False), 1, HUBS).alias("x"))  # at most SKETCH of them for an id
+    tried = stored(best.select(F.col("id").alias("a"), F.explode("x").alias("x")).select("a", (-F.col("x.hub")).alias("b")), "join-pairs")
+    links = stored(links.union(_linked(tried, known, width, t)), "join-links")
     parts = stored(components(links), "join-parts")
 
-    # what hubs have not shown: lists that still hold more than one component
-    named = lists.select("key", "id", "n", "pos").join(parts, lists["id"] == parts["node"], "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("part"))
-    split = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    rest = stored(named.join(small(stored(split, "join-split")), "key"), "join-rest")
-    major = rest.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "part")).alias("m")).select("key", F.col("m.part").alias("major"))
-    rest = rest.join(major, "key")
-    x = rest.where("part <> major").select("key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "part")))
-    y = rest.select("key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "part")), F.col("part").eqNullSafe(F.col("major")).alias("in_major"))
-    need = f"ceil({t[0]} * (n_x + n_y) / {t[0] + t[1]})"
-    close = x.join(y, "key").where("part_x <> part_y and (in_major or id_x < id_y)").where(f"{t[1]} * least(n_x, n_y) >= {t[0]} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) >= {need}")
-    more = close.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_linked(more, sets, t), "join-links")
-    if not more.isEmpty():
-        parts = stored(components(links.union(more)), "join-parts")
-    rows = signs.select("doc_id", "n")
-    return rows.join(parts, rows["doc_id"] == parts["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # inverted lists that hold several components
+    own = _part_of(signs.where("lists is not null").select(F.col("doc_id").alias("id"), "n", "last", "lists"), parts)
+    entries = own.select("id", "n", "last", "component", F.posexplode("lists").alias("pos", "key"))
+    rest = stored(entries.join(small(stored(_split(entries), "join-split")), "key").select("key", "id", "n", "last", "pos", "component"), "join-rest")
+    discard(signs)
+    for _ in range(ROUNDS):
+        rest = _pruned(rest, t)
+        if rest.isEmpty():
+            break
+        pairs = stored(_heads(rest).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+        more = stored(_linked(pairs, known, width, t), "join-links")
+        tried = tried.union(pairs)
+        if more.isEmpty():
+            break
+        links = stored(links.union(more), "join-links")
+        parts = stored(components(links), "join-parts")
+        rest = _part_of(rest.select("key", "id", "n", "last", "pos"), parts)
+    if not rest.isEmpty():
+        pairs = stored(_pairs_left(_pruned(rest, t), t).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+        if not pairs.isEmpty():
+            links = stored(links.union(_linked(pairs, known, width, t)), "join-links")
+            parts = stored(components(links), "join-parts")
+    return _part_of(rows.select("doc_id", F.col("n").alias("n_shingles")), parts, "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+def _split(entries: DataFrame) -> DataFrame:
+    """The keys of lists that hold several components."""
+    return entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("key")
+
+
+def _pruned(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Entries of lists that hold several components, of documents that are in enough of them to have a link there; twice over, since each step takes lists from the other."""
+    least = 1 + F.floor(F.ceil(F.col("n") * t[0] / t[1]) / SHARE)
+    for _ in range(2):
+        entries = entries.join(small(stored(_split(entries), "join-split")), "key")
+        enough = entries.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("id", "c")
+        entries = stored(entries.drop("c").join(small(stored(enough, "join-enough")), "id").select("key", "id", "n", "last", "pos", "component", "c"), "join-rest")
+    return entries
+
+
+def _heads(entries: DataFrame) -> DataFrame:
+    """Pairs (a > b): of each list and component one member, with those members of the lists' smallest components that it meets most."""
+    one = entries.groupBy("key", "component").agg(F.min("id").alias("id"))
+    low = one.groupBy("key").agg(F.min(F.struct("component", "id")).alias("m")).select("key", F.col("m.component").alias("low"), F.col("m.id").alias("head"))
+    met = one.join(low, "key").where("component > low").groupBy("id", "head").agg(F.count("*").alias("c"))
+    line = Window.partitionBy("id").orderBy(F.desc("c"), "head")  # at most as many rows as the document has lists
+    best = met.withColumn("k", F.row_number().over(line)).where(F.col("k") <= HUBS)
+    return best.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
+
+
+def _pairs_left(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a > b) in different components that share enough lists. In a list, the largest component's members meet the others only.
+
+    A linked pair shares o shingles at least, and so at least s lists that are among the first n - o + s of both sets. And of the
+    set whose lists end first in the order of shingles, all shared ones that are among its lists are lists of the other too,
+    so it has no more shared shingles than those beyond its lists and the c lists that hold several components.
+    """
+    lists = f"(n - ceil(n * {t[0]} / {t[1]}) + 1 + floor(n / {SHARE}))"
+    entries = entries.withColumn("most", F.expr(f"n - {lists} + c"))
+    counts = entries.groupBy("key", "component").agg(F.count("*").alias("c"))
+    major = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("major"))
+    entries = entries.join(major, "key")
+    x = entries.where("component <> major").select("key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "last", "most", "pos", "component")))
+    y = entries.select("key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "last", "most", "pos", "component")), (F.col("component") == F.col("major")).alias("in_major"))
+    most = f"case when last_x <= last_y then most_x else most_y end >= ceil({t[0]} * (n_x + n_y) / {t[0] + t[1]})"
+    beyond = f"ceil({t[0]} * (n_x + n_y) / {t[0] + t[1]}) - 1 - floor(least(n_x, n_y) / {SHARE})"
+    close = x.join(y, "key").where(f"component_x <> component_y and (in_major or id_x < id_y) and {t[1]} * least(n_x, n_y) >= {t[0]} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) > {beyond} and {most}")
+    met = close.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("n_x", "n_y")).alias("n"))
+    return met.where(F.col("c") >= 1 + F.floor(F.col("n") / SHARE)).select("a", "b")
+
+
+def kept_rows(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, or null, with all their columns."""
+    gone = stored(similar(docs, width, t).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
