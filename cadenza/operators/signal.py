@@ -109,8 +109,23 @@ def subsequence_cost(query: np.ndarray, target: np.ndarray) -> float:
     return float(np.min(total[-1] / steps[-1]))
 
 
-def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str) -> DataFrame:
-    """key, n, cost and score (1 less twice the cost) of each group's sequence of vectors against a reference sequence."""
+def pieces(rows: DataFrame, key: str, order: str, length: int) -> DataFrame:
+    """rows with piece: each key's rows in order, cut into round(rows / length) pieces (1 at least) whose lengths differ by 1 at most, so none is longer than 1.5 length."""
+    own, line = Window.partitionBy(key), Window.partitionBy(key).orderBy(order)
+    rows = rows.select("*", (F.row_number().over(line) - 1).alias("__i"), F.count("*").over(own).alias("__m"))
+    k = F.greatest(F.lit(1), F.bround(F.col("__m") / length).cast("int"))
+    rows = rows.withColumn("__short", F.floor(F.col("__m") / k)).withColumn("__longer", F.col("__m") % k)
+    ends = F.col("__longer") * (F.col("__short") + 1)  # the first pieces have a row more
+    at = F.when(F.col("__i") < ends, F.floor(F.col("__i") / (F.col("__short") + 1))).otherwise(F.col("__longer") + F.floor((F.col("__i") - ends) / F.col("__short")))
+    return rows.withColumn("piece", at.cast("int")).drop("__i", "__m", "__short", "__longer")
+
+
+def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str, keep: float = 0.6) -> DataFrame:
+    """key, n, cost and score (1 less twice the cost) of each group's sequence of vectors against a reference sequence.
+
+    The sequence is cut into pieces of about half the reference's length, since a reference can take less than twice its rows.
+    Each is aligned on its own; the cost is the mean over the best pieces, that share of them, rounded up. n counts the rows of all.
+    """
     ship(rows.sparkSession)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     target = unit(np.asarray(reference, float))
@@ -118,6 +133,11 @@ def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
         cost = subsequence_cost(unit(np.stack([np.asarray(v, float) for v in group[vector]])), target)
-        return pd.DataFrame({key: group[key].iloc[:1], "n": [len(group)], "cost": [round(cost, 6)], "score": [round(1 - 2 * cost, 6)]})
-
-    return rows.select(key, order, vector).groupBy(key).applyInPandas(one, f"{key} {rows.schema[key].dataType.simpleString()}, n long, cost double, score double")
+        return pd.DataFrame({key: group[key].iloc[:1], "piece": group["piece"].iloc[:1], "n": [len(group)], "cost": [cost]})
+
+    cut = pieces(rows.select(key, order, vector), key, order, max(1, len(target) // 2))
+    costs = cut.groupBy(key, "piece").applyInPandas(one, f"{key} {rows.schema[key].dataType.simpleString()}, piece int, n long, cost double")
+    own = Window.partitionBy(key)
+    costs = costs.select("*", F.row_number().over(own.orderBy("cost", "piece")).alias("__k"), F.count("*").over(own).alias("__of"))
+    out = costs.groupBy(key).agg(F.sum("n").alias("n"), F.avg(F.when(F.col("__k") <= F.ceil(F.col("__of") * keep), F.col("cost"))).alias("cost"))
+    return out.select(key, "n", F.round("cost", 6).alias("cost"), F.round(1 - 2 * F.col("cost"), 6).alias("score"))

@@ -141,3 +141,26 @@ def test_signal(spark):
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     target = unit(rng.normal(size=(80, 6)))
     assert signal.subsequence_cost(target[20:50], target) < 1e-9 < 0.1 < signal.subsequence_cost(unit(rng.normal(size=(30, 6))), target)
+
+
+def test_alignment_takes_every_row(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    reference, sizes = rng.normal(size=(20, 6)), {1: 407, 2: 5, 3: 15, 4: 1, 5: 40}  # 407 rows are more than 20 can take at once
+    rows = {g: rng.normal(size=(n, 6)) for g, n in sizes.items()}
+    data = [(g, k, v.tolist()) for g, own in rows.items() for k, v in enumerate(own)]
+    random.Random(3).shuffle(data)
+    got = {r["g"]: r for r in signal.aligned(spark.createDataFrame(data, "g int, k long, v array<double>"), reference, "g", "k", "v").collect()}
+    assert {g: r["n"] for g, r in got.items()} == sizes
+    for g, own in rows.items():
+        costs = sorted(signal.subsequence_cost(unit(p), unit(reference)) for p in np.array_split(own, max(1, round(len(own) / 10))))
+        want = np.mean(costs[: int(np.ceil(0.6 * len(costs)))])
+        assert np.isfinite(want) and abs(got[g]["cost"] - want) < 2e-6 and abs(got[g]["score"] - (1 - 2 * want)) < 2e-6
+
+
+def test_dtw_align_reads_the_whole_table(spark):
+    from cadenza.plans.catalogue import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    want = {r["label"]: r["count"] for r in spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect()}
+    assert {r["label"]: r["n"] for r in QUERIES["dtw_align"](spark, data).collect()} == want
