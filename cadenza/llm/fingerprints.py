@@ -4,8 +4,9 @@ A document is the multiset of its paragraphs (what stands between line feeds). E
 document's fingerprint is the sum of its paragraphs' vectors, coordinate by coordinate modulo a power of two: the order of
 paragraphs doesn't matter, and paragraphs can be added to or taken from a fingerprint without the rest of the text.
 The vector has two parts: EXACT lanes of 64 bits from a cryptographic hash of the paragraph (modulo 2^64), which tell
-equal multisets from others, and SKETCH lanes of 16 bits (modulo 2^16), in which each run of WIDTH words of the paragraph
-adds or subtracts 1 at a hashed place; read as signed numbers their cosine estimates how much two documents share.
+equal multisets from others, and SKETCH lanes of 32 bits (modulo 2^32), in which each run of WIDTH words of the paragraph
+adds or subtracts 1 at a hashed place; read as signed numbers their cosine estimates how much two documents share. No text that
+Spark can hold has so many words that a lane passes 2^31.
 
 A query over whole tables needs each document's successor: rows are dealt by ranges of doc_id, sorted, and read as a stream; the
 first and last row of each partition meet in a join of as many rows as there are partitions.
@@ -36,7 +37,7 @@ SLICE = 1 << 21
 
 
 class Vectors:
-    """The fingerprints of some texts: exact (texts x EXACT, unsigned 64 bits), sketch (texts x SKETCH, unsigned 16 bits)."""
+    """The fingerprints of some texts: exact (texts x EXACT, unsigned 64 bits), sketch (texts x SKETCH, unsigned 32 bits)."""
 
     def __init__(self, exact: np.ndarray, sketch: np.ndarray):
         self.exact, self.sketch = exact, sketch
@@ -54,7 +55,7 @@ class Vectors:
         return len(self.exact)
 
     def texts(self) -> list[str]:
-        return [a.astype(">u8").tobytes().hex() + b.astype(">u2").tobytes().hex() for a, b in zip(self.exact, self.sketch, strict=True)]
+        return [a.astype(">u8").tobytes().hex() + b.astype(">u4").tobytes().hex() for a, b in zip(self.exact, self.sketch, strict=True)]
 
     def joined(self, other: Vectors) -> Vectors:
         return Vectors(np.concatenate([self.exact, other.exact]), np.concatenate([self.sketch, other.sketch]))
@@ -74,12 +75,12 @@ def vectors(texts: list[str]) -> Vectors:
     place = row * SKETCH + (runs & np.uint64(SKETCH - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * ((runs >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
     sums = np.bincount(place, sign, minlength=len(texts) * SKETCH).astype(np.int64)
-    return Vectors(exact, sums.astype(np.uint16).reshape(-1, SKETCH))
+    return Vectors(exact, sums.astype(np.uint32).reshape(-1, SKETCH))
 
 
 def likeness(a: Vectors, b: Vectors) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 for equal fingerprints, else the cosine of the signed sketches, at least 0."""
-    x, y = a.sketch.view(np.int16).astype(np.float64), b.sketch.view(np.int16).astype(np.float64)
+    x, y = a.sketch.view(np.int32).astype(np.float64), b.sketch.view(np.int32).astype(np.float64)
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0)
     same = (a.exact == b.exact).all(axis=1) & (a.sketch == b.sketch).all(axis=1)

@@ -76,6 +76,11 @@ def test_fingerprints_are_homomorphic():
     assert abs(near[0] - 0.75) < 0.25 and near[1] < 0.3
 
 
+def test_likeness_of_long_repetitive_texts():
+    v, text = fingerprints.vectors, "a b " * 50_000  # more on a lane than 16 bits hold; in three fifths of it they are not
+    assert fingerprints.likeness(v([text, text]), v(["a b " * 30_000, "c d " * 50_000])).round(3).tolist() == [1.0, 0.0]
+
+
 def test_token_counts(spark, tmp_path):
     docs = spark.createDataFrame(rows(), SCHEMA)
     rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
