@@ -7,7 +7,8 @@
 3. Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each candidate
    pattern's probability. There are at most 3^4 patterns for each of the kinds, so what is collected has a fixed size.
 4. A logistic regression, trained on those probabilities over votes and shape (length, digits, separators), decides.
-   Base matches that pass their check always stay; the classifier adds others.
+   Base matches that pass their check always stay; the classifier adds others. Wider candidates that overlap those are none;
+   what overlaps base matches that fail is judged too, and of what the classifier takes, spans inside another one are dropped.
 
 Patterns use possessive loops and begin at run starts, so very long texts take linear time and no deep stack. Offsets are code
 points. Null and empty texts have no spans. Repeated rows are read each. Empty tables give no rows. Only doc_id and text are read.
@@ -147,7 +148,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     base_list = F.concat(*(spans(c, k, w) for c, (k, _, _, w) in zip(own, plans, strict=True) if not w))
     wide_list = F.concat(*(spans(c, k, w) for c, (k, _, _, w) in zip(own, plans, strict=True) if w))
     rows = rows.select(*keep, base_list.alias("__base"), wide_list.alias("__wide"))
-    clear = F.filter("__wide", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    clear = F.filter("__wide", lambda x: ~F.exists("__base", lambda b: b["base"] & (b["start"] < x["end"]) & (x["start"] < b["end"])))
     found = F.array_sort(F.transform(F.concat("__base", clear), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"), x["pattern"].alias("pattern"))))
     return rows.select(*keep, found.alias("found"))
 
@@ -223,7 +224,18 @@ def accepted(counts: list[tuple[str, str, int]], least: float = 0.5) -> list[str
 
 def _taken(found: Column, take: list[str]) -> Column:
     known = F.array(*map(F.lit, take)).cast("array<string>")
-    return F.filter(found, lambda x: x["base"] | F.array_contains(known, F.concat_ws(":", x["kind"], x["pattern"])))
+    return _outermost(F.filter(found, lambda x: x["base"] | F.array_contains(known, F.concat_ws(":", x["kind"], x["pattern"]))))
+
+
+def _outermost(found: Column) -> Column:
+    """Without the spans inside one before them, base spans aside: those of found come by start. No text is uncovered by it."""
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    before = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+    pairs = F.zip_with(found, before, lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+    return F.transform(F.filter(pairs, lambda p: p["x"]["base"] | (p["x"]["end"] > p["at"])), lambda p: p["x"])
 
 
 def _listed(spans: Column) -> Column:

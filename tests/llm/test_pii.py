@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import pii
 
 TEXTS = [
@@ -52,6 +54,22 @@ def test_redaction(spark):
     assert pii.redacted(docs).dtypes == docs.dtypes
 
 
+def test_numbers_inside_a_failed_card(spark):
+    texts = [*(t for t in TEXTS if len(t or "") < 1000), "212-555-1234 312-555-9876", "212-555-1234 2024", "tel 4111 1111 1111 1111 and +1 988 555 2485"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["spans"] for r in pii.digested(docs).orderBy("doc_id").collect()][-3:]
+    assert got == ["phone:0:12,phone:13:25", "phone:0:12", "card:4:23,phone:28:43"]
+    assert [r["text"] for r in pii.redacted(docs).orderBy("doc_id").collect()][-3:] == ["<phone> <phone>", "<phone> 2024", "tel <card> and <phone>"]
+
+
+def test_overlaps_are_resolved_after_the_decision(spark):
+    spans = [(0, 20, False, "a"), (0, 12, False, "b"), (13, 20, True, "c"), (15, 25, False, "d"), (30, 40, False, "no"), (32, 38, False, "e")]
+    found = [(s, pii.KINDS.index("phone"), e, "phone", b, p) for s, e, b, p in spans]
+    rows = spark.createDataFrame([(found,), ([],)], "found array<struct<start:int,rank:int,end:int,kind:string,base:boolean,pattern:string>>")
+    got = [[x["pattern"] for x in r[0]] for r in rows.select(pii._taken(F.col("found"), [f"phone:{p}" for p in "abcde"])).collect()]
+    assert sorted(got) == [[], ["a", "c", "d", "e"]]
+
+
 def test_learning():
     counts = [("phone", "yy-ymbp", 100), ("phone", "nn-nsaq", 200), ("phone", "nyyymbp", 20), ("email", "yy-ylaq", 50)]
     known = pii.reliabilities(counts)
