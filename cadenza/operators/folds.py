@@ -102,6 +102,28 @@ def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: int, most
     return own.groupBy(key).applyInPandas(choose, own.schema)
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows worked out once and without their plan: in the checkpoint folder, or on the executors where there is none."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
+def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, group: the smallest node that each of nodes (node) reaches over links (a, b) in either direction, itself at least.
+
+    Each round takes the smallest name among the neighbours, then the name that this name has; rounds end when nothing changes.
+    """
+    both = _kept(links.select("a", "b").union(links.select("b", "a")).distinct())
+    groups = _kept(nodes.select("node", F.col("node").alias("group"), F.lit(True).alias("moved")))
+    while groups.where("moved").first() is not None:
+        named = lambda rows: rows.select(F.col("node").alias("of"), F.col("group").alias("name"))
+        near = both.join(named(groups), F.col("b") == F.col("of")).groupBy("a").agg(F.min("name").alias("near"))
+        spread = groups.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("group").alias("was"), F.least("group", "near").alias("group"))
+        spread = _kept(spread)
+        further = F.least("group", "name")
+        groups = _kept(spread.join(named(spread), F.col("group") == F.col("of"), "left").select("node", further.alias("group"), (further < F.col("was")).alias("moved")))
+    return groups.select("node", "group")
+
+
 def unique_names(rows: DataFrame, name: str, tag: str, order: str) -> DataFrame:
     """rows with out: the name, with the tag where another row has it but for case, and a number where that is not enough."""
     clash = Window.partitionBy(F.lower(name))

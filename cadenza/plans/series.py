@@ -358,12 +358,8 @@ def section_distance_groups(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     pairs = v.select(F.col("label").alias("a"), "d", "x").join(v.select(F.col("label").alias("b"), "d", F.col("x").alias("y")), "d").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("dist"))
     near = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("dist", F.lit(0.3)).alias("limit")))).where("dist <= limit").select("a", "b").persist()
-    groups = v.select("label").distinct().withColumn("g", F.col("label"))
-    for _ in range(6):  # labels are few: the smallest name spreads over 2^6 links at most
-        both = near.union(near.select("b", "a")).toDF("a", "b")
-        low = both.join(groups, both["b"] == groups["label"]).groupBy("a").agg(F.min("g").alias("m"))
-        groups = groups.join(low, groups["label"] == low["a"], "left").select("label", F.least("g", F.coalesce("m", "g")).alias("g")).persist()
-    return groups.select("label", F.col("g").alias("group"))
+    groups = folds.smallest_reached(v.select(F.col("label").alias("node")).distinct(), near)
+    return groups.select(F.col("node").alias("label"), "group")
 
 
 @query()

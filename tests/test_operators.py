@@ -164,3 +164,17 @@ def test_dtw_align_reads_the_whole_table(spark):
     data = "/root/testdata/sf0.001"
     want = {r["label"]: r["count"] for r in spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect()}
     assert {r["label"]: r["n"] for r in QUERIES["dtw_align"](spark, data).collect()} == want
+
+
+def test_groups_of_long_chains(spark, tmp_path):
+    nodes = spark.createDataFrame([(k,) for k in (*range(40), 50, 60, 61, None)], "node int")
+    links = [(k, k + 1) if k % 3 else (k + 1, k) for k in range(39)] + [(61, 60), (61, 60), (50, 50)]
+    random.Random(4).shuffle(links)
+    got = {r["node"]: r["group"] for r in folds.smallest_reached(nodes, spark.createDataFrame(links, "a int, b int")).collect()}
+    assert got == {k: 0 for k in range(40)} | {50: 50, 60: 60, 61: 60, None: None}
+    from cadenza.plans.catalogue import QUERIES
+
+    # a chain of nine links of length 1 that ends in eleven labels at one place: its links are among the shortest 30 %
+    rows = [(k, [float(min(k, 9)), 0.0], k) for k in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["label"]: r["group"] for r in QUERIES["section_distance_groups"](spark, str(tmp_path)).collect()} == {k: 0 for k in range(20)}
