@@ -91,22 +91,25 @@ def track_measures(clips: DataFrame) -> DataFrame:
 
 
 def subsequence_cost(query: np.ndarray, target: np.ndarray) -> float:
-    """The least mean cost of aligning all of the query with a part of the target; steps (1,1), (1,2) and (2,1). Rows are unit vectors, costs half of 1 - cosine."""
+    """The least mean cost of aligning all of the query with a part of the target; 1 if either has fewer than 3 rows.
+
+    Steps are (1,1), (1,2) and (2,1); a cell takes the one with the least accumulated cost, the first of equal ones, and a row that
+    (2,1) leaps over costs nothing. Rows are unit vectors, costs half of 1 - cosine; the mean is over the cells of the way.
+    """
     cost = (1 - query @ target.T) / 2
     n, m = cost.shape
-    total, steps = np.full((n, m), np.inf), np.ones((n, m))
-    total[0] = cost[0]
+    if min(n, m) < 3:
+        return 1.0
+    moved = lambda row, by: np.concatenate([np.full(by, np.inf), row[:-by]])
+    total, cells, at = [cost[0]], [np.ones(m)], np.arange(m)
     for i in range(1, n):
-        options = np.full((3, m), np.inf)
-        counts = np.ones((3, m))
-        options[0, 1:], counts[0, 1:] = total[i - 1, :-1], steps[i - 1, :-1]
-        options[1, 2:], counts[1, 2:] = total[i - 1, :-2], steps[i - 1, :-2]
-        if i > 1:
-            options[2, 1:], counts[2, 1:] = total[i - 2, :-1] + cost[i - 1, 1:], steps[i - 2, :-1] + 1
-        best = np.argmin(options / counts, axis=0)
-        at = np.arange(m)
-        total[i], steps[i] = options[best, at] + cost[i], counts[best, at] + 1
-    return float(np.min(total[-1] / steps[-1]))
+        ways = [(i - 1, 1), (i - 1, 2), (i - 2, 1)][: 3 if i > 1 else 2]
+        sums = np.stack([moved(total[row], by) for row, by in ways])
+        best = sums.argmin(axis=0)
+        total.append(sums[best, at] + cost[i])
+        cells.append(np.stack([moved(cells[row], by) for row, by in ways])[best, at] + 1)
+    reached = np.isfinite(total[-1])
+    return float((total[-1][reached] / cells[-1][reached]).min()) if reached.any() else 1.0
 
 
 def pieces(rows: DataFrame, key: str, order: str, length: int) -> DataFrame:
@@ -120,11 +123,12 @@ def pieces(rows: DataFrame, key: str, order: str, length: int) -> DataFrame:
     return rows.withColumn("piece", at.cast("int")).drop("__i", "__m", "__short", "__longer")
 
 
-def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str, keep: float = 0.6) -> DataFrame:
+def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str, keep: float = 0.6, least: int = 8) -> DataFrame:
     """key, n, cost and score (1 less twice the cost) of each group's sequence of vectors against a reference sequence.
 
     The sequence is cut into pieces of about half the reference's length, since a reference can take less than twice its rows.
-    Each is aligned on its own; the cost is the mean over the best pieces, that share of them, rounded up. n counts the rows of all.
+    Each of least rows or more is aligned on its own; the cost is the mean over the best pieces, that share of them, rounded up,
+    and 1 where every piece is shorter. n counts the rows of all.
     """
     ship(rows.sparkSession)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -137,7 +141,9 @@ def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector
 
     cut = pieces(rows.select(key, order, vector), key, order, max(1, len(target) // 2))
     costs = cut.groupBy(key, "piece").applyInPandas(one, f"{key} {rows.schema[key].dataType.simpleString()}, piece int, n long, cost double")
+    costs = costs.withColumn("cost", F.when(F.col("n") >= least, F.col("cost")))
     own = Window.partitionBy(key)
-    costs = costs.select("*", F.row_number().over(own.orderBy("cost", "piece")).alias("__k"), F.count("*").over(own).alias("__of"))
-    out = costs.groupBy(key).agg(F.sum("n").alias("n"), F.avg(F.when(F.col("__k") <= F.ceil(F.col("__of") * keep), F.col("cost"))).alias("cost"))
+    costs = costs.select("*", F.row_number().over(own.orderBy(F.asc_nulls_last("cost"), "piece")).alias("__k"), F.count("cost").over(own).alias("__of"))
+    best = F.avg(F.when(F.col("__k") <= F.ceil(F.col("__of") * keep), F.col("cost")))
+    out = costs.groupBy(key).agg(F.sum("n").alias("n"), F.coalesce(best, F.lit(1.0)).alias("cost"))
     return out.select(key, "n", F.round("cost", 6).alias("cost"), F.round(1 - 2 * F.col("cost"), 6).alias("score"))
