@@ -67,3 +67,82 @@ def phase_report(rows: DataFrame, keys: list[str], t: str, weight: str, order: s
     out = plain.join(weighted_quantiles(rows, keys, "__a", weight, order, {"median": 0.5, "p90": 0.9}), keys)
     problems = F.filter(F.array(F.when(F.col("median") > limits[0], "median"), F.when(F.col("p90") > limits[1], "p90"), F.when(F.col("within") < limits[2], "within")), lambda x: x.isNotNull())
     return out.withColumn("problems", F.array_join(problems, ",")).withColumn("ok", F.col("problems") == "")
+
+
+#: Places of a beat that a comb tells apart, and how far it smears an onset.
+COMB_BINS, COMB_WIDTH = 480, 8
+#: How much stronger the half beat must be than the beat, and how far off the beat still is the grid, as a share of it.
+HALF_BEAT, ON_BEAT = 1.35, 0.10
+
+
+def comb(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int) -> DataFrame:
+    """keys, offset (a share of the beat, from -1/4 to 1/4), sharpness, half_ratio, alignment (grid, offset or half-beat): where a comb of beats fits best.
+
+    Onsets are folded into COMB_BINS places of a beat, so a group is that many rows however many onsets it has; the comb
+    is tried at 121 offsets. The first of equal offsets counts.
+    """
+    place = F.floor(F.pmod(F.col(t), F.lit(beat)) * COMB_BINS / beat).cast("int")
+    folded = rows.groupBy(*keys, place.alias("__p")).agg(F.sum(F.col(weight).cast("double")).alias("__w"))
+    tried = F.array(*(F.lit(o) for o in [*range(-COMB_BINS // 4, COMB_BINS // 4 + 1, COMB_BINS // 240), COMB_BINS // 2]))
+    each = folded.select(*keys, "__p", "__w", F.explode(tried).alias("__o"))
+    away = F.pmod(F.col("__p") - F.col("__o"), F.lit(COMB_BINS))
+    fit = F.greatest(F.lit(0.0), 1 - F.least(away, COMB_BINS - away) / COMB_WIDTH)
+    scores = each.groupBy(*keys, "__o").agg(F.sum(F.col("__w") * fit).alias("__s"))
+    near = F.col("__o") <= COMB_BINS // 4
+    sums = scores.groupBy(*keys).agg(
+        F.max(F.when(near, F.struct(F.round("__s", 9).alias("s"), (-F.col("__o")).alias("o")))).alias("__best"), F.avg(F.when(near, F.col("__s"))).alias("__mean"),
+        F.greatest(F.max(F.when(F.col("__o") == 0, F.col("__s"))), F.lit(1e-9)).alias("__on"), F.max(F.when(~near, F.col("__s"))).alias("__half"),
+    )
+    offset, ratio = -F.col("__best.o") / COMB_BINS, F.col("__half") / F.col("__on")
+    where = F.when(ratio > HALF_BEAT, "half-beat").when(F.abs(offset) < ON_BEAT, "grid").otherwise("offset")
+    return sums.select(*keys, offset.alias("offset"), ((F.col("__best.s") - F.col("__mean")) / F.greatest(F.col("__best.s"), F.lit(1e-9))).alias("sharpness"), ratio.alias("half_ratio"), where.alias("alignment"))
+
+
+def bar_phase(beats: DataFrame, key: str, i: str, value: str, beats_per_bar: int = 4, window_bars: int = 8) -> DataFrame:
+    """key, phase, margin and confidence: which beat is the first of the bar by its mean value, and how many whole windows of bars agree (all of them where there is none). Fewer than two bars tell nothing: 0."""
+    window = beats_per_bar * window_bars
+    phase = F.pmod(F.col(i), F.lit(beats_per_bar)).alias("phase")
+    means = beats.groupBy(key, phase).agg(F.avg(value).alias("s"), F.count("*").alias("n"))
+    own = Window.partitionBy(key)
+    ranks = means.withColumn("k", F.row_number().over(own.orderBy(F.desc("s"), "phase")))
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    whole = ranks.groupBy(key).agg(pick(1, "phase").alias("phase"), pick(1, "s").alias("s1"), pick(2, "s").alias("s2"), F.min("s").alias("s4"), (F.sum("n") >= 2 * beats_per_bar).alias("enough"))
+    parts = beats.groupBy(key, F.floor(F.col(i) / window).alias("w"), phase).agg(F.avg(value).alias("s"), F.count("*").alias("n"))
+    votes = parts.groupBy(key, "w").agg(F.max(F.struct("s", (-F.col("phase")).alias("p"))).alias("m"), F.sum("n").alias("n")).where(F.col("n") == window).select(key, (-F.col("m.p")).alias("vote"))
+    hit = F.when(F.col("vote") == F.col("phase"), 1.0).when(F.col("vote").isNotNull(), 0.0)
+    agree = whole.join(votes, key, "left").groupBy(key).agg(F.avg(hit).alias("agree"))
+    margin = (F.col("s1") - F.col("s2")) / F.greatest(F.abs("s1"), F.col("s1") - F.col("s4"), F.lit(1e-9))
+    told = lambda c, other: F.when(F.col("enough"), c).otherwise(other)
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 4 * margin)) * F.coalesce("agree", F.lit(1.0))
+    return whole.join(agree, key).select(key, told(F.col("phase"), F.lit(0)).alias("phase"), told(margin, F.lit(0.0)).alias("margin"), told(sure, F.lit(0.0)).alias("confidence"))
+
+
+#: How concentrated the eighth-note phase must be for a lag to be read from it; bars of a voting window, and syllables in it that count.
+LAG_CONCENTRATION, VOTE_BARS, VOTE_LEAST = 0.08, 4, 6
+
+
+def triplet_evidence(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int, least: int = 8) -> DataFrame:
+    """keys, onsets, lag (a share of the beat), triplet_share and triplet_windows: whether off-grid onsets sit on thirds or on quarters of a beat, after a constant lag is taken off, and in how many windows thirds win. Fewer onsets than least say 0, 0.5 and 0."""
+    by = Window.partitionBy(*keys)
+    w, phase = F.col(weight).cast("double"), F.pmod(F.col(t), F.lit(beat)) / beat
+    rows = rows.select(*keys, F.floor(F.col(t) / (VOTE_BARS * 4 * beat)).alias("__b"), w.alias("__w"), phase.alias("__f"))
+    turn = 4 * 3.141592653589793 * F.col("__f")
+    rows = rows.select("*", F.sum(F.col("__w") * F.sin(turn)).over(by).alias("__y"), F.sum(F.col("__w") * F.cos(turn)).over(by).alias("__x"), F.sum("__w").over(by).alias("__all"), F.count("*").over(by).alias("__n"))
+    firm = F.sqrt(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")) > LAG_CONCENTRATION * F.col("__all")
+    rows = rows.withColumn("__lag", F.when((F.col("__n") >= least) & firm, F.atan2("__y", "__x") / (4 * 3.141592653589793)).otherwise(0.0))
+    place = F.pmod(F.bround(F.pmod(F.col("__f") - F.col("__lag"), F.lit(1.0)) * 12).cast("int"), F.lit(12))
+    rows = rows.withColumn("__p", place).withColumn("__third", F.col("__p").isin(4, 8)).withColumn("__quarter", F.col("__p").isin(3, 9))
+    own = lambda c: F.sum(F.when(F.col(c), F.col("__w")).otherwise(0.0))
+    parts = rows.groupBy(*keys, "__b").agg(own("__third").alias("__t"), own("__quarter").alias("__q"), F.count_if(F.col("__third") | F.col("__quarter")).alias("__c"), F.count("*").alias("__n"), F.first("__lag").alias("__lag"))
+    vote = F.when(F.col("__c") >= VOTE_LEAST, (F.col("__t") > F.col("__q")).cast("double"))
+    out = parts.groupBy(*keys).agg(F.sum("__n").alias("onsets"), F.first("__lag").alias("lag"), F.sum("__t").alias("__t"), F.sum("__q").alias("__q"), F.avg(vote).alias("__v"))
+    enough = (F.col("onsets") >= least) & (F.col("__t") + F.col("__q") > 0)
+    return out.select(*keys, "onsets", "lag", F.when(enough, F.col("__t") / (F.col("__t") + F.col("__q"))).otherwise(0.5).alias("triplet_share"), F.when(enough, F.coalesce("__v", F.lit(0.0))).otherwise(0.0).alias("triplet_windows"))
+
+
+def lattice_shares(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int, tolerance: int) -> DataFrame:
+    """keys, straight, triplet, advantage and scatter: the weighted shares within a tolerance of four and of six places in a beat, and the median distance to the four of those that are farther."""
+    w, off = F.col(weight).cast("double"), lambda n: F.abs(phase_error(F.col(t), beat // n))
+    share = lambda n: F.sum(F.when(off(n) <= tolerance, w).otherwise(0.0)) / F.greatest(F.sum(w), F.lit(1e-12))
+    out = rows.groupBy(*keys).agg(share(4).alias("straight"), share(6).alias("triplet"), F.coalesce(F.percentile(F.when(off(4) > tolerance, off(4)), F.lit(0.5)), F.lit(0.0)).alias("scatter"))
+    return out.withColumn("advantage", F.col("triplet") - F.col("straight"))

@@ -90,29 +90,25 @@ SELECT user_id, count(*) AS windows, round(sum(f * v) / sum(v), 6) AS fraction F
 def windowed_grid_fraction(spark, sf_dir):
     """Free-phase adherence to the hour in weekly windows of 4 events at least, weighted by the windows' sums."""
     e = _events(spark, sf_dir).withColumn("w", F.floor(F.col("t") / (168 * HOUR)))
-    own = e.groupBy("user_id", "w").agg(F.count("*").alias("n"), F.sum("value").alias("v")).where("n >= 4")
-    part = lattice.free_phase_fraction(e.join(own.select("user_id", "w"), ["user_id", "w"], "left_semi"), ["user_id", "w"], "t", "value", HOUR, 300 * SECOND)
-    return r6(part.join(own, ["user_id", "w"]).groupBy("user_id").agg(F.count("*").alias("windows"), (F.sum(F.col("fraction") * F.col("v")) / F.sum("v")).alias("fraction")))
+    own = Window.partitionBy("user_id", "w")
+    e = e.select("*", F.count("*").over(own).alias("n")).where("n >= 4")
+    part = lattice.free_phase_fraction(e, ["user_id", "w"], "t", "value", HOUR, 300 * SECOND)
+    sums = e.groupBy("user_id", "w").agg(F.sum("value").alias("v"))
+    return r6(part.join(sums, ["user_id", "w"]).groupBy("user_id").agg(F.count("*").alias("windows"), (F.sum(F.col("fraction") * F.col("v")) / F.sum("v")).alias("fraction")))
 
 
 @query(f"""
 WITH {E_}, b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, value FROM e), m AS (SELECT user_id, i % 4 AS phase, avg(value) AS s FROM b GROUP BY ALL),
      r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, phase) AS k FROM m),
      g AS (SELECT user_id, max(CASE WHEN k = 1 THEN phase END) AS phase, max(CASE WHEN k = 1 THEN s END) AS s1, max(CASE WHEN k = 2 THEN s END) AS s2, min(s) AS s4 FROM r GROUP BY user_id),
-     v AS (SELECT user_id, i // 32 AS w, i % 4 AS phase, avg(value) AS s FROM b GROUP BY ALL), x AS (SELECT user_id, w, first(phase ORDER BY s DESC, phase) AS phase FROM v GROUP BY user_id, w),
-     a AS (SELECT x.user_id, avg(CASE WHEN x.phase = g.phase THEN 1.0 ELSE 0.0 END) AS agree FROM x JOIN g USING (user_id) GROUP BY x.user_id)
-SELECT user_id, phase, round((s1 - s2) / greatest(abs(s1), s1 - s4, 1e-9), 6) AS margin, round(least(1.0, greatest(0.0, 4 * (s1 - s2) / greatest(abs(s1), s1 - s4, 1e-9))) * agree, 6) AS confidence FROM g JOIN a USING (user_id)""")
+     v AS (SELECT user_id, i // 32 AS w, i % 4 AS phase, avg(value) AS s, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT user_id, w, first(phase ORDER BY s DESC, phase) AS phase FROM v GROUP BY user_id, w HAVING sum(n) = 32),
+     a AS (SELECT g.user_id, coalesce(avg(CASE WHEN x.phase = g.phase THEN 1.0 WHEN x.phase IS NOT NULL THEN 0.0 END), 1.0) AS agree FROM g LEFT JOIN x USING (user_id) GROUP BY g.user_id)
+SELECT user_id, coalesce(phase, 0) AS phase, round(coalesce((s1 - s2) / greatest(abs(s1), s1 - s4, 1e-9), 0), 6) AS margin, round(coalesce(least(1.0, greatest(0.0, 4 * (s1 - s2) / greatest(abs(s1), s1 - s4, 1e-9))) * agree, 0), 6) AS confidence
+FROM (SELECT DISTINCT user_id FROM b) LEFT JOIN (SELECT g.*, agree FROM g JOIN a USING (user_id) WHERE user_id IN (SELECT user_id FROM b GROUP BY user_id HAVING count(*) >= 8)) USING (user_id)""")
 def bar_phase_vote(spark, sf_dir):
-    """Which of four beats is the first of the bar: the strongest on average, its margin, and how many 8-bar windows agree."""
+    """Which of four beats is the first of the bar: the strongest on average, its margin, and how many whole 8-bar windows agree (all of them where there is none). Fewer than two bars tell nothing."""
     beat = _events(spark, sf_dir).select("user_id", "value", (F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1).alias("i"))
-    best = lambda keys: beat.groupBy(*keys, F.pmod("i", F.lit(4)).alias("phase")).agg(F.avg("value").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("s"), "phase"))
-    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    g = best(["user_id"]).withColumn("k", rank).groupBy("user_id").agg(pick(1, "phase").alias("phase"), pick(1, "s").alias("s1"), pick(2, "s").alias("s2"), F.min("s").alias("s4"))
-    votes = best(["user_id", F.floor(F.col("i") / 32).alias("w")]).groupBy("user_id", "w").agg(F.max(F.struct("s", (-F.col("phase")).alias("p"))).alias("m"))
-    agree = votes.join(g.select("user_id", "phase"), "user_id").groupBy("user_id").agg(F.avg(F.when(-F.col("m.p") == F.col("phase"), 1.0).otherwise(0.0)).alias("agree"))
-    margin = (F.col("s1") - F.col("s2")) / F.greatest(F.abs("s1"), F.col("s1") - F.col("s4"), F.lit(1e-9))
-    return r6(g.join(agree, "user_id").select("user_id", "phase", margin.alias("margin"), (F.least(F.lit(1.0), F.greatest(F.lit(0.0), 4 * margin)) * F.col("agree")).alias("confidence")))
+    return r6(lattice.bar_phase(beat, "user_id", "i", "value"))
 
 
 @query("""
@@ -357,7 +353,7 @@ def section_distance_groups(spark, sf_dir):
     """Sections (labels, with their mean vectors) whose distance is at most the 30th percentile of all distances; a group's name is its smallest member."""
     v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     pairs = v.select(F.col("label").alias("a"), "d", "x").join(v.select(F.col("label").alias("b"), "d", F.col("x").alias("y")), "d").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("dist"))
-    near = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("dist", F.lit(0.3)).alias("limit")))).where("dist <= limit").select("a", "b").persist()
+    near = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("dist", F.lit(0.3)).alias("limit")))).where("dist <= limit").select("a", "b")
     groups = folds.smallest_reached(v.select(F.col("label").alias("node")).distinct(), near)
     return groups.select(F.col("node").alias("label"), "group")
 
