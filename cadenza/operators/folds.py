@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys as K
-from cadenza.session import ship
+from cadenza.session import checkpointed, ship
 
 
 def islands(rows: DataFrame, keys: list[str], t: str, gap: int, least: int = 0) -> DataFrame:
@@ -81,30 +82,45 @@ def key_flow(rows: DataFrame, group: str, order: str, code: str, largest: int =
 
 
 def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: int, most: int | None = None) -> DataFrame:
-    """key, t, value: the strongest rows of each group that are apart from all stronger chosen ones; most of them at the most. Ties: the earlier."""
-    ship(rows.sparkSession)
-    own = rows.select(key, t, value)
+    """key, t, value: the strongest rows of each group that are apart from all stronger chosen ones; most of them at the most. Ties: the earlier.
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+    Rows on two sides of a gap of that width don't bear on each other, so the runs between gaps are dealt out and streamed in sorted
+    partitions; a run is what is held, not a group.
+    """
+    ship(rows.sparkSession)
+    line = Window.partitionBy(key).orderBy(t)
+    gap = F.coalesce((F.col(t) - F.lag(t).over(line) >= apart).cast("int"), F.lit(0))
+    own = rows.select(key, t, value).withColumn("__gap", gap)
+    own = own.withColumn("__run", F.sum("__gap").over(line.rowsBetween(Window.unboundedPreceding, 0))).select(key, t, value, "__run")
 
-        taken: list[int] = []
+    def choose(run: pd.DataFrame) -> pd.DataFrame:
+        taken: list = []
         keep = []
-        for i, x in group.sort_values([value, t], ascending=[False, True])[t].items():
+        for i, x in run.sort_values([value, t], ascending=[False, True], kind="stable")[t].items():
             k = bisect.bisect_left(taken, x)
             if (k == 0 or x - taken[k - 1] >= apart) and (k == len(taken) or taken[k] - x >= apart):
                 taken.insert(k, x)
                 keep.append(i)
-                if most is not None and len(keep) == most:
-                    break
-        return group.loc[keep]
+        return run.loc[keep]
 
-    return own.groupBy(key).applyInPandas(choose, own.schema)
-
-
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows worked out once and without their plan: in the checkpoint folder, or on the executors where there is none."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rest = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rest[[key, "__run"]].iloc[-1:]
+            open_run = (rest[key].eq(last[key].iloc[0]) | (rest[key].isna() & last[key].isna().iloc[0])) & rest["__run"].eq(last["__run"].iloc[0])
+            done, held = rest[~open_run], rest[open_run]
+            found = [choose(run) for _, run in done.groupby([key, "__run"], sort=False, dropna=False)]
+            if found:
+                yield pd.concat(found)[[key, t, value]]
+        if held is not None:
+            yield choose(held)[[key, t, value]]
+
+    out = own.repartition(key, "__run").sortWithinPartitions(key, "__run", t).mapInPandas(stream, rows.select(key, t, value).schema)
+    if most is None:
+        return out
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), t))
+    return out.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 
 
 def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -112,15 +128,15 @@ def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Each round takes the smallest name among the neighbours, then the name that this name has; rounds end when nothing changes.
     """
-    both = _kept(links.select("a", "b").union(links.select("b", "a")).distinct())
-    groups = _kept(nodes.select("node", F.col("node").alias("group"), F.lit(True).alias("moved")))
+    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
+    groups = checkpointed(nodes.select("node", F.col("node").alias("group"), F.lit(True).alias("moved")))
     while groups.where("moved").first() is not None:
         named = lambda rows: rows.select(F.col("node").alias("of"), F.col("group").alias("name"))
         near = both.join(named(groups), F.col("b") == F.col("of")).groupBy("a").agg(F.min("name").alias("near"))
         spread = groups.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("group").alias("was"), F.least("group", "near").alias("group"))
-        spread = _kept(spread)
+        spread = checkpointed(spread)
         further = F.least("group", "name")
-        groups = _kept(spread.join(named(spread), F.col("group") == F.col("of"), "left").select("node", further.alias("group"), (further < F.col("was")).alias("moved")))
+        groups = checkpointed(spread.join(named(spread), F.col("group") == F.col("of"), "left").select("node", further.alias("group"), (further < F.col("was")).alias("moved")))
     return groups.select("node", "group")
 
 

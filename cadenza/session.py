@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HERE = Path(__file__).resolve().parent
 #: Bytes of an Arrow batch that goes to or from a Python worker; Spark's own default lets two workers outgrow an executor of 3 GB on long texts.
@@ -42,3 +43,13 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(_HERE.parent))
     context.addPyFile(str(archive))
     context._cadenza_shipped = True
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows worked out once and without their plan, in the folder that spark.checkpoint.dir names; only where it is unset and all runs on one machine, in one of our own."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-cadenza-"))
+    return rows.checkpoint()
