@@ -10,7 +10,10 @@ SITES = {"youtu.be": "youtube", "youtube.com": "youtube", "music.youtube.com": "
 LINK_LENGTH, NOTE_LENGTH, AUTHOR_LENGTH = 2048, 400, 24
 # End of fixed values.
 
-_PRIVATE = r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^22[4-9]\.|^2[3-5][0-9]\."
+#: IPv4 addresses that are no public host: private and shared networks, the machine itself, links, documentation, tests, multicast and what is reserved.
+_PRIVATE = r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^22[4-9]\.|^2[3-5][0-9]\."
+#: The same for IPv6: what is outside of 2000::/3, and in it protocol assignments, documentation and 6to4.
+_PRIVATE_6 = r"^(?![23][0-9a-f]{3}:)|^2001:(?:0?[01]?[0-9a-f]{0,2})?:|^2001:0?db8:|^2002:|^3fff:0?[0-9a-f]{0,3}:"
 
 
 def host_of(url: Column) -> Column:
@@ -23,7 +26,11 @@ def link_problem(url: Column) -> Column:
     """Why a link is refused (empty, long, control, scheme, host, local), or null: only public http and https links are taken."""
     raw = F.trim(F.coalesce(url, F.lit("")))
     scheme, host = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), host_of(raw)
-    local = host.isin("localhost", "localhost.localdomain", "ip6-localhost") | host.rlike(r"\.(?:local|internal|localhost)$") | ~F.contains(host, F.lit(".")) | host.rlike(r"^[0-9.x]+$") & ~host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") | host.rlike(_PRIVATE)
+    mapped = F.regexp_extract(host, r"^(?:0*:)*:?ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    address = F.when(mapped != "", mapped).otherwise(host)
+    numbers = address.rlike(r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+))*$") & ~address.rlike(r"^(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$")
+    six = F.contains(address, F.lit(":"))
+    local = host.isin("localhost", "localhost.localdomain", "ip6-localhost", "broadcasthost") | host.rlike(r"\.(?:local|internal|localhost)$") | F.when(six, ~address.rlike("^[0-9a-f:]+$") | address.rlike(_PRIVATE_6)).otherwise(~F.contains(address, F.lit(".")) | numbers | address.rlike(_PRIVATE))
     return F.when(raw == "", "empty").when(F.char_length(raw) > LINK_LENGTH, "long").when(raw.rlike(r"[\r\n\t\x00]"), "control").when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(local, "local")
 
 
@@ -43,10 +50,10 @@ def reply_object(text: Column) -> Column:
 
 
 def score_100(text: Column) -> Column:
-    """A score from 0 to 100: shares below 1 are scaled, what is no finite number is 0."""
+    """A score from 0 to 100 to one place: shares below 1 are scaled, what is no finite number is 0."""
     x = text.try_cast("double")
     x = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when((x > 0) & (x < 1), x * 100).otherwise(x)))
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when((x > 0) & (x < 1), x * 100).otherwise(x))), 1)
 
 
 def tidy(text: Column, most: int = NOTE_LENGTH) -> Column:
