@@ -11,7 +11,9 @@
    what overlaps base matches that fail is judged too, and of what the classifier takes, spans inside another one are dropped.
 
 Patterns use possessive loops and begin at run starts, so very long texts take linear time and no deep stack. Offsets are code
-points. Null and empty texts have no spans. Repeated rows are read each. Empty tables give no rows. Only doc_id and text are read.
+points. Null and empty texts have no spans. Repeated rows are read each, rows without doc_id too. Spans that begin at one place come in
+the order of KINDS, then by their end. Empty tables give no rows. Only doc_id and text are read, so other columns can't clash;
+redacted() hands on all columns, whatever their names, and changes only text and n_chars.
 """
 
 from __future__ import annotations
@@ -260,16 +262,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets, and n_chars, if it is there, counted anew. Null texts stay null."""
     take = accepted(pattern_counts(candidates(docs)))
     names = docs.columns
-    rows = candidates(docs.withColumn("__own", F.col("text")), keep=(*names, "__own")).withColumn("found", _taken(F.col("found"), take))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("row"), F.col("text"))  # all other columns in one, so that none clashes
+    rows = candidates(whole, keep=("row", "text")).select("row", "text", _taken(F.col("found"), take).alias("found"))
 
     covered = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
-    rows = rows.withColumn("__covered", F.when(F.size("found") > 0, covered))
+    rows = rows.withColumn("covered", F.when(F.size("found") > 0, covered))
 
     def piece(x: Column, i: Column) -> Column:
-        done = F.get(F.col("__covered.out"), i)
-        return F.when(x["end"] > done, F.concat(F.substring(F.col("__own"), done + 1, F.greatest(x["start"] - done, F.lit(0))), F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
+        done = F.get(F.col("covered.out"), i)
+        return F.when(x["end"] > done, F.concat(F.substring(F.col("text"), done + 1, F.greatest(x["start"] - done, F.lit(0))), F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
 
-    tail = F.substring(F.col("__own"), F.col("__covered.at") + 1, F.char_length(F.col("__own")))
-    rows = rows.withColumn("__own", F.when(F.size("found") > 0, F.concat(F.array_join(F.transform("found", piece), ""), tail)).otherwise(F.col("__own")))
-    own = {"text": F.col("__own").alias("text")} | ({"n_chars": F.char_length("__own").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in names else {})
-    return rows.select(*(own.get(c, F.col(f"`{c}`")) for c in names))
+    tail = F.substring(F.col("text"), F.col("covered.at") + 1, F.char_length(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.size("found") > 0, F.concat(F.array_join(F.transform("found", piece), ""), tail)).otherwise(F.col("text")))
+    own = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in names))

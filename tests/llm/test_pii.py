@@ -54,6 +54,19 @@ def test_redaction(spark):
     assert pii.redacted(docs).dtypes == docs.dtypes
 
 
+def test_redaction_hands_on_columns_that_clash(spark):
+    long = "x " * 100_000 + "a.b@c.de" + " y" * 100_000
+    data = [(1, TEXTS[0]), (1, TEXTS[0]), (None, TEXTS[6]), (4, ""), (5, None), (6, long)]
+    names = ["found", "row", "covered", "__text", "__own", "__p0", "__base", "__wide", "odd.name", "start"]
+    docs = spark.createDataFrame([(d, *range(len(names)), t) for d, t in data], f"doc_id long, {', '.join(f'`{n}` int' for n in names)}, text string")
+    got = pii.redacted(docs)
+    assert got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert all([*r][1:-1] == list(range(len(names))) for r in rows)
+    assert sorted((r["doc_id"] or 0, r["text"] or "-") for r in rows) == sorted([(1, "<email><email>"), (1, "<email><email>"), (0, "😀 é <email> 😀 <ip>"), (4, "-"), (5, "-"), (6, long.replace("a.b@c.de", "<email>"))])
+    assert pii.redacted(docs.limit(0)).count() == 0 and pii.digested(docs).count() == len(data)
+
+
 def test_numbers_inside_a_failed_card(spark):
     texts = [*(t for t in TEXTS if len(t or "") < 1000), "212-555-1234 312-555-9876", "212-555-1234 2024", "tel 4111 1111 1111 1111 and +1 988 555 2485"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
