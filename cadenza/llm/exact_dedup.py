@@ -1,29 +1,36 @@
 """Operator 7: exact deduplication with an extendible-hash index on shared files. DataFrame functions only.
 
 1. Segments: one scan writes an entry per row (key: 64-bit hash of the normalised text, its SHA-256, code points, doc_id)
-   into the shared folder. Texts are never shuffled.
+   into the shared folder.
 2. Directory: the number of distinct keys by key prefix says which buckets are overfull. An overfull bucket is split by one
-   more bit of the key; where its local depth was the directory's, the directory doubles. Copies of one text have one key,
-   so splitting never depends on them. The directory has at most 2^MAX_DEPTH slots, and is broadcast.
+   more bit of the key; where its local depth was the directory's, the directory doubles, as often as the keys need. Copies of one text
+   have one key, so splitting never depends on them. There is about one slot for every CAPACITY / 2 keys; slots are broadcast.
 3. Owners: entries are aggregated by key and part, then dealt by ranges of (bucket, key), so that each owner task holds whole
-   buckets' ranges. In it entries of one key are chained, and a chain is told apart by the bytes of the SHA-256 digest:
-   equal keys with other bytes stay apart. A group of copies arrives as one row for each part, however large it is.
-4. The index (one row for each distinct text) is written to the shared folder and joined to the entries.
-
-Null texts count as empty, and all empty texts are one group. Ties go to the smallest doc_id; of rows repeated whole, one
-stays. A null doc_id comes after all others. Empty tables give no rows. Only doc_id and text are read.
+   buckets' ranges. In it entries of one key are chained and told apart by their SHA-256. In a chain whose texts differ as they
+   are, one text of each kind is read again and the normalised bytes are compared; if they aren't equal, the chain is split by them.
+   A group of copies arrives as one row for each part, however large it is.
+4. The index (one row for each distinct text) is written to the shared folder and joined to the entries. inserted() puts the
+   entries of a later batch into an index: buckets that overflow by it are split, and its texts are told apart from known ones by
+   key and SHA-256, as the texts of earlier batches aren't read again.
+
+Null texts count as empty, and all empty texts are one group. Ties go to the smallest doc_id; of rows that have one doc_id and one
+text, the first that is read stays, whatever their other columns hold. A null doc_id comes after all others. Very long texts are read whole.
+Empty tables give no rows. Only doc_id and text are read; kept_rows() hands on all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small, stored
+from .shared import fresh, scratch, small, stored
 
 #: Distinct keys that a bucket holds before it is split.
-CAPACITY = 4096
-MAX_DEPTH = 12
+CAPACITY = 1 << 16
+#: Bits of the key by which keys are counted first; more where a prefix has more keys than a bucket holds.
+PREFIX = 12
 
 
 def normalised(text: Column) -> Column:
@@ -31,10 +38,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[int, list[int], dict[int, int]]:
-    """From the keys by prefix of max_depth bits: the directory's depth, the bucket of each of its slots and the buckets' depths.
+def directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int], dict[int, int]]:
+    """From the keys by prefix of max_depth bits, none of which has more than a bucket holds: the directory's depth, the bucket of each of its slots and the buckets' depths.
 
-    Buckets are numbered in the order of their keys. A bucket of the last depth may be overfull.
+    Buckets are numbered in the order of their keys.
     """
     sums = {max_depth: counts}
     for depth in range(max_depth - 1, -1, -1):
@@ -59,52 +66,106 @@ def _prefix(key: str, depth: int) -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """The entries: doc_id, row (a number), raw (hash of the text as it is), key, text_sha256, n_cp. Written to the shared folder."""
+def segments(docs: DataFrame, bits: int = 64, batch: int = 0) -> DataFrame:
+    """The entries: doc_id, batch, row (a number), raw (hash of the text as it is), key, chain, text_sha256, n_cp. Written to the shared folder.
+
+    Fewer than 64 bits of key, and then of the digest that chains go by, are for tests of collisions.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("raw"), F.char_length(text).cast("long").alias("n_cp"), normalised(F.col("text")).alias("norm"))
-    return stored(rows.select("doc_id", "row", "raw", "n_cp", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "dedup-segments")
+    rows = stored(rows.select("doc_id", F.lit(batch).cast("long").alias("batch"), "row", "raw", "n_cp", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "dedup-segments")
+    whole = F.col("text_sha256") if bits == 64 else F.substring("text_sha256", 1, 1)
+    return rows.withColumn("key", F.shiftleft(F.shiftrightunsigned("key", 64 - bits), 64 - bits) if bits < 64 else F.col("key")).withColumn("chain", whole)
+
+
+def _by_bytes(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """entries with link: 0, but where a chain holds texts of different normalised bytes, the place of the row's own among them.
+
+    Texts with one hash as they are count as alike; of the others in a chain one row each is read again.
+    """
+    kinds = entries.groupBy("key", "chain", "raw").agg(F.min(F.struct("row", "doc_id")).alias("one"))
+    several = kinds.groupBy("key", "chain").agg(F.min("raw").alias("low"), F.max("raw").alias("top")).where("low < top").select("key", "chain")
+    some = stored(kinds.join(several, ["key", "chain"]).select("key", "chain", F.col("raw").alias("of"), F.col("one.doc_id").alias("id")), "dedup-kinds")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("raw"), "text").join(small(some), (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "chain", "raw", normalised(F.col("text")).alias("norm"))
+    mixed = stored(texts.groupBy("key", "chain").agg(F.min("norm").alias("low"), F.max("norm").alias("top")).where("low <> top").select("key", "chain"), "dedup-mixed")
+    if mixed.isEmpty():
+        return entries.withColumn("link", F.lit(0))
+    place = F.dense_rank().over(Window.partitionBy("key", "chain").orderBy("norm")) - 1  # of one text for each way in which it stands
+    links = stored(texts.join(small(mixed), ["key", "chain"]).withColumn("link", place).select("key", "chain", "raw", "link").distinct(), "dedup-links")
+    return entries.join(small(links), ["key", "chain", "raw"], "left").withColumn("link", F.coalesce("link", F.lit(0)))
+
+
+def _slots(keys: DataFrame, capacity: int) -> tuple[int, list[int]]:
+    """The directory's depth and the bucket of each slot. keys: key, repeated ones too. Collected is a count for each prefix."""
+    once, bits = keys.groupBy("key").agg(F.count("*").alias("n")), PREFIX
+    while True:
+        counts = {r[0]: r[1] for r in once.groupBy(_prefix("key", bits).alias("p")).agg(F.count("*").alias("n")).collect()}
+        over = max(counts.values(), default=0) / capacity
+        if over <= 1 or bits >= 63:
+            depth, slots, _ = directory(counts, capacity, bits)
+            return depth, slots
+        bits = min(63, bits + max(1, math.ceil(math.log2(over))))
+
+
+_CHAIN = ("key", "chain", "link")
 
 
-def index(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row for each distinct text: bucket, key, text_sha256, group_size, keep_id, keep_row. Written to the shared folder."""
+def index(entries: DataFrame, capacity: int = CAPACITY, before: DataFrame | None = None) -> DataFrame:
+    """One row for each distinct text: bucket, key, chain, link, group_size, n_cp, keep_id, keep_batch, keep_row. Written to the shared folder. before: an index that the entries are put into."""
     spark = entries.sparkSession
-    once = entries.groupBy("key").agg(F.count("*").alias("n"))
-    counts = {r[0]: r[1] for r in once.groupBy(_prefix("key", max_depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-    depth, slots, _ = directory(counts, capacity, max_depth)
-    slot = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
     part = F.pmod(F.coalesce("row", F.lit(0)), F.lit(1024)).alias("part")  # a third of all rows may be one text
-    best = F.struct("n_cp", (-F.col("doc_id")).alias("last"), (-F.col("row")).alias("first"))
-    parts = entries.groupBy("key", "text_sha256", part).agg(F.count("*").alias("n"), F.max(best).alias("best"))
+    best = F.struct("n_cp", (-F.col("doc_id")).alias("last"), (-F.col("batch")).alias("first"), (-F.col("row")).alias("row"))
+    parts = entries.groupBy(*_CHAIN, part).agg(F.count("*").alias("n"), F.max(best).alias("best"))
+    if before is not None:
+        held = F.struct("n_cp", (-F.col("keep_id")).alias("last"), (-F.col("keep_batch")).alias("first"), (-F.col("keep_row")).alias("row"))
+        parts = parts.unionByName(before.select(*_CHAIN, F.lit(0).cast("long").alias("part"), F.col("group_size").alias("n"), held.alias("best")))
+    depth, slots = _slots(parts.select("key"), capacity)
+    slot = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
     owned = parts.withColumn("slot", _prefix("key", depth)).join(F.broadcast(slot), "slot").repartitionByRange("bucket", "key")
-    chains = owned.groupBy("bucket", "key", "text_sha256").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
-    return stored(chains.select("bucket", "key", "text_sha256", "group_size", (-F.col("best.last")).alias("keep_id"), (-F.col("best.first")).alias("keep_row")), "dedup-index")
+    chains = owned.groupBy("bucket", *_CHAIN).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+    return stored(chains.select("bucket", *_CHAIN, "group_size", F.col("best.n_cp").alias("n_cp"), (-F.col("best.last")).alias("keep_id"), (-F.col("best.first")).alias("keep_batch"), (-F.col("best.row")).alias("keep_row")), "dedup-index")
+
+
+def inserted(before: DataFrame, docs: DataFrame, batch: int, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The index after a later batch of documents, and for each of their rows what deduplicated() gives: kept is false where an earlier row stays. Batches are numbered upwards."""
+    entries = _by_bytes(docs, segments(docs, batch=batch))
+    after = index(entries, capacity, before)
+    return after, _judged(entries, after)
+
+
+def _judged(entries: DataFrame, found: DataFrame) -> DataFrame:
+    return entries.join(found.drop("n_cp"), list(_CHAIN)).withColumn("kept", (F.col("row") == F.col("keep_row")) & (F.col("batch") == F.col("keep_batch")))
 
 
-def _marked(docs: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    entries = segments(docs)
-    return entries.join(index(entries, capacity, max_depth), ["key", "text_sha256"])
+def _marked(docs: DataFrame, capacity: int, bits: int = 64) -> DataFrame:
+    entries = _by_bytes(docs, segments(docs, bits))
+    return _judged(entries, index(entries, capacity))
 
 
-def deduplicated(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def deduplicated(docs: DataFrame, capacity: int = CAPACITY, bits: int = 64) -> DataFrame:
     """For every row: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
-    return _marked(docs, capacity, max_depth).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "bucket")
+    with scratch() as keep:
+        return keep(stored(_marked(docs, capacity, bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket"), "dedup-result"))
 
 
-def kept_rows(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def kept_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Dropped rows are told by doc_id and the hash of the text as it is. They are broadcast where they are few enough;
     else the join is shuffled.
     """
-    marked = stored(_marked(docs, capacity, max_depth).select("doc_id", "raw", (F.col("row") == F.col("keep_row")).alias("kept")), "dedup-marked")
-    keyed = docs.withColumn("__raw", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["__raw"] == other["raw"])
-    rows = marked.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    gone = small(stored(rows.where(~F.col("kept") | (F.col("n") > 1)), "dedup-gone"))
+    with scratch() as keep:
+        marked = stored(_marked(docs, capacity).select("doc_id", "raw", "kept"), "dedup-marked")
+        rows = marked.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+        dropped = keep(stored(rows.where(~F.col("kept") | (F.col("n") > 1)), "dedup-gone"))
+    gone = small(dropped)
+    own = fresh(docs, "raw")
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[own] == other["raw"])
     out = keyed.join(gone, same(gone), "left_anti")
-    twice = gone.where("kept")
+    twice = dropped.where("kept")
     if not twice.isEmpty():  # rows repeated whole, of which one stays
         twice = small(twice)
-        out = out.unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__raw"]))
-    return out.drop("__raw")
+        out = out.unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", own]))
+    return out.drop(own)
