@@ -57,6 +57,13 @@ class Vectors:
     def texts(self) -> list[str]:
         return [a.astype(">u8").tobytes().hex() + b.astype(">u4").tobytes().hex() for a, b in zip(self.exact, self.sketch, strict=True)]
 
+    @staticmethod
+    def read(texts: list[str]) -> Vectors:
+        """The vectors that texts() wrote."""
+        data = np.frombuffer(bytes.fromhex("".join(texts)), np.uint8).reshape(len(texts), 8 * EXACT + 4 * SKETCH)
+        exact, sketch = np.ascontiguousarray(data[:, : 8 * EXACT]), np.ascontiguousarray(data[:, 8 * EXACT :])
+        return Vectors(exact.view(">u8").astype(np.uint64), sketch.view(">u4").astype(np.uint32))
+
     def joined(self, other: Vectors) -> Vectors:
         return Vectors(np.concatenate([self.exact, other.exact]), np.concatenate([self.sketch, other.sketch]))
 
@@ -158,3 +165,35 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     first = edges.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
     ends = edges.where("edge = 'last'").join(F.broadcast(after), "part").join(first, "next").select("doc_id", "text", "after").mapInArrow(_joined, SCHEMA)
     return found.where("edge is null").drop("edge", "part", "text").unionByName(ends)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signed paragraphs as lanes of 32 bits, which can be summed in 64 without running over."""
+    for batch in batches:
+        signs = np.array([0 if s is None else s for s in batch.column(2).to_pylist()], np.int64)[:, None]
+        own = vectors([x or "" for x in batch.column(1).to_pylist()])
+        lanes = np.concatenate([(own.exact >> np.uint64(32)).astype(np.int64), (own.exact & np.uint64(0xFFFFFFFF)).astype(np.int64), own.sketch.view(np.int32).astype(np.int64)], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(lanes * signs), pa.list_(pa.int64()))], ["doc_id", "lanes"])
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = Vectors.read(batch.column(1).to_pylist())
+        sums = np.array([x if x is not None else [0] * (2 * EXACT + SKETCH) for x in batch.column(2).to_pylist()], np.int64).reshape(len(own), -1).astype(np.uint64)
+        by = Vectors((sums[:, :EXACT] << np.uint64(32)) + sums[:, EXACT : 2 * EXACT], (sums[:, 2 * EXACT :] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((own + by).texts(), pa.string())], ["doc_id", "fingerprint"])
+
+
+def changed(stored_rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """The fingerprints (doc_id, fingerprint) after changes (doc_id, paragraph, sign): sign 1 puts a paragraph into its document, -1 takes one out.
+
+    The texts of the documents aren't read. A document's changes are summed lane by lane before they are shuffled, so any number
+    of them may be of one document. Null signs and changes of no known document change nothing; a null paragraph counts as empty.
+    """
+    ship(stored_rows.sparkSession)
+    kind = changes.schema["doc_id"].dataType.simpleString()
+    lanes = changes.select("doc_id", "paragraph", F.col("sign").cast("long")).mapInArrow(_halves, f"doc_id {kind}, lanes array<long>")
+    sums = lanes.groupBy("doc_id").agg(*(F.sum(F.get("lanes", F.lit(k))).alias(f"l{k}") for k in range(2 * EXACT + SKETCH)))
+    sums = sums.select(F.col("doc_id").alias("of"), F.array(*(f"l{k}" for k in range(2 * EXACT + SKETCH))).alias("lanes"))
+    rows = stored_rows.join(sums, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "fingerprint", "lanes")
+    return rows.mapInArrow(_moved, f"doc_id {stored_rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")

@@ -6,11 +6,12 @@ features with low-rank weights; scoring takes linear time, since sum over pairs
 (sum v x)^2 - sum (v x)^2 in each rank.
 
 It is fitted on the driver from a bounded sample: the TRAIN_ROWS labelled rows with the smallest hash of doc_id, whose
-features are computed on the executors. All documents are scored where they are read, with the weights broadcast.
+features are computed on the executors; of a doc_id that stands several times one row is learned from, the one whose features
+sort first. All documents are scored where they are read, with the weights broadcast.
 
 Null and empty texts have the statistics of an empty text and get a score. Very long texts are read whole. Repeated rows are scored
 each. Null labels are skipped; without labels every score is 0.5. A tie (0.5) counts as 1. Empty tables give no rows.
-Only doc_id, text and n_chars (which may be missing) are read; labels, lang, source and doc_id are no inputs.
+Only doc_id, text and n_chars (which may be missing) are read, so other columns can't clash; labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -164,7 +165,8 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, most: int = TRAIN
     machine = Machine(bins, rank)
     chosen = labels.where("doc_id is not null and quality is not null").where(learn).select("doc_id", F.xxhash64("doc_id").alias("place"), F.col("quality").cast("double").alias("label")).orderBy("place", "label").limit(most)
     rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id").select("place", "label", "text", "n_chars").mapInArrow(_sparse(bins), "place long, label double, idx binary, value binary, stats binary")
-    got = sorted(rows.collect(), key=lambda r: (r["place"], r["label"], r["idx"]))[:most]
+    once = rows.groupBy("place", "label").agg(F.min(F.struct("idx", "value", "stats")).alias("x")).select("place", "label", "x.*")  # most rows at most, however often a doc_id stands in docs
+    got = sorted(once.collect(), key=lambda r: (r["place"], r["label"]))[:most]
     machine.fit([(np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float), np.frombuffer(r["stats"]), r["label"]) for r in got])
     return machine
 

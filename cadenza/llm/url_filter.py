@@ -8,7 +8,7 @@ smallest hash of their URL, TRAIN_ROWS at most; learned and scored by the execut
 
 A null URL and one without :// have an empty host and path, fit no rule and are judged by their features. Ties (a score of one
 half) are blocked. Where the rules label nothing, or all alike, that label (or else allow) is the verdict. Repeated rows are
-judged each. Very long URLs are read whole. Empty tables give no rows. Only page_id and url are read.
+judged each. Very long URLs are read whole. Empty tables give no rows. Only page_id and url are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -84,8 +84,10 @@ def judged(pages: DataFrame, most: int = TRAIN_ROWS, trees: int = TREES, depth:
         only = "block" if total["known"] and total["bad"] else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("label", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
     base = total["bad"] / total["known"]
-    stats = sums.select("suffix", (F.col("n") / total["n"]).alias("suffix_share"), ((F.col("bad") + 10 * base) / (F.col("known") + 10)).alias("suffix_blocked"))
-    full = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.join(F.broadcast(stats), "suffix"))
+    own = F.when(F.col("label").isNotNull(), 1).otherwise(0)  # a row's own label is no part of its features, or learning would see what it is to tell
+    share = (F.col("bad") - F.when(F.col("label") == "block", 1).otherwise(0) + 10 * base) / (F.col("known") - own + 10)
+    counted = rows.join(F.broadcast(sums), "suffix").withColumn("suffix_share", F.col("n") / total["n"]).withColumn("suffix_blocked", share)
+    full = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.drop("n", "known", "bad"))
     learn = full.where("label is not null").withColumn("place", F.xxhash64("url", "page_id")).orderBy("place").limit(most)
     learn = stored(learn.select("features", (F.col("label") == "block").cast("double").alias("target")), "url-sample")
     if learn.select("target").distinct().count() < 2:
