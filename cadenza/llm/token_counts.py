@@ -3,21 +3,28 @@
 Totals of documents and tokens by source, language and tokenizer version are sums, so a change of the corpus is a table of
 signed rows: an inserted document counts +1 and its tokens, a deleted one -1 and minus its tokens, a revised count is both.
 A batch of changes is aggregated to its groups and written to a folder named by the batch; Spark's success marker in it is the commit.
-Committing a batch again changes nothing, and a batch whose job was lost is written anew, so retries never count twice.
+Committing a batch again changes nothing, and a batch whose job was lost is written anew, so retries never count twice; other rows under
+a committed name are an error.
 Totals are the sums over all committed batches; compact() folds them into one and keeps the names of what it holds.
 
 Null sources and languages are groups of their own. Null and empty texts have 0 tokens and still are documents. Repeated rows
-count each. A group whose documents and tokens are 0 is not listed. Empty batches commit and change nothing. Only the named
-columns are read.
+count each, also those without doc_id. A group whose documents and tokens are 0 is not listed. Empty batches commit and change nothing.
+Very long texts are counted whole. Only the named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.session import ship
+
+from . import pieces as sentencepieces
+from . import tokens
 from .shared import shared_dir
 
 KEYS = ("source", "lang", "version")
@@ -34,7 +41,31 @@ def pieces(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+|[^\x20\x09-\x0D!-/0-9:-@\[-`{-~]+|[!-/:-@\[-`{-~]")).cast("long")
 
 
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words-1": words, "pieces-2": pieces}
+def _counted(lengths: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    def tokens_of(text: Column) -> Column:
+        ship(SparkSession.active())
+
+        @F.arrow_udf("long")
+        def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for own in texts:
+                yield pa.array(lengths([x or "" for x in own.to_pylist()]), pa.int64())
+
+        return count(text)
+
+    return tokens_of
+
+
+def _byte_lengths(texts: list[str]) -> list[int]:
+    return [len(ids) for ids in tokens.encode(texts)]
+
+
+def _piece_lengths(texts: list[str]) -> list[int]:
+    own = sentencepieces.vocabulary(tokens.vocabulary_path(sentencepieces.MODEL))
+    return [len(ids) // 4 for ids in sentencepieces.encoded(texts, own)]
+
+
+#: How each version counts a text: two by patterns, which SQL can repeat, and two public vocabularies.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words-1": words, "pieces-2": pieces, "byte_bpe_50k": _counted(_byte_lengths), "piece_bpe_32k": _counted(_piece_lengths)}
 
 
 def inserted(docs: DataFrame, version: str, sign: int = 1) -> DataFrame:
@@ -52,6 +83,10 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
 
+def _digest(sums: DataFrame) -> tuple:
+    return tuple(sums.agg(F.count("*"), F.sum(F.xxhash64(*sums.columns).cast("decimal(38,0)"))).first())
+
+
 class Rollup:
     """The batches in a folder that all executors see."""
 
@@ -79,9 +114,11 @@ class Rollup:
         latest = max((n for n in held if n.startswith("held=") and self._committed(n.replace("held=", "base="))), default=None)
         return self._committed(name) or bool(latest and self.spark.read.parquet(f"{self.folder}/{latest}").where(F.col("name") == name).count())
 
-    def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Adds a batch of signed rows; False if it was already there."""
+    def commit(self, batch: str, rows: DataFrame, verify: bool = True) -> bool:
+        """Adds a batch of signed rows; False if it was already there. verify: if it was, its rows are worked out and must sum to the same; without it, the name alone counts."""
         if self.known(batch):
+            if verify and _digest(_summed(rows.select(*KEYS, "documents", "tokens"))) != _digest(self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/batch={batch}")):
+                raise ValueError(f"batch {batch} was committed with other rows")
             return False
         _summed(rows.select(*KEYS, "documents", "tokens")).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
         return True
@@ -110,13 +147,11 @@ def maintained(docs: DataFrame, folder: str | None = None) -> DataFrame:
     The batches are committed twice, as a driver that lost its connection would; the totals don't change.
     """
     spark = docs.sparkSession
-    import uuid
-
     rollup = Rollup(spark, folder or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     even, fifth = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)), F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
     gone = docs.where(fifth)
     for _ in range(2):
-        rollup.commit("0-load", inserted(docs, "words-1"))
-        rollup.commit("1-revise", revised(docs.where(even), "words-1", "pieces-2"))
-        rollup.commit("2-delete", inserted(gone.where(~even), "words-1", -1).union(inserted(gone.where(even), "pieces-2", -1)))
+        rollup.commit("0-load", inserted(docs, "words-1"), verify=False)
+        rollup.commit("1-revise", revised(docs.where(even), "words-1", "pieces-2"), verify=False)
+        rollup.commit("2-delete", inserted(gone.where(~even), "words-1", -1).union(inserted(gone.where(even), "pieces-2", -1)), verify=False)
     return rollup.totals()

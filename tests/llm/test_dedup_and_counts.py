@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from cadenza.llm import exact_dedup, fingerprints, queries, token_counts, tokens
+from cadenza.llm import arrays, exact_dedup, fingerprints, queries, token_counts, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
 SPACE = re.compile("[\x20\x09-\x0d]")
@@ -42,6 +42,32 @@ def test_exact_dedup(spark, capacity):
     assert exact_dedup.deduplicated(docs.limit(0)).count() == 0 and exact_dedup.kept_rows(docs.limit(0)).count() == 0
 
 
+def test_collisions_are_told_apart_by_bytes(spark):
+    data = rows()
+    docs = spark.createDataFrame(data, SCHEMA).repartition(5)
+    want = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.deduplicated(docs).collect()}
+    got = exact_dedup.deduplicated(docs, capacity=4, bits=2).collect()  # four keys and sixteen digests for all texts
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got} == want and len(got) == len(data)
+
+
+def test_a_second_batch_goes_into_the_index(spark):
+    first = [(k, f"text {k % 30}", "en", "s", 1, "k") for k in range(50)]
+    second = [(k, f"text {k % 40}" + " " * (k % 3), "en", "s", 1, "k") for k in range(100, 180)]
+    a, b = spark.createDataFrame(first, SCHEMA).repartition(3), spark.createDataFrame(second, SCHEMA).repartition(4)
+    entries = exact_dedup.segments(a).withColumn("link", exact_dedup.F.lit(0))
+    before = exact_dedup.index(entries, capacity=8)
+    after, judged = exact_dedup.inserted(before, b, batch=1, capacity=8)
+    whole = exact_dedup.deduplicated(a.union(b), capacity=8).collect()
+    assert after.count() == len({r["text_sha256"] for r in whole}) and after.select("bucket").distinct().count() >= before.select("bucket").distinct().count() > 2
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in judged.collect()} == {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in whole if r["doc_id"] >= 100}
+
+
+def test_kept_rows_hand_on_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (1, "a b", 5, 6, 7, 8), (2, "ab", 1, 2, 3, 4), (None, None, 0, 0, 0, 0), (None, " ", 9, 9, 9, 9)], "doc_id long, text string, raw int, _raw int, __raw int, kept int")
+    got = exact_dedup.kept_rows(docs)
+    assert got.dtypes == docs.dtypes and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, " "), (1, "a b")]
+
+
 def test_directory_doubles():
     depth, slots, local = exact_dedup.directory({0: 100, 1: 1, 2: 1, 3: 1}, capacity=50, max_depth=2)
     assert (depth, slots, local) == (2, [0, 1, 2, 2], {0: 2, 1: 2, 2: 1})
@@ -76,6 +102,57 @@ def test_fingerprints_are_homomorphic():
     assert abs(near[0] - 0.75) < 0.25 and near[1] < 0.3
 
 
+def naive_vectors(text):
+    """Exact lanes and sketch, paragraph by paragraph and word by word."""
+    exact, sketch = [0] * fingerprints.EXACT, [0] * fingerprints.SKETCH
+    for paragraph in text.split("\n"):
+        digest = hashlib.blake2b(paragraph.encode(), digest_size=8 * fingerprints.EXACT).digest()
+        for k in range(fingerprints.EXACT):
+            exact[k] = (exact[k] + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % (1 << 64)
+        found = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", paragraph)]
+        runs = [found[k : k + fingerprints.WIDTH] for k in range(len(found) - fingerprints.WIDTH + 1)] or ([found] if found else [])
+        for run in runs:
+            data = np.frombuffer(b" ".join(run), np.uint8)
+            (h,), _ = arrays.shingles(*arrays.words(data, np.array([0, len(data)]), lower=False), fingerprints.WIDTH)
+            sketch[int(h) % fingerprints.SKETCH] += -1 if int(h) >> 40 & 1 else 1
+    return exact, sketch
+
+
+def naive_likeness(a, b):
+    if a == b:
+        return 1.0
+    size = sum(x * x for x in a[1]) * sum(x * x for x in b[1])
+    return min(1.0, max(0.0, sum(x * y for x, y in zip(a[1], b[1], strict=True)) / size**0.5)) if size else 0.0
+
+
+def test_fingerprints_against_naive_sums(spark):
+    rng = random.Random(6)
+    data = [(k, "\n".join(" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5)))) for k in range(40)] + [(50, None), (51, ""), (52, "\n"), (53, "é\u00a0b  c\n\nx"), (54, "same\ntext"), (55, "text\nsame"), (55, "text\nsame")]
+    got = {}
+    for r in fingerprints.fingerprinted(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(data)
+    for k, (doc, text) in enumerate(data):
+        text, after = text or "", data[(k + 1) % len(data)][1] or ""
+        new = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        own, other, following = naive_vectors(text), naive_vectors(new), naive_vectors(after)
+        written = lambda v: "".join(f"{x:016x}" for x in v[0]) + "".join(f"{x % (1 << 32):08x}" for x in v[1])
+        r = got[doc][data[:k].count(data[k])]
+        assert r["fingerprint"] == written(own) and r["edited_fingerprint"] == written(other)
+        assert abs(r["near_edited"] - naive_likeness(own, other)) < 1e-9 and abs(r["near_next"] - naive_likeness(own, following)) < 1e-9
+
+
+def test_stored_fingerprints_are_changed_without_texts(spark):
+    v = fingerprints.vectors
+    texts = {1: "a b c\nd e f", 2: "x", 3: "", 4: "keep"}
+    table = spark.createDataFrame([(k, f) for k, f in zip(texts, v(list(texts.values())).texts(), strict=True)], "doc_id long, fingerprint string")
+    assert fingerprints.Vectors.read(v(["a\nb"]).texts()).texts() == v(["a\nb"]).texts()
+    moves = [(1, "d e f", -1), (1, "new one", 1), (2, "y", 1), (2, "y", 1), (2, "y", -1), (3, "", -1), (3, "z z z", 1), (9, "unknown", 1), (4, "nothing", None)] + [(1, "hot", 1), (1, "hot", -1)] * 500
+    got = {r[0]: r[1] for r in fingerprints.changed(table, spark.createDataFrame(moves, "doc_id long, paragraph string, sign int").repartition(5)).collect()}
+    assert got == dict(zip(texts, v(["new one\na b c", "x\ny", "z z z", "keep"]).texts(), strict=True))
+    assert fingerprints.changed(table.limit(0), spark.createDataFrame(moves, "doc_id long, paragraph string, sign int")).count() == 0
+
+
 def test_likeness_of_long_repetitive_texts():
     v, text = fingerprints.vectors, "a b " * 50_000  # more on a lane than 16 bits hold; in three fifths of it they are not
     assert fingerprints.likeness(v([text, text]), v(["a b " * 30_000, "c d " * 50_000])).round(3).tolist() == [1.0, 0.0]
@@ -98,6 +175,34 @@ def test_token_counts(spark, tmp_path):
     assert sum(r[4] for r in one) == want and sum(r[3] for r in one) == len(rows())
 
 
+def test_public_tokenizers_are_counted(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from cadenza.llm import pieces
+
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(4)
+    exact, library = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY)), SentencePieceProcessor(model_file=tokens.vocabulary_path(pieces.MODEL))
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    rollup.commit("load", token_counts.inserted(docs, "byte_bpe_50k"))
+    rollup.commit("half", token_counts.revised(docs.where("doc_id % 2 = 0"), "byte_bpe_50k", "piece_bpe_32k"))
+    got = {}
+    for r in rollup.totals().collect():
+        got[r["version"]] = got.get(r["version"], 0) + r["tokens"]
+    want = {"byte_bpe_50k": sum(len(exact.encode(t or "", add_special_tokens=False).ids) for d, t, *_ in rows() if d % 2), "piece_bpe_32k": sum(len(library.encode(t or "")) for d, t, *_ in rows() if d % 2 == 0)}
+    assert got == want
+
+
+def test_other_rows_under_a_known_name_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([*rows(), (None, "no id", "en", "s", 1, "k")], SCHEMA)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.commit("a", token_counts.inserted(docs, "words-1"))
+    with pytest.raises(ValueError):
+        rollup.commit("a", token_counts.inserted(docs.where("doc_id > 3"), "words-1"))
+    assert not rollup.commit("a", token_counts.inserted(docs.where("doc_id > 3"), "words-1"), verify=False)
+    assert not rollup.commit("a", token_counts.inserted(docs.repartition(7), "words-1"))
+
+
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
