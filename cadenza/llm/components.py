@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a > b").distinct()
+        large = large.where("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small_star = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         next_links = stored(small_star.where("a > b").distinct(), "links")

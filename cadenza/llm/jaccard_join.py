@@ -7,19 +7,24 @@ threshold, and the result gives the component of each document under these links
    Bins only order shingles from rare to frequent; any order gives the same links.
 2. Boundary: from the sizes, the cost of enumerating the subsets of light sets is set against scanning inverted lists.
 3. Signatures: a light set of n gives, for each size m that a partner may have and that is light too, its subsets of as many
-   shingles as a linked pair must share; two sets of these sizes that share a subset link, so nothing is verified. A heavy set
+   shingles as a linked pair must share; two sets of these sizes that share a subset link. A heavy set
    (or a light one that may link to a heavy one) goes to the inverted lists of its rarest shingles: n - ceil(t n) + s(n) of
    them with s(n) = 1 + n // 16, so that a linked pair shares at least min(s(n), s(m)) lists. Equal sets of a task are
    represented by the first of them.
 4. Hubs: each set's few smallest hashes say which sets are probably alike. The smallest document that has such a hash is its hub,
-   and each document is verified against the two hubs it meets most: a family of copies costs its size, not its square.
+   and each document is verified against the two hubs it meets most: a family of copies costs its size, not its square. A light
+   set is verified against the smallest one that shares a subset, as keys of subsets are hashes.
    Components of these links follow.
 5. Lists: an inverted list matters only if it holds several components. Lists are aggregated to their smallest and
    largest component, so a family's members are one row for each task. Of the lists that hold several, documents in too few of
-   them to be linked outside of their component fall away. For the rest, one member of each component and list is
-   verified against the ones of the list's smallest component that it meets most, until that links nothing more; then pairs in
-   different components are counted over their lists, and those that share enough lists are verified. After that every pair
-   that can be linked is verified or connected, so no link is missed.
+   them to be linked outside of their component fall away.
+6. Families: what is left are families whose members share much, linked or not, so their lists are as long as they are large.
+   Each document is compared with one head, the least edited member that it meets, and from there on it is the set of shingles
+   in which it differs from the head. What a family has in common is gone from these differences, and two members link only if
+   their differences share at least half of what they have beyond the difference that a link allows. Pairs come from the rarest
+   of these shared shingles; members near their head have none of them among these unless somebody made the same edits.
+   Documents of different heads are counted over their lists, where the members of a list's most frequent head meet the others only.
+   After that every pair that can be linked is verified or connected, so no link is missed.
 
 Lists and hubs are aggregated before they are shuffled; texts are read again for verifying, and a hub's set is built once for all
 that are held against it. Nothing but bins is collected (a fixed size), and tables go through the shared folder.
@@ -46,7 +51,7 @@ from cadenza.session import ship
 
 from .arrays import mix, shingle_sets
 from .components import components
-from .shared import discard, small, stored
+from .shared import discard, scratch, small, stored
 
 WIDTH = 5
 #: The threshold as a fraction: 75 of 100.
@@ -58,8 +63,6 @@ BLOCK = 1 << 18
 LIGHT = 8
 #: A set of n goes to n // SHARE more lists than one shared list would take.
 SHARE = 16
-#: Rounds of verifying components against heads, at most; what they leave is counted pair by pair.
-ROUNDS = 4
 #: Smallest hashes of a set that look for its hub, and hubs that it is verified against.
 SKETCH, HUBS = 6, 2
 #: Block that holds the counts of set sizes.
@@ -235,41 +238,75 @@ def _signed(width: int, levels, light: int, t: tuple[int, int]):
     return task
 
 
-def _verified(width: int, t: tuple[int, int]):
-    """Takes a, b and their texts, sorted by b; gives the pairs whose sets are similar enough."""
+def _compared(width: int, made):
+    """Takes a, b and their texts, sorted by b, and yields made(rows, for each: a's set, b's, both sorted); the set of a run of equal b is built once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, text, own_b = None, None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
+            out = []
             for k, (b, own_a) in enumerate(zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2), width), strict=True)):
                 if b != hub or not batch.column(3)[k].equals(text):
                     hub, text = b, batch.column(3)[k]
                     (own_b,) = shingle_sets(batch.column(3).slice(k, 1), width)
                 both = np.concatenate([own_a, own_b])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(t[1] * common >= t[0] * (len(own_a) + len(own_b) - common) and common > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out.append((own_a, own_b, both))
+            yield made(batch, out)
 
     return task
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
-    """Those of the stored pairs (a, b) whose texts' sets are similar enough. Texts of a are shuffled to b, once for each pair."""
+def _similar_rows(t: tuple[int, int]):
+    def made(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keep = []
+        for a, b, both in found:
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(t[1] * common >= t[0] * (len(a) + len(b) - common) and common > 0)
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return made
+
+
+def _differing_rows(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Of both sets a hash, which tells the texts of one doc_id apart, and the size; and the shingles that are in one of them only."""
+    rows = []
+    for a, b, both in found:
+        twice = both[1:] == both[:-1]
+        once = np.ones(len(both), bool)
+        once[1:] &= ~twice
+        once[:-1] &= ~twice
+        rows.append((*(xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in (a, b)), len(a), len(b), both[once].view(np.int64)))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int64()))], ["a", "b", "own", "of", "n", "n_head", "differ"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The stored pairs (a, b) with their texts, sorted by b. Texts of a are shuffled to b, once for each pair."""
     hubs = small(stored(pairs.select(F.col("b").alias("hub")).distinct(), "join-hubs"))
     a = texts.join(small(pairs), texts["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     b = texts.join(hubs, texts["doc_id"] == hubs["hub"], "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return a.join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, t), "a long, b long")
+    return a.join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, t: tuple[int, int]) -> DataFrame:
+    """Those of the stored pairs (a, b) whose texts' sets are similar enough."""
+    return _with_texts(pairs, texts).mapInArrow(_compared(width, _similar_rows(t)), "a long, b long")
 
 
 def _part_of(rows: DataFrame, parts: DataFrame, column: str = "id") -> DataFrame:
     """rows with the component of their document; a document without links is its own."""
-    return rows.join(small(parts), F.col(column) == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", column))
+    parts = small(parts).select("node", F.col("component").alias("__part"))
+    return rows.join(parts, F.col(column) == F.col("node"), "left").withColumn("component", F.coalesce("__part", column)).drop("node", "__part")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD, bins: int = BINS) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id."""
+    with scratch() as keep:
+        return keep(stored(_similar(docs, width, t, bins), "join-result"))
+
+
+def _similar(docs: DataFrame, width: int, t: tuple[int, int], bins: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -279,19 +316,20 @@ def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD,
     signs = stored(texts.mapInArrow(_signed(width, levels, light, t), "doc_id long, n long, first long, lists array<long>, last long, least array<long>, subsets array<long>, lower array<boolean>"), "join-signs")
     rows = stored(signs.select("doc_id", "n", "first"), "join-rows")
 
-    # light sets: all of a key's sets link to its smallest one of the smaller size
+    # light sets: all of a key's sets against its smallest one of the smaller size
     keys = signs.where("subsets is not null").select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("subsets", "lower")).alias("x")).select("id", F.col("x.subsets").alias("key"), F.col("x.lower").alias("lower"))
     hub = keys.groupBy("key").agg(F.min(F.when(F.col("lower"), F.col("id"))).alias("hub"), F.min("id").alias("low"), F.max("id").alias("top")).where("hub is not null and low < top").select("key", "hub")
-    links = keys.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = links.union(rows.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    light_pairs = keys.join(hub, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
     # heavy sets: against the hubs of their smallest hashes
     least = signs.where("least is not null").select(F.col("doc_id").alias("id"), F.explode("least").alias("key"))
     hub = least.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
     met = least.join(hub, "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c"))
     best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("c"), (-F.col("hub")).alias("hub"))), asc=False), 1, HUBS).alias("x"))  # at most SKETCH of them for an id
-    tried = stored(best.select(F.col("id").alias("a"), F.explode("x").alias("x")).select("a", (-F.col("x.hub")).alias("b")), "join-pairs")
-    links = stored(links.union(_linked(tried, known, width, t)), "join-links")
+    heavy_pairs = best.select(F.col("id").alias("a"), F.explode("x").alias("x")).select("a", (-F.col("x.hub")).alias("b"))
+    tried = stored(light_pairs.union(heavy_pairs), "join-pairs")
+    links = _linked(tried, known, width, t).union(rows.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    links = stored(links, "join-links")
     parts = stored(components(links), "join-parts")
 
     # inverted lists that hold several components
@@ -299,23 +337,17 @@ def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD,
     entries = own.select("id", "n", "last", "component", F.posexplode("lists").alias("pos", "key"))
     rest = stored(entries.join(small(stored(_split(entries), "join-split")), "key").select("key", "id", "n", "last", "pos", "component"), "join-rest")
     discard(signs)
-    for _ in range(ROUNDS):
-        rest = _pruned(rest, t)
-        if rest.isEmpty():
-            break
-        pairs = stored(_heads(rest).join(tried, ["a", "b"], "left_anti"), "join-pairs")
-        more = stored(_linked(pairs, known, width, t), "join-links")
-        tried = tried.union(pairs)
-        if more.isEmpty():
-            break
-        links = stored(links.union(more), "join-links")
-        parts = stored(components(links), "join-parts")
-        rest = _part_of(rest.select("key", "id", "n", "last", "pos"), parts)
+    rest = _pruned(rest, t)
     if not rest.isEmpty():
-        pairs = stored(_pairs_left(_pruned(rest, t), t).join(tried, ["a", "b"], "left_anti"), "join-pairs")
-        if not pairs.isEmpty():
-            links = stored(links.union(_linked(pairs, known, width, t)), "join-links")
-            parts = stored(components(links), "join-parts")
+        heads = stored(_headed(rest, t), "join-heads")
+        differ = _with_texts(stored(heads.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")), "join-pairs"), known)
+        differ = stored(differ.mapInArrow(_compared(width, _differing_rows), "a long, b long, own long, of long, n long, n_head long, differ array<long>"), "join-differ")
+        near = F.expr(f"{t[0] + t[1]} * size(differ) <= {t[1] - t[0]} * (n + n_head)")
+        differ = differ.withColumn("far", ~near)
+        pairs = _pairs_by_difference(_part_of(differ, parts, "a"), t).union(_pairs_of_heads(rest.join(small(heads), "id"), t))
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "join-pairs")
+        links = links.union(differ.where(near).select("a", "b")).union(_linked(pairs, known, width, t))
+        parts = stored(components(links), "join-parts")
     return _part_of(rows.select("doc_id", F.col("n").alias("n_shingles")), parts, "doc_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
@@ -334,38 +366,68 @@ def _pruned(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
     return entries
 
 
-def _heads(entries: DataFrame) -> DataFrame:
-    """Pairs (a > b): of each list and component one member, with those members of the lists' smallest components that it meets most."""
-    one = entries.groupBy("key", "component").agg(F.min("id").alias("id"))
-    low = one.groupBy("key").agg(F.min(F.struct("component", "id")).alias("m")).select("key", F.col("m.component").alias("low"), F.col("m.id").alias("head"))
-    met = one.join(low, "key").where("component > low").groupBy("id", "head").agg(F.count("*").alias("c"))
-    line = Window.partitionBy("id").orderBy(F.desc("c"), "head")  # at most as many rows as the document has lists
-    best = met.withColumn("k", F.row_number().over(line)).where(F.col("k") <= HUBS)
-    return best.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
+def _lists(n: str, t: tuple[int, int]) -> str:
+    """SQL: the lists that a set of n goes to."""
+    return f"({n} - ceil({n} * {t[0]} / {t[1]}) + 1 + floor({n} / {SHARE}))"
 
 
-def _pairs_left(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a > b) in different components that share enough lists. In a list, the largest component's members meet the others only.
+def _headed(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(id, head): of the lists' heads the one that a document meets most. A list's head is the member with the largest share of its own lists left: the one that has the least of its own."""
+    share = F.expr(f"-c / {_lists('n', t)}")
+    low = small(stored(entries.groupBy("key").agg(F.min(F.struct(share.alias("share"), "id")).alias("m")).select("key", F.col("m.id").alias("head")), "join-heads"))
+    met = entries.join(low, "key").groupBy("id", "head").agg(F.count("*").alias("c"))
+    best = met.groupBy("id").agg(F.max(F.struct("c", (-F.col("head")).alias("last"))).alias("m"))
+    return best.select("id", (-F.col("m.last")).alias("head"))
+
+
+def _pairs_by_difference(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a > b) of one head, in different components and not both linked to the head, that may link. rows: a, b (its head), own, of, n, n_head, differ, far (not linked to the head), component.
+
+    Two sets differ in as many shingles as are in one of their differences from the head only: d_x + d_y - 2 s, if those share s.
+    They link if that is at most n_x + n_y - 2 o, o being the overlap that they need; so s >= (d_x + d_y - n_x - n_y) / 2 + o.
+    Two that are linked to the head are connected by it; one of all others at least isn't, and that makes s at least 1. So
+    they share one of the first d - s + 1 shingles of both differences, in any order that is the same for all: first those that
+    no other component has, then from rare to frequent. The bounds on s that hold for all partners cut the rows before the join.
+    """
+    whole, part = t[0] + t[1], t[1] - t[0]
+    rows = rows.withColumn("d", F.size("differ"))
+    least = F.expr(f"case when far then greatest(1, ceil(({whole} * d - {part} * (n + n_head)) / {2 * whole})) else greatest(1, floor(({whole} * d + {part} * (n_head - n)) / {2 * whole}) + 1) end")
+    entries = rows.where(F.col("d") >= least).select(F.col("a").alias("id"), "own", "n", "d", "far", "component", least.alias("least"), F.col("b").alias("head"), "of", F.explode("differ").alias("key"))
+    entries = stored(entries, "join-entries")
+    lists = entries.groupBy("head", "of", "key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("many")).where("low < top").select("head", "of", "key", "many")
+    left = entries.join(small(stored(lists, "join-split")), ["head", "of", "key"])
+    of_id = Window.partitionBy("id", "own", "head", "of")  # at most as many rows as a document and its head have shingles
+    left = left.withColumn("pos", F.col("d") - F.count("*").over(of_id) + F.row_number().over(of_id.orderBy("many", "key")) - 1).where("d - pos >= least")
+    left = stored(left, "join-rest")
+    x = left.where("far").select("head", "of", "key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "d", "pos", "component")))
+    y = left.select("head", "of", "key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "d", "pos", "far", "component")))
+    need = f"(d_x + d_y - n_x - n_y) / 2 + ceil({t[0]} * (n_x + n_y) / {whole})"
+    met = x.join(y, ["head", "of", "key"]).where(f"component_x <> component_y and (not far_y or id_x < id_y) and {t[1]} * least(n_x, n_y) >= {t[0]} * greatest(n_x, n_y) and least(d_x - pos_x, d_y - pos_y) >= {need}")
+    return met.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+
+
+def _pairs_of_heads(entries: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a > b) of different heads and components that share enough lists. In a list, the members of its most frequent head meet the others only.
 
     A linked pair shares o shingles at least, and so at least s lists that are among the first n - o + s of both sets. And of the
     set whose lists end first in the order of shingles, all shared ones that are among its lists are lists of the other too,
     so it has no more shared shingles than those beyond its lists and the c lists that hold several components.
     """
-    lists = f"(n - ceil(n * {t[0]} / {t[1]}) + 1 + floor(n / {SHARE}))"
-    entries = entries.withColumn("most", F.expr(f"n - {lists} + c"))
-    counts = entries.groupBy("key", "component").agg(F.count("*").alias("c"))
-    major = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("major"))
-    entries = entries.join(major, "key")
-    x = entries.where("component <> major").select("key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "last", "most", "pos", "component")))
-    y = entries.select("key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "last", "most", "pos", "component")), (F.col("component") == F.col("major")).alias("in_major"))
+    entries = entries.withColumn("most", F.expr(f"n - {_lists('n', t)} + c"))
+    counts = entries.groupBy("key", "head").agg(F.count("*").alias("c"))
+    major = counts.groupBy("key").agg(F.max(F.struct("c", "head")).alias("m"), F.count("*").alias("heads")).where("heads > 1").select("key", F.col("m.head").alias("major"))
+    entries = stored(entries.join(small(stored(major, "join-split")), "key"), "join-rest")
+    x = entries.where("head <> major").select("key", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "last", "most", "pos", "component", "head")))
+    y = entries.select("key", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "last", "most", "pos", "component", "head")), (F.col("head") == F.col("major")).alias("in_major"))
     most = f"case when last_x <= last_y then most_x else most_y end >= ceil({t[0]} * (n_x + n_y) / {t[0] + t[1]})"
     beyond = f"ceil({t[0]} * (n_x + n_y) / {t[0] + t[1]}) - 1 - floor(least(n_x, n_y) / {SHARE})"
-    close = x.join(y, "key").where(f"component_x <> component_y and (in_major or id_x < id_y) and {t[1]} * least(n_x, n_y) >= {t[0]} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) > {beyond} and {most}")
+    close = x.join(y, "key").where(f"head_x <> head_y and component_x <> component_y and (in_major or id_x < id_y) and {t[1]} * least(n_x, n_y) >= {t[0]} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) > {beyond} and {most}")
     met = close.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("n_x", "n_y")).alias("n"))
     return met.where(F.col("c") >= 1 + F.floor(F.col("n") / SHARE)).select("a", "b")
 
 
 def kept_rows(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, or null, with all their columns."""
-    gone = stored(similar(docs, width, t).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
+    with scratch() as keep:
+        gone = keep(stored(similar(docs, width, t).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone"))
     return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")

@@ -75,3 +75,41 @@ def test_plan_of_sizes():
         for b in range(a, 30):
             o = jj.overlap(a, b)
             assert 4 * o >= 3 * (a + b - o) and 4 * (o - 1) < 3 * (a + b - o + 1)
+
+
+def test_family_of_near_copies_that_are_not_linked(spark):
+    """2,000 edits of one text, of which many are near to each other and yet unlinked: same components as by all pairs."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(110)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(2, 9)):
+            words[at] = f"e{k}x{at}" if rng.random() < 0.8 else f"e{rng.randint(0, 9)}"
+        rows.append((k * 7 % 4001, " ".join(words)))
+    rows += [(rows[5][0], rows[900][1] + " and more"), (rows[17][0], "an other text of one doc_id " * 9)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), bins=1 << 14).collect()}
+    parts = brute_by_rows(rows)
+    assert {(d, c) for d, _, c in got} == set(parts.items())
+    assert len(set(parts.values())) > 500 and max(list(parts.values()).count(c) for c in set(parts.values())) > 100
+
+
+def brute_by_rows(rows, width=5):
+    """doc_id -> component, by comparing all pairs of rows in numpy; rows of one doc_id are one node."""
+    import numpy as np
+
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(width)), strict=False)) for _, t in rows]
+    place = {s: k for k, s in enumerate({x for own in sets for x in own})}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for k, own in enumerate(sets):
+        m[k, [place[x] for x in own]] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    ids = np.array([d for d, _ in rows])
+    near |= ids[:, None] == ids[None, :]
+    best = ids.copy()
+    while True:
+        new = np.where(near, best[None, :], 1 << 60).min(1)
+        if (new == best).all():
+            return dict(zip(ids.tolist(), best.tolist(), strict=True))
+        best = new
