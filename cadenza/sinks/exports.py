@@ -68,6 +68,47 @@ def track_xml(sessions: DataFrame, key: str) -> DataFrame:
     return sessions.select(key, F.concat(head, grid, F.array_join(numbered, ""), F.lit("</TRACK>")).alias("xml"))
 
 
-def write_collection(tracks: DataFrame, path: str) -> None:
-    """Text files with an element on each line; a reader puts them between the collection's tags, so that no task holds all."""
-    tracks.select("xml").write.mode("overwrite").text(path)
+def collection_lines(tracks: DataFrame, playlist: str, order: str) -> DataFrame:
+    """part, at, xml: the lines of a whole document from tracks (xml, key and an order): a head, each track's element, and a playlist of their keys in that order."""
+    count = tracks.agg(F.count("*").cast("string").alias("n"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><DJ_PLAYLISTS Version="1.0.0"><PRODUCT Name="cadenza"/><COLLECTION Entries="'), F.col("n"), F.lit('">'))
+    mid = F.concat(F.lit('</COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="1"><NODE Name="'), escaped(F.lit(playlist)), F.lit('" Type="1" KeyType="0" Entries="'), F.col("n"), F.lit('">'))
+    number = F.regexp_extract("xml", 'TrackID="([^"]*)"', 1)
+    line = lambda part, at, xml: (F.lit(part).alias("part"), at.cast("double").alias("at"), xml.alias("xml"))
+    none = F.lit(0)
+    rows = [count.select(*line(0, none, head)), tracks.select(*line(1, F.col(order), F.col("xml"))), count.select(*line(2, none, mid))]
+    rows += [tracks.select(*line(3, F.col(order), F.concat(F.lit('<TRACK Key="'), number, F.lit('"/>')))), count.select(*line(4, none, F.lit("</NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>")))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def write_collection(tracks: DataFrame, path: str, playlist: str = "set", order: str = "pos") -> None:
+    """Text files whose lines, one file after the other by name, are the document: sorted by ranges, so that no task holds all."""
+    collection_lines(tracks, playlist, order).repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("xml").write.mode("overwrite").text(path)
+
+
+def resized(tracks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """tracks (key and xml) whose Size attribute says what the file (key, size) has now; tracks without a file or with that size stay as they are."""
+    now = sizes.select(F.col("key").alias("__key"), F.col("size").cast("string").alias("__size"))
+    rows = tracks.join(now, F.col("key") == F.col("__key"), "left")
+    said = F.regexp_replace("xml", ' Size="[^"]*"', "")
+    new = F.concat(F.regexp_extract(said, r"^(<TRACK)", 1), F.lit(' Size="'), F.col("__size"), F.lit('"'), F.regexp_replace(said, r"^<TRACK", ""))
+    return rows.select(*(F.when(F.col("__size").isNotNull() & F.col("xml").startswith("<TRACK"), new).otherwise(F.col("xml")).alias("xml") if c == "xml" else F.col(c) for c in tracks.columns))
+
+
+def with_feedback(sessions: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+    """sessions with feedback: their markers (key, time, bar, category, note, author, at) by time; nothing else changes, and what was there is replaced."""
+    fields = ("time", "bar", "category", "note", "author", "at")
+    lists = markers.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__feedback"))
+    rows = sessions.drop("feedback").join(lists, key, "left")
+    return rows.withColumn("feedback", F.coalesce("__feedback", F.array().cast(lists.schema["__feedback"].dataType))).drop("__feedback")
+
+
+def comment(bpm: Column, key: Column, camelot: Column, cues: Column) -> Column:
+    """A track in one line: tempo, key, and its hot cues with their letters and times."""
+    hot = F.slice(F.filter(cues, lambda c: c["kind"] != "end"), 1, len(LETTERS))
+    said = F.transform(hot, lambda c, i: F.concat_ws(" ", F.substring(F.lit(LETTERS), i + 1, F.lit(1)), c["name"], clock(c["time"])))
+    named = F.trim(F.concat_ws(" ", key, camelot))
+    return F.array_join(F.filter(F.concat(F.array(F.concat(F.format_string("%.2f", bpm), F.lit(" BPM")), named), said), lambda x: x != ""), " | ")

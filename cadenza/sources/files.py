@@ -78,6 +78,52 @@ def playlist_entries(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("*", F.posexplode(found).alias("pos", "link"))
 
 
+def is_playlist(column: str) -> Column:
+    """Whether a JSON probe holds more than one entry with a link."""
+    entries = F.from_json(column, "entries ARRAY<STRUCT<url: STRING, webpage_url: STRING>>")["entries"]
+    return F.coalesce(F.size(F.filter(entries, lambda e: F.coalesce(e["webpage_url"], e["url"], F.lit("")) != "")) > 1, F.lit(False))
+
+
+def candidate(column: str, query: Column) -> Column:
+    """struct(url, title, uploader, duration, query) of a search result in JSON; null without a link. A bare id is a link of the site that was searched."""
+    e = F.from_json(column, "url STRING, webpage_url STRING, id STRING, title STRING, uploader STRING, channel STRING, uploader_id STRING, duration DOUBLE")
+    first = lambda *names: F.coalesce(*(F.nullif(e[n], F.lit("")) for n in names), F.lit(""))
+    link = F.trim(first("url", "webpage_url"))
+    link = F.when((link != "") & ~link.startswith("http"), F.concat(F.lit("https://www.youtube.com/watch?v="), e["id"])).otherwise(link)
+    return F.when(link != "", F.struct(link.alias("url"), F.trim(first("title")).alias("title"), F.trim(first("uploader", "channel", "uploader_id")).alias("uploader"), F.coalesce(e["duration"], F.lit(0.0)).alias("duration"), query.alias("query")))
+
+
+def reference_pairs(files: DataFrame, names: DataFrame, path: str = "path") -> DataFrame:
+    """name and path: the first remix in a listing whose file is called like the name, compared by letters and digits only."""
+    base, plain = F.element_at(F.split(path, "/"), -1), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    found = files.where(F.contains(base, F.lit(".remix.")) & F.lower(F.regexp_extract(base, r"\.([^.]+)$", 1)).isin(*AUDIO)).select(plain(F.substring_index(base, ".remix.", 1)).alias("__slug"), path)
+    first = found.groupBy("__slug").agg(F.min(path).alias("path")).where("__slug <> ''")
+    return names.join(first, plain(F.col("name")) == F.col("__slug")).select("name", "path")
+
+
+def abandoned_uploads(files: DataFrame, now: Column, older: float = 3600.0) -> DataFrame:
+    """Of a listing (path, changed) the half-streamed files, and the folders of links, whose latest change is longer ago than that: path and whether it is a folder."""
+    parts = F.split("path", "/")
+    folder = F.filter(F.transform(parts, lambda p, i: F.when(p.startswith("link-"), F.array_join(F.slice(parts, 1, i + 1), "/"))), lambda p: p.isNotNull())
+    rows = files.select(F.coalesce(F.get(folder, F.lit(0)), F.when(F.col("path").endswith(".part"), F.col("path"))).alias("what"), (F.size(folder) > 0).alias("folder"), "changed").where("what is not null")
+    latest = rows.groupBy(F.col("what").alias("path"), "folder").agg(F.max("changed").alias("changed"))
+    return latest.where(F.unix_micros(now) - F.unix_micros("changed") > int(older * 1e6)).select("path", "folder")
+
+
+def orphans(files: DataFrame, now: Column, older: float = 6 * 3600.0) -> DataFrame:
+    """Folders of a listing (path, changed) that are named by an id, hold no meta.json and haven't changed for that long."""
+    folder = F.regexp_extract("path", r"^(.*/[0-9a-f]{16})/", 1)
+    rows = files.select(folder.alias("folder"), (F.element_at(F.split("path", "/"), -1) == "meta.json").alias("meta"), "changed").where("folder <> ''")
+    own = rows.groupBy("folder").agg(F.max("changed").alias("changed"), F.max("meta").alias("meta"))
+    return own.where(~F.col("meta") & (F.unix_micros(now) - F.unix_micros("changed") > int(older * 1e6))).select("folder")
+
+
+def sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The JSON documents of a folder with stem, those that can't be read left out."""
+    rows = spark.read.schema(schema + ", _corrupt_record STRING").json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return rows.withColumn("stem", stem(F.input_file_name())).where("_corrupt_record is null").drop("_corrupt_record")
+
+
 def sessions(spark: SparkSession, path: str) -> DataFrame:
     """Session documents with stem (the join key to the audio beside them) and broken (true where one is no JSON)."""
     rows = spark.read.schema(SESSION + ", _corrupt_record STRING").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")

@@ -72,3 +72,47 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         write(rows, 0)
     assert spark.read.parquet(str(tmp_path / "out/markers")).count() == 2 and spark.read.parquet(str(tmp_path / "out/ratings")).count() == 1
+
+
+def test_collections_playlists_and_sizes(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    tracks = spark.createDataFrame([(f"t{k}", f'<TRACK TrackID="{k}" Name="t{k}"><TEMPO Bpm="120"/></TRACK>', 30 - k) for k in range(30)], "key string, xml string, pos int").repartition(4)
+    exports.write_collection(tracks, str(tmp_path / "c"), "A & B")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*")))
+    root = ET.fromstring(text)
+    assert root.find("COLLECTION").get("Entries") == "30" and [t.get("TrackID") for t in root.find("COLLECTION")] == [str(k) for k in range(29, -1, -1)]
+    node = root.find("PLAYLISTS/NODE/NODE")
+    assert node.get("Name") == "A & B" and [t.get("Key") for t in node] == [str(k) for k in range(29, -1, -1)]
+    sizes = spark.createDataFrame([("t1", 77), ("t9", 5)], "key string, size long")
+    once = exports.resized(tracks, sizes)
+    got = {r["key"]: r["xml"] for r in exports.resized(once, sizes).collect()}
+    assert got["t1"].startswith('<TRACK Size="77" TrackID="1"') and got["t1"].count("Size=") == 1 and "Size" not in got["t2"]
+
+
+def test_feedback_goes_into_sessions(spark):
+    sessions = spark.createDataFrame([("a", 120.0), ("b", 90.0)], "id string, bpm double")
+    markers = spark.createDataFrame([("a", 9.0, 5, "good", "", "neel", 1.0), ("a", 2.0, 1, "clash", "x", "gemini", 2.0)], "id string, time double, bar int, category string, note string, author string, at double")
+    got = {r["id"]: [m["time"] for m in r["feedback"]] for r in exports.with_feedback(exports.with_feedback(sessions, markers, "id"), markers, "id").collect()}
+    assert got == {"a": [2.0, 9.0], "b": []}
+    cues = F.array(F.struct(F.lit("Intro").alias("name"), F.lit(0.0).alias("time"), F.lit("intro").alias("kind")), F.struct(F.lit("Drop").alias("name"), F.lit(61.0).alias("time"), F.lit("drop").alias("kind")), F.struct(F.lit("End").alias("name"), F.lit(99.0).alias("time"), F.lit("end").alias("kind")))
+    assert spark.range(1).select(exports.comment(F.lit(124.0), F.lit("A minor"), F.lit("8A"), cues)).first()[0] == "124.00 BPM | A minor 8A | A Intro 0:00 | B Drop 1:01"
+
+
+def test_listings(spark, tmp_path):
+    import datetime as dt
+
+    now, old = dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 1)
+    rows = [("/u/x.part", old), ("/u/y.part", now), ("/u/link-1/a/b.mp3", old), ("/u/link-2/a.mp3", old), ("/u/link-2/b.mp3", now), ("/u/keep.mp3", old), ("/r/0123456789abcdef/a.mp3", old), ("/r/0123456789abcde0/meta.json", old), ("/r/named/a.mp3", old), ("/r/0123456789abcde1/a.mp3", now)]
+    listing = spark.createDataFrame(rows, "path string, changed timestamp")
+    assert sorted(tuple(r) for r in files.abandoned_uploads(listing, F.lit(now)).collect()) == [("/u/link-1", True), ("/u/x.part", False)]
+    assert [r["folder"] for r in files.orphans(listing, F.lit(now)).collect()] == ["/r/0123456789abcdef"]
+    pairs = spark.createDataFrame([("/p/My Song.remix.mp3",), ("/p/my_song.remix.wav",), ("/p/other.original.mp3",), ("/p/x.remix.txt",)], "path string")
+    assert [tuple(r) for r in files.reference_pairs(pairs, spark.createDataFrame([("my-song!",), ("x",), ("",)], "name string")).collect()] == [("my-song!", "/p/My Song.remix.mp3")]
+    found = spark.createDataFrame([('{"id": "abc", "url": "abc", "title": " t ", "channel": "c", "duration": 3}',), ('{"title": "none"}',), ("broken",)], "j string").select(files.candidate("j", F.lit("q")).alias("c")).collect()
+    assert found[0]["c"]["url"].endswith("v=abc") and found[0]["c"]["uploader"] == "c" and found[0]["c"]["title"] == "t" and found[1]["c"] is None and found[2]["c"] is None
+    lists = spark.createDataFrame([('{"entries": [{"url": "a"}, {"url": "b"}]}',), ('{"entries": [{"url": "a"}, {"url": ""}]}',), ("{}",)], "j string")
+    assert [r[0] for r in lists.select(files.is_playlist("j")).collect()] == [True, False, False]
+    (tmp_path / "one.json").write_text('{"score": 0.5}')
+    (tmp_path / "two.json").write_text("broken")
+    assert [(r["stem"], r["score"]) for r in files.sidecars(spark, str(tmp_path), "score DOUBLE").collect()] == [("one", 0.5)]
