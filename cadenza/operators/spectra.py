@@ -151,3 +151,90 @@ def measures(clips: DataFrame) -> DataFrame:
         })
 
     return clips.where("sr is not null").groupBy("track_id").applyInPandas(one, "track_id string, seconds double, flatness double, low_share double, voice_share double, onsets double, clicks double, mfcc array<double>")
+
+
+def stacked(features: np.ndarray, lag: int = 4, step: int = 2) -> np.ndarray:
+    """Each frame with the ones that follow it, `lag` in all, `step` apart; frames without them fall away."""
+    n = features.shape[1] - (lag - 1) * step
+    return np.vstack([features[:, k * step : k * step + n] for k in range(lag)])
+
+
+def checkerboard(half: int) -> np.ndarray:
+    """+1 in the two blocks on the diagonal, -1 off it, tapered by a Gaussian of two deviations to each side."""
+    taper = np.exp(-0.5 * np.linspace(-2, 2, 2 * half) ** 2)
+    side = np.repeat([1.0, -1.0], half)
+    return np.outer(taper * side, taper * side)
+
+
+def novelty_curve(features: np.ndarray, half: int = 32) -> np.ndarray:
+    """How much the frames before a place differ from those after it, over the largest: the checkerboard over cosine similarities near the diagonal.
+
+    The kernel is an outer product, so the sum over the square is the squared length of the tapered difference: no similarity is held.
+    """
+    unit = features / np.maximum(np.linalg.norm(features, axis=0, keepdims=True), 1e-9)
+    m = unit.shape[1]
+    half = min(half, max(4, m // 8))
+    side = np.repeat([1.0, -1.0], half) * np.exp(-0.5 * np.linspace(-2, 2, 2 * half) ** 2)
+    out = np.zeros(m)
+    if m > 2 * half:
+        windows = np.lib.stride_tricks.sliding_window_view(unit, 2 * half, axis=1)[:, : m - 2 * half]
+        out[half : m - half] = ((windows @ side) ** 2).sum(axis=0)
+    return out / out.max() if out.max() > 0 else out
+
+
+def resampled(features: np.ndarray, n: int) -> np.ndarray:
+    """n frames, evenly spaced from the first to the last, linear between neighbours."""
+    if not features.shape[1]:
+        return np.zeros((len(features), max(n, 1)))
+    at = np.linspace(0, features.shape[1] - 1, n)
+    return np.stack([np.interp(at, np.arange(features.shape[1]), row) for row in features])
+
+
+def centred(features: np.ndarray, gain: float = 100.0) -> np.ndarray:
+    """Frames on a logarithmic scale without the mean over time, of length 1: unrelated material correlates at about 0."""
+    x = np.log1p(gain * features)
+    x = x - x.mean(axis=1, keepdims=True)
+    return x / np.maximum(np.linalg.norm(x, axis=0, keepdims=True), 1e-9)
+
+
+def pulse_depth(envelope: np.ndarray, rate: float, band: tuple[float, float] = (2.0, 8.0), against: tuple[float, float] = (0.4, 20.0), seconds: float = 8.0) -> float:
+    """How far the strongest modulation in a band stands above the median one: the envelope's spectrum over half-overlapping windows; 0 for less than a window."""
+    n = int(rate * seconds)
+    if len(envelope) < n or n < 4:
+        return 0.0
+    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(envelope, float), n)[:: n // 2]
+    power = (np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * np.hanning(n), axis=1)) ** 2).mean(axis=0)
+    hertz = np.fft.rfftfreq(n, 1 / rate)
+    inside, all_of = (hertz >= band[0]) & (hertz <= band[1]), (hertz >= against[0]) & (hertz <= against[1])
+    return float(power[inside].max() / max(np.median(power[all_of]), 1e-12)) if inside.any() and all_of.any() else 0.0
+
+
+def balance(x: np.ndarray, rate: int, edges: tuple[float, ...] = (20, 60, 120, 250, 500, 2000, 8000, 20000), size: int = 1 << 15) -> np.ndarray:
+    """The share of power in each band, the mean over whole frames without overlap; silent frames don't count."""
+    size = size if len(x) >= size else 1 << int(np.log2(max(len(x), 16)))
+    frames = np.asarray(x, float)[: len(x) // size * size].reshape(-1, size)
+    power = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)) ** 2
+    total, hertz = power.sum(axis=1), np.fft.rfftfreq(size, 1 / rate)
+    power, total = power[total > 0], total[total > 0]
+    bands = [power[:, (hertz >= a) & (hertz < b)].sum(axis=1) / total for a, b in zip(edges, edges[1:], strict=False)]
+    return np.array([b.mean() if len(b) else 0.0 for b in bands])
+
+
+def rise(level: np.ndarray, lag: int, delay: int = 0) -> np.ndarray:
+    """Where a level rises over `lag` frames, moved back by its delay, over the largest rise: attacks of the band that the level is of."""
+    out = np.concatenate([np.zeros(min(lag, len(level))), np.maximum(0, level[lag:] - level[:-lag] if len(level) > lag else np.zeros(0))])
+    out = np.concatenate([out[delay:], np.zeros(min(delay, len(out)))])
+    return out / out.max() if len(out) and out.max() > 0 else out
+
+
+def voiced_window(voice: np.ndarray, low: np.ndarray, rate: float, seconds: float) -> float:
+    """When the window of that length begins in which a voice stands out most over the bass; the first eighth of a track is passed over where there is room."""
+    n = min(len(voice), len(low))
+    if n / rate <= seconds + 1:
+        return 0.0
+    ratio = voice[:n] / (low[:n] + np.percentile(low[:n], 60) + 1e-9)
+    width = max(1, int(seconds * rate))
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    means = (sums[width:] - sums[:-width]) / width
+    skip = int(min(n / rate / 8, max(0.0, n / rate - seconds - 1)) * rate)
+    return float(min((skip + int(means[skip:].argmax())) / rate, max(0.0, n / rate - seconds)))
