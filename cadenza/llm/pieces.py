@@ -2,7 +2,8 @@
 
 Spaces become marks (U+2581), one more is set before the text, and the text falls into marked words: a run of marks and what
 follows. The distinct words of a batch are sorted, so that they form a trie in depth-first order: going from one word to the
-next keeps the forward state of their common prefix and computes only what is new.
+next keeps the forward state of their common prefix and computes only what is new. The pieces that end at a place come from
+an automaton over all pieces, whose node is part of the state, so that a character costs a step and not a search.
 
 For a unigram model the forward state of a prefix is its best score and the last piece on the best way there; ties go to the longest
 last piece. For a BPE model it is the last piece of the prefix's encoding, which the prefix alone determines: it is the one
@@ -20,6 +21,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,8 +34,8 @@ from cadenza.session import ship
 from .tokens import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
-#: Words whose ids a Python worker remembers between batches.
-KNOWN_WORDS = 1 << 19
+#: Words whose ids a Python worker remembers between batches, and characters in them.
+KNOWN_WORDS, KNOWN_CHARACTERS = 1 << 20, 1 << 24
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -57,16 +59,58 @@ class Vocabulary:
         self.bpe = all(float(s).is_integer() for _, s in self.pieces.values())
         self.rank = {t: -s for t, (_, s) in self.pieces.items()}
         self.splits: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        lengths: dict[str, set[int]] = {}
-        for t in self.pieces:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}  # of the pieces that end in these two characters
-        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.text_of = {k: t for t, (k, _) in self.pieces.items()}
+        self.words: dict[str, bytes] = {}  # by what follows the mark that begins a word
+        self.texts: dict[str, bytes] = {}  # what their ids decode to
+        self.held = 0  # characters of them
         self.longest = max(map(len, self.pieces))
         self.penalty = min(s for _, s in self.pieces.values() if s > -1e8) - 10.0
         if any(MARK in t.lstrip(MARK) for t in self.pieces):
             raise ValueError("a piece crosses the start of a word")
+        if self.bpe:
+            self._automaton()
+
+    def _automaton(self) -> None:
+        """The trie of the pieces that merges make: for each node the nodes that characters lead to, the node of its longest proper suffix, and the (length, id) of the pieces that end there, long ones first."""
+        self.next: list[dict[str, int]] = [{}]
+        ends: list[int | None] = [None]
+        for text, (k, _) in self.pieces.items():
+            if len(text) > 1 and self.split(text):
+                node = 0
+                for c in text:
+                    if c not in self.next[node]:
+                        self.next[node][c] = len(self.next)
+                        self.next.append({})
+                        ends.append(None)
+                    node = self.next[node][c]
+                ends[node] = k
+        self.suffix, self.found = [0] * len(self.next), [()] * len(self.next)
+        row = [0]
+        for node in row:  # shorter prefixes come first, so suffixes are known before they are needed
+            for c, child in list(self.next[node].items()):
+                self.suffix[child] = self._after(self.suffix[node], c) if node else 0
+                own = ((len(self.text_of[ends[child]]), ends[child]),) if ends[child] is not None else ()
+                self.found[child] = own + self.found[self.suffix[child]]
+                row.append(child)
+        self.steps = [dict(x) for x in self.next]  # with the steps by way of a suffix that were taken so far
+        self.taken = 0
+
+    def _after(self, node: int, c: str) -> int:
+        while node and c not in self.next[node]:
+            node = self.suffix[node]
+        return self.next[node].get(c, 0)
+
+    def follow(self, node: int, c: str) -> int:
+        """The node after one more character, remembered."""
+        if self.taken > 1 << 20:
+            for own, first in zip(self.steps, self.next, strict=True):
+                own.clear()
+                own.update(first)
+            self.taken = 0
+        self.taken += 1
+        to = self.steps[node][c] = self._after(node, c)
+        return to
 
     def fallback(self, character: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in character.encode()]
@@ -86,14 +130,11 @@ class Vocabulary:
             self.splits[piece] = last
         return self.splits[piece]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether merging a + b ends with these two. Their merges are undone, the latest first; at each step a merge across the border must not come before the border's pieces are used up."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
+    def compatible(self, first: int, second: int) -> bool:
+        """Whether merging both pieces' text ends with these two. Their merges are undone, the latest first; at each step a merge across the border must not come before the border's pieces are used up."""
         if len(self.pairs) > 1 << 19:
             self.pairs.clear()
-        x, y, used_x, used_y, out = a, b, math.inf, math.inf, None
+        x, y, used_x, used_y, out = self.text_of[first], self.text_of[second], math.inf, math.inf, None
         rank = self.rank
         while out is None:
             across = rank.get(x + y)
@@ -105,7 +146,7 @@ class Vocabulary:
                 used_x, x = rank[x], self.split(x)[1]
             else:
                 used_y, y = rank[y], self.split(y)[0]
-        self.pairs[a, b] = out
+        self.pairs[first << 32 | second] = out
         return out
 
 
@@ -114,8 +155,8 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
-def segmented(distinct: Iterable[str], own: Vocabulary) -> dict[str, bytes]:
-    """The ids of each marked word, as little-endian unsigned 32-bit integers."""
+def segmented(distinct: Iterable[str], own: Vocabulary) -> Iterator[tuple[str, list[int]]]:
+    """Each word, sorted, and its ids, encoded as if one more mark stood before it."""
     return _merged(distinct, own) if own.bpe else _best(distinct, own)
 
 
@@ -123,44 +164,57 @@ def _common(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    return next(k for k in range(n) if a[k] != b[k])
-
-
-def _merged(distinct: Iterable[str], own: Vocabulary) -> dict[str, bytes]:
-    pieces, lengths, compatible, split = own.pieces, own.lengths, own.compatible, own.split
-    last, ids = [""], [[]]  # for each prefix of the word: the last piece of its encoding, and that piece's ids
-    out, before = {}, ""
+    for k in range(n):
+        if a[k] != b[k]:
+            return k
+    return n
+
+
+def _merged(distinct: Iterable[str], own: Vocabulary) -> Iterator[tuple[str, list[int]]]:
+    pieces, pairs, compatible, found, follow, steps = own.pieces, own.pairs, own.compatible, own.found, own.follow, own.steps
+    alone = {c: k for c, (k, _) in pieces.items() if len(c) == 1}
+    # for each prefix of the marked word: the longest end that begins pieces, the last piece of its encoding (-1: none) and its length
+    node, last, width = [0, follow(0, MARK)], [-1, alone.get(MARK, -1)], [0, 1]
+    before = ""
     for word in sorted(distinct):
-        keep = _common(before, word)
-        del last[keep + 1 :], ids[keep + 1 :]
-        for end in range(keep + 1, len(word) + 1):
-            for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                if n > end:
-                    continue
-                piece = word[end - n : end]
-                found = pieces.get(piece)
-                if found is not None and split(piece) and (n == end or compatible(last[end - n], piece)):
-                    last.append(piece)
-                    ids.append([found[0]])
+        end = _common(before, word) + 1
+        del node[end + 1 :], last[end + 1 :], width[end + 1 :]
+        at = node[end]
+        for c in word[end - 1 :]:
+            end += 1
+            to = steps[at].get(c)
+            at = follow(at, c) if to is None else to
+            for n, piece in found[at]:
+                border = last[end - n]
+                if n == end or border < 0:
+                    break
+                fits = pairs.get(border << 32 | piece)
+                if fits or (fits is None and compatible(border, piece)):
                     break
             else:  # a character alone
-                piece = word[end - 1]
-                last.append(piece)
-                ids.append([pieces[piece][0]] if piece in pieces else own.fallback(piece))
-        found, end = [], len(word)
+                n, piece = 1, alone.get(c, -1)
+            node.append(at)
+            last.append(piece)
+            width.append(n)
+        ids = []
         while end:
-            found.append(ids[end])
-            end -= len(last[end])
-        out[word] = np.array([k for own_ids in reversed(found) for k in own_ids], "<u4").tobytes()
+            piece = last[end]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(own.fallback(word[end - 2] if end > 1 else MARK)[::-1])
+            end -= width[end]
+        ids.reverse()
+        yield word, ids
         before = word
-    return out
 
 
-def _best(distinct: Iterable[str], own: Vocabulary) -> dict[str, bytes]:
+def _best(distinct: Iterable[str], own: Vocabulary) -> Iterator[tuple[str, list[int]]]:
     pieces, longest, penalty = own.pieces, own.longest, own.penalty
-    best, start, piece = [0.0], [0], [-1]  # for each prefix of the word: its best score, where its last piece begins and that piece
-    out, before = {}, ""
-    for word in sorted(distinct):
+    best, start, piece = [0.0], [0], [-1]  # for each prefix of the marked word: its best score, where its last piece begins and that piece
+    before = ""
+    for plain in sorted(distinct):
+        word = MARK + plain
         keep = _common(before, word)
         del best[keep + 1 :], start[keep + 1 :], piece[keep + 1 :]
         for end in range(keep + 1, len(word) + 1):
@@ -177,19 +231,40 @@ def _best(distinct: Iterable[str], own: Vocabulary) -> dict[str, bytes]:
         while end:
             ids.extend([piece[end]] if piece[end] >= 0 else own.fallback(word[end - 1])[::-1])
             end = start[end]
-        out[word] = np.array(ids[::-1], "<u4").tobytes()
+        ids.reverse()
+        yield plain, ids
         before = word
-    return out
+
+
+def _split(text: str) -> list[str]:
+    """The marked words of a text without their first mark; most texts have single spaces and no marks, and fall apart at the spaces."""
+    words = text.split(" ") if text else []
+    if "" in words or MARK in text:
+        words = [w[1:] for w in _WORDS.findall(MARK + text.replace(" ", MARK))] if text else []
+    return words
+
+
+def _learned(split: list[list[str]], own: Vocabulary) -> None:
+    """Encodes and decodes the words that are not known yet."""
+    new = set().union(*split)
+    if len(own.words) + len(new) > KNOWN_WORDS or own.held > KNOWN_CHARACTERS:
+        own.words.clear()
+        own.texts.clear()
+        own.held = 0
+    new.difference_update(own.words)
+    own.held += sum(map(len, new))
+    table, words, back = own.decoded, own.words, own.texts
+    for word, ids in segmented(new, own):
+        words[word] = array("I", ids).tobytes()
+        back[word] = b"".join([table[k] for k in ids])
 
 
 def encoded(texts: list[str], own: Vocabulary) -> list[bytes]:
     """The ids of each text as bytes; see segmented()."""
-    split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    known, new = own.words, {w for words in split for w in words}
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-    known.update(segmented(new.difference(known), own))
-    return [b"".join([known[w] for w in words]) for words in split]
+    split = [_split(t) for t in texts]
+    _learned(split, own)
+    known = own.words.__getitem__
+    return [b"".join(map(known, words)) for words in split]
 
 
 def decoded(ids: np.ndarray, own: Vocabulary) -> str:
@@ -197,19 +272,35 @@ def decoded(ids: np.ndarray, own: Vocabulary) -> str:
     return b"".join([table[k] for k in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def digests(texts: list[str], own: Vocabulary) -> list[tuple[int, int, str]]:
+    """Of each text the number of its ids, their crc32, and the SHA-256 of what they decode to: the decoded bytes of its words, one after the other."""
+    split = [_split(t) for t in texts]
+    _learned(split, own)
+    known, back, out = own.words.__getitem__, own.texts.__getitem__, []
+    for words in split:
+        ids, text = b"".join(map(known, words)), b"".join(map(back, words))
+        out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.removeprefix(b" ")).hexdigest()))
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """doc_ids and texts, in runs of about four million characters; null texts are empty."""
+    for batch in batches:
+        at, texts = 0, [x or "" for x in batch.column(1).to_pylist()]
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < 1 << 22):
+                size += len(texts[to])
+                to += 1
+            yield batch.column(0).slice(at, to - at), texts[at:to]
+            at = to
+
+
 def _task(model: str | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model or vocabulary_path(MODEL))
-        for batch in batches:
-            at = 0
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            while at < len(texts):  # runs of about four million characters
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 1 << 22):
-                    size += len(texts[to])
-                    to += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(encoded(texts[at:to], own), pa.binary())], ["doc_id", "ids"])
-                at = to
+        for ids, texts in _runs(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(encoded(texts, own), pa.binary())], ["doc_id", "ids"])
 
     return task
 
@@ -239,9 +330,8 @@ def digested(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model or vocabulary_path(MODEL))
-        for batch in _task(model)(batches):
-            ids = batch.column(1).to_pylist()
-            back = [hashlib.sha256(decoded(np.frombuffer(x, "<u4"), own).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(back, pa.string())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+        for ids, texts in _runs(batches):
+            n, crc, back = list(zip(*digests(texts, own), strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.string())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_ids long, ids_crc32 long, decoded_sha256 string")

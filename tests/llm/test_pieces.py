@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 from sentencepiece import SentencePieceProcessor
@@ -21,6 +23,14 @@ def test_ids_are_those_of_the_library():
         assert pieces.decoded(np.frombuffer(ids, "<u4"), own) == text
 
 
+def test_digests_are_those_of_ids_and_their_decoding():
+    own = pieces.vocabulary(pieces.vocabulary_path(pieces.MODEL))
+    texts = TEXTS + random_texts() + [TEXTS[4]] * 3 + ["a \u2581b", "\u2581", " lead", "trail ", "long " * 900_000]
+    for text, ids, got in zip(texts, pieces.encoded(texts, own), pieces.digests(texts, own), strict=True):
+        back = pieces.decoded(np.frombuffer(ids, "<u4"), own)
+        assert got == (len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest()) and back == text.replace("\u2581", " ")
+
+
 def test_best_scores_against_brute_force():
     own = pieces.Vocabulary(pieces.vocabulary_path(pieces.MODEL))
     own.pieces = {"▁": (1, -4.0), "▁a": (2, -2.0), "a": (3, -3.0), "b": (4, -3.0), "ab": (5, -4.5), "▁ab": (6, -6.5), "ba": (7, -3.5)}
@@ -33,9 +43,10 @@ def test_best_scores_against_brute_force():
         return max([*options, own.penalty + best(word[1:])])
 
     by_id = {k: s for k, s in own.pieces.values()}
-    words = ["▁", "▁a", "▁ab", "▁aba", "▁abab", "▁bab", "▁aabb"]
-    for word, ids in pieces._best(words, own).items():
-        assert sum(by_id[k] for k in np.frombuffer(ids, "<u4")) == best(word)
+    words = ["", "a", "ab", "aba", "abab", "bab", "aabb"]
+    assert [w for w, _ in pieces._best(words, own)] == sorted(words)
+    for word, ids in pieces._best(words, own):
+        assert sum(by_id[k] for k in ids) == best("▁" + word)
 
 
 def test_round_trip_on_spark(spark):
