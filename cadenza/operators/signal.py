@@ -123,7 +123,7 @@ def pieces(rows: DataFrame, key: str, order: str, length: int) -> DataFrame:
     return rows.withColumn("piece", at.cast("int")).drop("__i", "__m", "__short", "__longer")
 
 
-def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str, keep: float = 0.6, least: int = 8) -> DataFrame:
+def aligned(rows: DataFrame, reference: np.ndarray, key: str, order: str, vector: str, keep: float = 0.6, least: int = 1) -> DataFrame:
     """key, n, cost and score (1 less twice the cost) of each group's sequence of vectors against a reference sequence.
 
     The sequence is cut into pieces of about half the reference's length, since a reference can take less than twice its rows.
