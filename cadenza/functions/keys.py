@@ -58,3 +58,12 @@ def nearest_compatible(code: Column, other: Column, largest: int = LARGEST_SHIFT
     """The first shift that takes a code into the other's neighbourhood, or null."""
     wanted = neighbours(other)
     return F.coalesce(*(F.when(F.array_contains(wanted, shifted(code, F.lit(s))), F.lit(s)) for s in shifts(largest)))
+
+
+def triad(chroma: Column) -> Column:
+    """struct(root, minor, margin) of the triad that holds most of 12 pitch classes: major before minor and low before high where they tie. margin: its lead over the next, as a share; null for silence."""
+    shares = [(root, minor, sum((F.element_at(chroma, (root + step) % 12 + 1) for step in (0, 3 if minor else 4, 7)), F.lit(0.0)) / 3) for minor in (False, True) for root in range(12)]
+    total = F.aggregate(chroma, F.lit(0.0), lambda s, x: s + x)
+    order = F.sort_array(F.array(*(F.struct(F.round(v / total, 9).alias("s"), F.lit(-k).alias("first"), F.lit(root).alias("root"), F.lit(minor).alias("minor")) for k, (root, minor, v) in enumerate(shares))), asc=False)
+    lead = lambda o: F.struct(o[0]["root"].alias("root"), o[0]["minor"].alias("minor"), ((o[0]["s"] - o[1]["s"]) / F.greatest(o[0]["s"], F.lit(1e-9))).alias("margin"))
+    return F.when(total > 0, F.get(F.transform(F.array(order), lead), F.lit(0)))

@@ -146,3 +146,30 @@ def lattice_shares(rows: DataFrame, keys: list[str], t: str, weight: str, beat:
     share = lambda n: F.sum(F.when(off(n) <= tolerance, w).otherwise(0.0)) / F.greatest(F.sum(w), F.lit(1e-12))
     out = rows.groupBy(*keys).agg(share(4).alias("straight"), share(6).alias("triplet"), F.coalesce(F.percentile(F.when(off(4) > tolerance, off(4)), F.lit(0.5)), F.lit(0.0)).alias("scatter"))
     return out.withColumn("advantage", F.col("triplet") - F.col("straight"))
+
+
+def layer_report(rows: DataFrame, key: str, t: str, weight: str, order: str, beat: int, division: int = 4, close: int = 20_000, limits: tuple[float, float, float] = (12.0, 25.0, 0.85), source: bool = True) -> DataFrame:
+    """All measures of a layer of onsets against its grid, and what is wrong with it: phase_report(), comb() and bar_phase() of each group.
+
+    The strength of a beat is the weight of the onsets nearest to it. The 90th percentile and the share within the limit are judged only for a
+    source layer; a comb counts if it is sharp, a bar phase if its margin is clear.
+    """
+    phase = phase_report(rows, [key], t, weight, order, beat // division, close, limits).drop("problems", "ok")
+    near = rows.select(key, F.floor((F.col(t) + beat // 2) / beat).alias("__i"), F.col(weight).cast("double").alias("__w")).groupBy(key, "__i").agg(F.sum("__w").alias("__w"))
+    bars = bar_phase(near, key, "__i", "__w").select(key, F.col("phase").alias("bar_phase"), F.col("margin").alias("bar_margin"))
+    out = phase.join(comb(rows, [key], t, weight, beat), key).join(bars, key).withColumn("division", F.lit(division))
+    judged = lambda c: c if source else F.lit(False)
+    found = {
+        "median": F.col("median") > limits[0], "p90": judged(F.col("p90") > limits[1]), "within": judged(F.col("within") < limits[2]),
+        "beat": (F.col("alignment") != "grid") & (F.col("sharpness") > 0.05), "bar": (F.col("bar_phase") != 0) & (F.col("bar_margin") > 0.08),
+    }
+    problems = F.filter(F.array(*(F.when(c, k) for k, c in found.items())), lambda x: x.isNotNull())
+    return out.withColumn("problems", F.array_join(problems, ",")).withColumn("ok", F.col("problems") == "")
+
+
+def kick_collision(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int, tolerance: int = 40_000) -> DataFrame:
+    """keys, hits, per_bar, on_beat and off_eighth: how often a bass part hits in a bar of its time, and the weighted shares on the beat and off the eighths."""
+    w, off = F.col(weight).cast("double"), lambda n: F.abs(phase_error(F.col(t), beat // n))
+    total = F.greatest(F.sum(w), F.lit(1e-12))
+    bars = F.greatest((F.max(t) - F.min(t)) / (4.0 * beat), F.lit(1e-9))
+    return rows.groupBy(*keys).agg(F.count("*").alias("hits"), (F.count("*") / bars).alias("per_bar"), (F.sum(F.when(off(1) <= tolerance, w).otherwise(0.0)) / total).alias("on_beat"), (F.sum(F.when(off(2) > tolerance, w).otherwise(0.0)) / total).alias("off_eighth"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import choices as C
+from cadenza.functions import keys as K
 from cadenza.functions import names as NA
 from cadenza.functions import notes as NO
 from cadenza.operators import arrangement, lattice, ledger
@@ -199,3 +201,35 @@ def vocal_lattice(spark, sf_dir):
     e = _events(spark, sf_dir)
     a = lattice.triplet_evidence(e, ["user_id"], "t", "value", HOUR)
     return r6(a.join(lattice.lattice_shares(e, ["user_id"], "t", "value", HOUR, 60_000_000), "user_id"))
+
+
+@query("""
+WITH c AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)) AS c FROM embeddings), t AS (SELECT unnest(range(24)) AS k), n AS (SELECT label, vec_id, c, list_sum(c) AS total FROM c),
+     s AS (SELECT label, vec_id, k, round((c[k % 12 + 1] + c[(k % 12 + CASE WHEN k < 12 THEN 4 ELSE 3 END) % 12 + 1] + c[(k % 12 + 7) % 12 + 1]) / 3 / total, 9) AS s FROM n, t),
+     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) AS p FROM s), m AS (SELECT label, vec_id, max(CASE WHEN p = 1 THEN k END) AS k, max(CASE WHEN p = 1 THEN s END) AS a, max(CASE WHEN p = 2 THEN s END) AS b FROM r WHERE p <= 2 GROUP BY label, vec_id),
+     f AS (SELECT *, (a - b) / greatest(a, 1e-9) AS margin, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM m),
+     g AS (SELECT label, vec_id, margin, last_value(CASE WHEN margin >= 0.04 OR n = 1 THEN k END IGNORE NULLS) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT label, vec_id, (k % 12)::INT AS root, k >= 12 AS minor, round(margin, 6) AS margin FROM g""")
+def chords_per_bar(spark, sf_dir):
+    """The triad of each bar (a vector's first 12 values as pitch classes); an ambiguous bar takes the one before it."""
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))).alias("c"))
+    line = Window.partitionBy("label").orderBy("vec_id")
+    t = v.select("label", "vec_id", K.triad(F.col("c")).alias("t")).withColumn("n", F.row_number().over(line))
+    own = F.when((F.col("t.margin") >= 0.04) | (F.col("n") == 1), F.struct(F.col("t.root").alias("root"), F.col("t.minor").alias("minor")))
+    kept = t.withColumn("own", F.last(own, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return r6(kept.select("label", "vec_id", "own.root", "own.minor", F.col("t.margin").alias("margin")))
+
+
+@query()
+def layer_report(spark, sf_dir):
+    """Every measure of a user's events against a grid of hours: phase, comb, bar phase, and what is wrong."""
+    return r6(lattice.layer_report(_events(spark, sf_dir), "user_id", "t", "value", "event_id", HOUR, 4, 60_000_000, (120_000.0, 300_000.0, 0.2)))
+
+
+@query(f"""
+WITH {E_}, d AS (SELECT user_id, t, value AS w, least(t % 3600000000, 3600000000 - t % 3600000000) AS d1, least(t % 1800000000, 1800000000 - t % 1800000000) AS d2 FROM e)
+SELECT user_id, count(*) AS hits, round(count(*) / greatest((max(t) - min(t)) / 14400000000.0, 1e-9), 6) AS per_bar, round(sum(CASE WHEN d1 <= 300000000 THEN w ELSE 0 END) / greatest(sum(w), 1e-12), 6) AS on_beat,
+       round(sum(CASE WHEN d2 > 300000000 THEN w ELSE 0 END) / greatest(sum(w), 1e-12), 6) AS off_eighth FROM d GROUP BY user_id""")
+def kick_collision(spark, sf_dir):
+    """How much of a user's events fall on the hour, and off the half hours."""
+    return r6(lattice.kick_collision(_events(spark, sf_dir), ["user_id"], "t", "value", HOUR, 300_000_000))

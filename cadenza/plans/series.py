@@ -365,7 +365,7 @@ def dtw_align(spark, sf_dir):
     reference = [r[0] for r in v.orderBy("vec_id").limit(96).select("embedding").collect()]
     import numpy as np
 
-    return signal.aligned(v, np.array(reference), "label", "vec_id", "embedding")
+    return signal.aligned(v, np.array(reference), "label", "vec_id", "embedding", least=8)
 
 
 @query(f"""

@@ -154,3 +154,22 @@ def profiles(spark: SparkSession, folders: list[str]) -> DataFrame:
         rows = own if rows is None else rows.unionByName(own)
     first = Window.partitionBy("name").orderBy("precedence")
     return rows.where("bpm is not null").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+
+
+def kits(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored kits of a folder, one in each of its folders with meta.json and loop.wav: name, bpm, score and when it was changed, the newest first; documents that can't be read are left out."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split("path", "/")
+    named = listing.select(F.element_at(parts, -2).alias("__folder"), F.element_at(parts, -1).alias("__file"), "content", "modificationTime")
+    loops = named.where("__file = 'loop.wav'").select("__folder")
+    meta = named.where("__file = 'meta.json'").join(loops, "__folder", "left_semi")
+    read = meta.select("__folder", F.from_json(F.decode("content", "UTF-8"), "name STRING, bpm DOUBLE, score DOUBLE, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("m"), F.col("modificationTime").alias("changed"))
+    return read.where("m is not null and m._bad is null").select(F.coalesce("m.name", "__folder").alias("name"), "m.bpm", "m.score", "changed").orderBy(F.desc("changed"))
+
+
+def chosen_kit(found: DataFrame, name: str | None, pinned: str | None = None) -> DataFrame:
+    """The kit asked for, else the pinned one, else the newest; none of them for the name none."""
+    if (name or "").strip().lower() == "none":
+        return found.limit(0)
+    wanted = (name or pinned or "").strip().lower()
+    return found.where(F.col("name") == wanted) if wanted else found.orderBy(F.desc("changed")).limit(1)

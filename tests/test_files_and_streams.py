@@ -116,3 +116,18 @@ def test_listings(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"score": 0.5}')
     (tmp_path / "two.json").write_text("broken")
     assert [(r["stem"], r["score"]) for r in files.sidecars(spark, str(tmp_path), "score DOUBLE").collect()] == [("one", 0.5)]
+
+
+def test_kits(spark, tmp_path):
+    import os
+
+    for k, (name, meta, loop) in enumerate([("old", '{"bpm": 120.0}', True), ("new", '{"name": "own", "bpm": 124.0}', True), ("half", '{"bpm": 1.0}', False), ("bad", "no", True)]):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "meta.json").write_text(meta)
+        os.utime(tmp_path / name / "meta.json", (1000 + k, 1000 + k))
+        if loop:
+            (tmp_path / name / "loop.wav").write_bytes(b"x")
+    found = files.kits(spark, str(tmp_path))
+    assert [(r["name"], r["bpm"]) for r in found.collect()] == [("own", 124.0), ("old", 120.0)]
+    pick = lambda *a: [r["name"] for r in files.chosen_kit(found, *a).collect()]
+    assert pick(None) == ["own"] and pick(None, "old") == ["old"] and pick(" None ") == [] and pick("OLD") == ["old"]
