@@ -1,7 +1,12 @@
 """Language identification, quality and URL filters."""
 
+import math
 import random
 import re
+import zlib
+
+import numpy as np
+import regex
 
 from cadenza.llm import language, quality, url_filter
 from cadenza.llm.shared import bucket
@@ -47,6 +52,52 @@ def test_language_edges(spark):
     assert kept.dtypes == docs.dtypes and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {900, 901, 902}
 
 
+def naive_grams(text, bins):
+    """The bins of a text's n-grams, character by character: orders 1 to 3 that begin at one of its characters or at the two spaces before it."""
+    shift = 32 - bins.bit_length() + 1
+    padded = [ord(c) for c in f"  {text}   "]
+    for at in range(len(text) + 2):
+        run = 0
+        for order, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            run = (run * 0x01000193 & 0xFFFFFFFF) ^ (padded[at + order] * m & 0xFFFFFFFF)
+            yield ((run ^ run >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> shift
+
+
+def test_language_against_naive_counts_and_scores(spark):
+    bins, rows = 1 << 10, documents(120) + [(500, "\u0301", "en", None, None), (501, "e\u0301 1 THE", "en", None, None), (502, "x", None, None, None)] + [(600 + k, "the and of", "en", "s", "x") for k in range(60)]
+    clean = lambda t: regex.sub(r"[^\pL\pM]+", " ", t.lower()).strip(" ") if regex.search(r"\pL", t.lower()) else ""
+    counts, many = {}, {}
+    for doc, text, lang, *_ in rows:
+        if lang and clean(text) and zlib.crc32(str(doc).encode()) % 4 != 2:
+            many[lang] = many.get(lang, 0) + 1
+            own = counts.setdefault(lang, [0] * bins)
+            for g in naive_grams(clean(text), bins):
+                own[g] += 1
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = language.trained(docs.where(bucket("doc_id", 4) != 2), bins)
+    assert model.languages == sorted(many) and np.allclose(model.prior, [math.log(many[k] / sum(many.values())) for k in sorted(many)])
+    for k, lang in enumerate(sorted(many)):
+        total = sum(counts[lang])
+        want = np.log((np.array(counts[lang]) + 0.5) / (total + 0.5 * bins))
+        assert np.abs(model.matrix[k] - want).max() < 1e-5
+    got = {r["doc_id"]: r for r in language.identified(docs, bins=bins).collect()}
+    assert (got[500]["lang_pred"], got[500]["score"]) == ("und", 0.0)
+    for doc, text, *_ in rows:
+        if clean(text):
+            logs = [model.prior[k] + sum(float(model.matrix[k][g]) for g in naive_grams(clean(text), bins)) for k in range(len(model.languages))]
+            top = max(logs)
+            sure = 1 / sum(math.exp(x - top) for x in logs)
+            assert abs(got[doc]["score"] - sure) < 1e-4 and (got[doc]["lang_pred"] == model.languages[logs.index(top)] or sure < 0.6)
+
+
+def test_recognised_rejects_what_no_language_explains(spark):
+    rows = [(d, t, lang, s, x) for d, t, lang, s, x in documents(200)]
+    odd = [(900, "".join(chr(0x4E00 + 37 * k % 20000) for k in range(300)), None, None, None), (901, "\u0301", "en", None, None), (902, "the", None, None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], SCHEMA + ", `text 2` int, __raw int").repartition(3)
+    kept = language.recognised(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} | {902}
+
+
 def quality_rows(n=300):
     rng = random.Random(2)
     rows = []
@@ -74,6 +125,15 @@ def test_quality_edges(spark):
     assert quality.classified(docs, odd).count() == 5 and quality.classified(docs.drop("n_chars"), odd).count() == 5 and quality.classified(docs.limit(0), odd).count() == 0
 
 
+def test_quality_learns_from_one_row_of_a_repeated_document(spark, monkeypatch):
+    rows = [(1, "word " * 20, 100, 7)] * 3000 + [(2, "other " * 20, 120, 7), (3, "word other", 10, 7)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, label int").repartition(6), spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, **_: seen.append(len(rows)))
+    quality.trained(docs, labels, quality.F.lit(True))
+    assert seen == [4]
+
+
 def test_sum_of_squares():
     import numpy as np
 
