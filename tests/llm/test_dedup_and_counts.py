@@ -239,3 +239,29 @@ def test_pipeline(spark):
         own = packed[packed["doc_id"] == doc].sort_values("start")
         ids = np.append(ids, 0).astype("<u4")
         assert own["length"].sum() == len(ids) and [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own.itertuples()] == own["ids_crc32"].tolist()
+
+
+def test_pipeline_edges(spark):
+    """Empty tables, very long texts and columns that clash with what the operators use, through all stages."""
+    import corpus_pipeline as p
+
+    from .test_models import WORDS
+
+    rng = random.Random(3)
+    names = ["found", "raw", "_raw", "row", "kept", "component", "lists", "doc", "start", "a", "b", "key2", "id", "keep_id", "score", "part"]
+    long = " ".join(rng.choices(WORDS["en"], k=120_000))
+    texts = [(k, " ".join(rng.choices(WORDS[lang], k=20 + k)), lang) for k, lang in enumerate(sorted(WORDS) * 12)] + [(90, long, "en"), (91, long + " and", "en"), (92, None, None), (93, "\u0301", "en"), (None, "the and of with that", "en"), (94, "the and of with " * 30 + "a.b@c.de", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t or ""), *range(len(names))) for d, t, lang in texts], schema).repartition(4)
+    for now in (docs, docs.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            now = stage(spark, now, "")
+            assert now.dtypes == docs.dtypes, name
+        got = {r["doc_id"]: r for r in now.collect()}
+        out = p.STAGES[-1][1](spark, now, "")
+        if not got:
+            assert out.count() == 0
+            continue
+        assert set(got) == {d for d, *_ in texts} - {91, 92, 93} and all([*r][5:] == list(range(len(names))) for r in got.values())
+        assert got[90]["text"] == long and got[94]["text"].endswith("<email>") and got[94]["n_chars"] == len(got[94]["text"])
+        assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(got)
