@@ -149,7 +149,7 @@ def section_labels(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT l_suppkey, avg(l_discount) * 10 AS s, avg(l_tax) * 12 AS t, 60.0 + l_suppkey % 100 AS bpm, avg(l_quantity) / 10 AS p, avg(l_linenumber) / 2 AS r, avg(l_discount) * 8 AS d, avg(l_tax) * 10 AS e, count(*) AS n FROM lineitem GROUP BY l_suppkey)
+WITH m AS (SELECT l_suppkey, avg(l_discount) * 10 AS s, avg(l_tax) * 12 AS t, (60.0 + l_suppkey % 100)::DOUBLE AS bpm, avg(l_quantity) / 10 AS p, avg(l_linenumber) / 2 AS r, avg(l_discount) * 8 AS d, avg(l_tax) * 10 AS e, count(*) AS n FROM lineitem GROUP BY l_suppkey)
 SELECT l_suppkey, CASE WHEN t - least(1, 0.06 / (60 / bpm / 6)) - (s - least(1, 0.06 / (60 / bpm / 4))) >= 0.06 THEN 'triplet' ELSE 'straight' END AS lattice, CASE WHEN r / (60 / bpm) <= 2 OR r / p <= 0.65 THEN 'chopped' ELSE 'continuous' END AS treatment,
        round_even(r / p, 3) AS phrase_ratio, round_even(least(1.5, e / d), 3) AS vocal_kept, CASE WHEN n >= 3 AND bpm BETWEEN 100 AND 150 THEN bpm END AS learned,
        CASE WHEN d >= 0.05 AND s >= 0.62 AND t >= 0.65 THEN 'chop' ELSE 'flow' END AS vocal, CASE WHEN -50 + 10 * p < -45 THEN 'none' WHEN p * 3 >= 4 AND s >= 0.35 OR p * 3 >= 10 AND t >= 0.55 THEN 'sub' ELSE 'source' END AS bass FROM m""")
