@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import clamp01, ramp
 
-# Weights of the parts, their anchors (0 and 1), the cap by groove, headline cuts and verdict limits.
+# Weights of the parts, their anchors (0 and 1), the shares of the measures in each part, the largest clipped share, the range of
+# cosines and its score, the cap by groove, headline cuts and verdict limits.
 WEIGHTS = {"groove": 0.30, "similarity": 0.22, "clarity": 0.18, "clicks": 0.10, "vocal": 0.10, "loudness": 0.10}
 BANDS = {
     "on_grid": (0.55, 0.85), "on_grid_beat": (0.30, 0.65), "pulse": (0.40, 0.90), "bar": (0.35, 0.85), "split": (0.15, 0.65), "density": (3.3, 6.5),
     "mod_depth": (30.0, 120.0), "flatness": (0.035, 0.085), "click_rate": (3.0, 35.0), "vocal_lo": (-20.0, -8.0), "vocal_hi": (2.0, 9.0), "vocal_mod": (0.50, 1.70),
     "rms_lo": (-20.0, -12.0), "rms_hi": (-6.0, -2.0), "crest_lo": (6.0, 10.0), "crest_hi": (16.0, 22.0),
 }
+SHARES = {
+    "groove": {"on_grid": 0.42, "on_grid_beat": 0.20, "pulse": 0.13, "bar": 0.08, "split": 0.17},
+    "clarity": {"density": 0.45, "mod_depth": 0.30, "flatness": 0.25},
+    "vocal": {"level": 0.6, "modulation": 0.4},
+    "loudness": {"rms": 0.45, "crest": 0.30, "clipped": 0.25},
+}
+CLIPPED, COSINE, COSINE_SCORE = 0.002, (0.606, 0.869), 90.0
 CAP = (30.0, 0.9)
 CUTS = (82.0, 68.0, 52.0, 35.0)
 MATCH, REVIEW = {"vocal": (0.52, 0.15), "chroma": (0.58, 0.18)}, {"vocal": (0.46, 0.12), "chroma": (0.52, 0.14)}
@@ -24,28 +32,39 @@ def band(x: Column, name: str) -> Column:
     return ramp(x, *BANDS[name])
 
 
+def _weighed(part: str, values: dict[str, Column]) -> Column:
+    """100 for a part all of whose measures are 1."""
+    return 100.0 * sum((SHARES[part][k] * v for k, v in values.items()), F.lit(0.0))
+
+
 def groove(on_grid: Column, on_grid_beat: Column, pulse: Column, bar: Column, split: Column) -> Column:
-    return 100.0 * (0.42 * band(on_grid, "on_grid") + 0.20 * band(on_grid_beat, "on_grid_beat") + 0.13 * band(pulse, "pulse") + 0.08 * band(bar, "bar") + 0.17 * (1.0 - band(split, "split")))
+    rising = {"on_grid": on_grid, "on_grid_beat": on_grid_beat, "pulse": pulse, "bar": bar}
+    return _weighed("groove", {k: band(c, k) for k, c in rising.items()} | {"split": 1.0 - band(split, "split")})
 
 
 def clarity(density: Column, mod_depth: Column, flatness: Column) -> Column:
-    return 100.0 * (0.45 * (1.0 - band(density, "density")) + 0.30 * band(mod_depth, "mod_depth") + 0.25 * (1.0 - band(flatness, "flatness")))
+    return _weighed("clarity", {"density": 1.0 - band(density, "density"), "mod_depth": band(mod_depth, "mod_depth"), "flatness": 1.0 - band(flatness, "flatness")})
 
 
 def clicks(rate: Column) -> Column:
     return 100.0 * (1.0 - band(rate, "click_rate"))
 
 
+def between(x: Column, name: str) -> Column:
+    """1 inside of a range, falling to 0 on both sides."""
+    return F.least(band(x, f"{name}_lo"), 1.0 - band(x, f"{name}_hi"))
+
+
 def vocal(level: Column, modulation: Column) -> Column:
-    return 100.0 * (0.6 * F.least(band(level, "vocal_lo"), 1.0 - band(level, "vocal_hi")) + 0.4 * band(modulation, "vocal_mod"))
+    return _weighed("vocal", {"level": between(level, "vocal"), "modulation": band(modulation, "vocal_mod")})
 
 
 def loudness(rms_db: Column, crest: Column, clipped: Column) -> Column:
-    return 100.0 * (0.45 * F.least(band(rms_db, "rms_lo"), 1.0 - band(rms_db, "rms_hi")) + 0.30 * F.least(band(crest, "crest_lo"), 1.0 - band(crest, "crest_hi")) + 0.25 * (1.0 - clamp01(clipped / 0.002)))
+    return _weighed("loudness", {"rms": between(rms_db, "rms"), "crest": between(crest, "crest"), "clipped": 1.0 - clamp01(clipped / CLIPPED)})
 
 
-def similarity(cosine: Column, low: float = 0.606, high: float = 0.869) -> Column:
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), 90.0 * (cosine - low) / (high - low)))
+def similarity(cosine: Column, low: float = COSINE[0], high: float = COSINE[1]) -> Column:
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), COSINE_SCORE * (cosine - low) / (high - low)))
 
 
 def total(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> tuple[Column, Column]:
