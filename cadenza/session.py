@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _HERE = Path(__file__).resolve().parent
 #: Bytes of an Arrow batch that goes to or from a Python worker; Spark's own default lets two workers outgrow an executor of 3 GB on long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def session(name: str = "cadenza", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,3 +53,15 @@ def checkpointed(rows: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-cadenza-"))
     return rows.checkpoint()
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: the worker lives on beside the JVM, which may need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
