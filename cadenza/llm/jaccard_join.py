@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import ship
+from cadenza.session import release, ship
 
 from .arrays import mix, shingle_sets
 from .components import components
@@ -92,8 +92,9 @@ def _binned(width: int, bins: int, block: int):
         held, n = [], 0
 
         def add():
-            if held:
-                np.add(counts, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=bins).astype(np.uint32), out=counts)
+            if held:  # distinct bins are few against all, so no array of all is made
+                at, n = np.unique((np.concatenate(held) >> shift).astype(np.int32), return_counts=True)
+                counts[at] += n.astype(np.uint32)
                 held.clear()
 
         for batch in batches:
@@ -102,7 +103,7 @@ def _binned(width: int, bins: int, block: int):
                     sizes[len(own)] += 1
                 held.append(own)
                 n += len(own)
-                if n >= 1 << 21:
+                if n >= 1 << 19:
                     add()
                     n = 0
         add()
@@ -113,6 +114,8 @@ def _binned(width: int, bins: int, block: int):
                 blocks.append(k)
                 blobs.append(_packed(own))
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([part % 16] * len(blocks), pa.int32()), pa.array(blobs, pa.binary())], ["block", "part", "counts"])
+        del counts, held, blobs
+        release()
 
     return task
 
@@ -162,7 +165,12 @@ def frequencies(texts: DataFrame, width: int = WIDTH, bins: int = BINS) -> tuple
             counts[r["block"] * block : (r["block"] + 1) * block] = _unpacked(r["counts"], block)
     mean = max(1.0, float(counts.sum(dtype=np.float64)) / bins)
     spread = mean + 3 * mean**0.5
-    return np.clip(np.ceil(8 * np.log2(np.maximum(counts, 1) / spread)), 0, 127).astype(np.uint8), sizes
+    levels = np.zeros(bins, np.uint8)
+    for k in range(0, bins, block):  # block by block, as the driver's memory is small
+        levels[k : k + block] = np.clip(np.ceil(8 * np.log2(np.maximum(counts[k : k + block], 1) / spread)), 0, 127)
+    del rows, counts
+    release()
+    return levels, sizes
 
 
 def subsets_of(n: int, light: int, t: tuple[int, int] = THRESHOLD) -> int:
@@ -234,6 +242,8 @@ def _signed(width: int, levels, light: int, t: tuple[int, int]):
                 [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(last, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.bool_()))],
                 ["doc_id", "n", "first", "lists", "last", "least", "subsets", "lower"],
             )
+        seen.clear()
+        release()
 
     return task
 
@@ -253,6 +263,7 @@ def _compared(width: int, made):
                 both.sort(kind="stable")
                 out.append((own_a, own_b, both))
             yield made(batch, out)
+        release()
 
     return task
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import ship
+from cadenza.session import release, ship
 
 from .shared import bucket
 
@@ -85,6 +85,8 @@ def _counted(bins: int, block: int):
         part = TaskContext.get().partitionId() % 16
         rows = [(lang, k, part, own[k * block : (k + 1) * block].astype("<i8").tobytes()) for lang, own in counts.items() for k in range(bins // block)]
         yield _batch(rows + [(lang, _ROWS, part, np.array([n], "<i8").tobytes()) for lang, n in many.items()])
+        del counts, rows
+        release()
 
     return task
 
@@ -187,5 +189,6 @@ def recognised(docs: DataFrame, least: float = 0.5, bins: int = BINS) -> DataFra
         for column in texts:
             pred, score, above = judge(model.value, column)
             yield pa.array((np.array(pred, object) != UNKNOWN) & (score >= least) & (above > 0), pa.bool_())
+        release()
 
     return docs.where(known("text"))
