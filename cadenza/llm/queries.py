@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, language, packing, pieces, pii, quality, token_counts, url_filter
+from . import exact_dedup, fingerprints, jaccard_join, language, packing, pieces, pii, quality, repeats, resampling, runs, token_counts, url_filter
 from .shared import table
 
 
@@ -46,7 +46,19 @@ def op10_quality(spark, sf_dir):
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_pii, op4_language_id, op5_token_counts, op6_url_filter, op7_exact_dedup, op8_fingerprints, op9_jaccard_join, op10_quality)}
+def op11_runs(spark, sf_dir):
+    return runs.digested(table(spark, sf_dir, "documents"), exercise=True)
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repeats(spark, sf_dir):
+    return repeats.digested(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_pii, op4_language_id, op5_token_counts, op6_url_filter, op7_exact_dedup, op8_fingerprints, op9_jaccard_join, op10_quality, op11_runs, op12_resampling, op13_repeats)}
 
 ORACLES = {
     "op5_token_counts": r"""
