@@ -12,7 +12,7 @@ A query over whole tables needs each document's successor: rows are dealt by ran
 first and last row of each partition meet in a join of as many rows as there are partitions.
 
 Null and empty texts are one empty paragraph. Very long texts are read whole. Rows of one doc_id are ordered by their
-text's hash. A null doc_id comes first. A single row's successor is itself. Empty tables give no rows. Only doc_id and text are read.
+text's hash. A null doc_id comes first; a doc_id that is no whole number counts as null. A single row's successor is itself. Empty tables give no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """For each row, against its successor by doc_id: see SCHEMA."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.expr("try_cast(doc_id AS long)").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]
     streamed = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_streamed, f"{SCHEMA}, edge string, part long, text string")
     found = stored(streamed, "fingerprints")

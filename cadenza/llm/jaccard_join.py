@@ -31,7 +31,7 @@ that are held against it. Nothing but bins is collected (a fixed size), and tabl
 
 Null and empty texts, and texts of white space, have empty sets and link with nothing: their component is their own doc_id.
 Fewer words than a shingle are one shingle. Very long texts are read whole. Rows with one doc_id are one node. Rows without
-doc_id link with nothing, and their component is null. Empty tables give no rows. Only doc_id and text are read.
+doc_id, or with one that is no whole number, link with nothing, and their id and component are null. Empty tables give no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -320,7 +320,7 @@ def similar(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOLD,
 def _similar(docs: DataFrame, width: int, t: tuple[int, int], bins: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.expr("try_cast(doc_id AS long)").alias("doc_id"), "text")
     known = texts.where("doc_id is not null")
     found, sizes = frequencies(texts, width, bins)
     light, levels = boundary(sizes, t), spark.sparkContext.broadcast(found)
@@ -441,4 +441,4 @@ def kept_rows(docs: DataFrame, width: int = WIDTH, t: tuple[int, int] = THRESHOL
     """The rows of docs whose doc_id is the smallest of its component, or null, with all their columns."""
     with scratch() as keep:
         gone = keep(stored(similar(docs, width, t).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "join-gone"))
-    return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(small(gone), F.expr("try_cast(doc_id AS long)") == gone["__gone"], "left_anti")

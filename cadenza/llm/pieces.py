@@ -1,4 +1,4 @@
-"""Operator 2: SentencePiece encoding and decoding by a shared-prefix Viterbi search.
+"""Operator 2: SentencePiece encoding and decoding over a trie of distinct words, with the forward state of shared prefixes; for BPE models, as in the registered query, that state is a merge automaton's and holds no scores.
 
 Spaces become marks (U+2581), one more is set before the text, and the text falls into marked words: a run of marks and what
 follows. The distinct words of a batch are sorted, so that they form a trie in depth-first order: going from one word to the

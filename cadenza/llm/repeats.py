@@ -334,9 +334,10 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = stored(_named(docs).select("name", "text").mapInArrow(_cut, f"name {name}, {_PIECE}").withColumn("weight", F.lit(1).cast("long")), "repeats-pieces")
     out = None
     for level in range(len(BLOCKS)):
-        twice = rows.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core")
-        some = stored(rows.join(twice, "core", "left_semi"), "repeats-some")
+        twice = stored(rows.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core"), "repeats-cores")
+        some = stored(rows.join(small(twice), "core", "left_semi"), "repeats-some")
         discard(rows)
+        discard(twice)
         one = F.struct("name", "start", "count", "anchor")
         kinds = stored(some.groupBy("core", "content").agg(F.sum("weight").alias("weight"), F.min(one).alias("one")), "repeats-kinds")
         sizes = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-classes")

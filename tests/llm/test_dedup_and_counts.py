@@ -54,7 +54,7 @@ def test_a_second_batch_goes_into_the_index(spark):
     first = [(k, f"text {k % 30}", "en", "s", 1, "k") for k in range(50)]
     second = [(k, f"text {k % 40}" + " " * (k % 3), "en", "s", 1, "k") for k in range(100, 180)]
     a, b = spark.createDataFrame(first, SCHEMA).repartition(3), spark.createDataFrame(second, SCHEMA).repartition(4)
-    entries = exact_dedup.segments(a).withColumn("link", exact_dedup.F.lit(0))
+    entries = exact_dedup.segments(a)
     before = exact_dedup.index(entries, capacity=8)
     after, judged = exact_dedup.inserted(before, b, batch=1, capacity=8)
     whole = exact_dedup.deduplicated(a.union(b), capacity=8).collect()
@@ -68,10 +68,31 @@ def test_kept_rows_hand_on_columns_that_clash(spark):
     assert got.dtypes == docs.dtypes and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, " "), (1, "a b")]
 
 
-def test_directory_doubles():
-    depth, slots, local = exact_dedup.directory({0: 100, 1: 1, 2: 1, 3: 1}, capacity=50, max_depth=2)
-    assert (depth, slots, local) == (2, [0, 1, 2, 2], {0: 2, 1: 2, 2: 1})
-    assert exact_dedup.directory({}, 10, 3) == (0, [0], {0: 0})
+def naive_directory(counts, capacity, bits):
+    """Buckets are split and the directory doubles until none is overfull: the bucket of each slot, by its first one."""
+    depth, slots = 0, [(0, 0)]  # (prefix, local depth)
+    keys = lambda b: sum(n for p, n in counts.items() if p >> (bits - b[1]) == b[0])
+    while overfull := {b for b in slots if b[1] < bits and keys(b) > capacity}:
+        if any(b[1] == depth for b in overfull):
+            slots, depth = [b for b in slots for _ in range(2)], depth + 1
+        slots = [((k >> (depth - b[1] - 1), b[1] + 1) if b in overfull else b) for k, b in enumerate(slots)]
+    return {p: b[0] << (bits - b[1]) for p in counts for b in [slots[p >> (bits - depth)]]}
+
+
+@pytest.mark.parametrize("capacity", [1, 20, 50, 10_000])
+def test_directory_doubles(spark, capacity):
+    rng = random.Random(capacity)
+    for counts in ({0: 100, 1: 1, 2: 1, 3: 1, 31: 60}, {k: rng.randint(1, 30) for k in rng.sample(range(32), 20)}, {}):
+        rows = spark.createDataFrame(list(counts.items()), "slot long, n long")
+        assert {r["slot"]: r["bucket"] for r in exact_dedup.directory(rows, capacity, 5).collect()} == naive_directory(counts, capacity, 5)
+
+
+def test_exact_dedup_with_ids_of_any_type(spark):
+    data = [("x9", "one  two"), ("x10", "one two"), ("a", "onetwo"), (None, "one  two"), (None, None), ("b", ""), ("c", "else")]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicated(docs, capacity=1).collect()}
+    assert got == {("x9", "x9", 4, True), ("x10", "x9", 4, False), ("a", "x9", 4, False), (None, "x9", 4, False), (None, "b", 2, False), ("b", "b", 2, True), ("c", "c", 1, True)}
+    assert sorted(r["doc_id"] for r in exact_dedup.kept_rows(docs).collect()) == ["b", "c", "x9"]
 
 
 def test_fingerprints(spark):
@@ -203,8 +224,14 @@ def test_other_rows_under_a_known_name_are_an_error(spark, tmp_path):
     assert not rollup.commit("a", token_counts.inserted(docs.repartition(7), "words-1"))
 
 
+def test_fingerprints_of_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("x", "one two"), ("7", "one two"), (None, None)], "doc_id string, text string")
+    got = fingerprints.fingerprinted(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (0, 7), (7, 7)]
+
+
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 def test_pipeline(spark):

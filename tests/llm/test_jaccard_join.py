@@ -113,3 +113,9 @@ def brute_by_rows(rows, width=5):
         if (new == best).all():
             return dict(zip(ids.tolist(), best.tolist(), strict=True))
         best = new
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("x", "a b c d e f g"), ("1", "a b c d e f g"), ("2", "a b c d e f g"), (None, "h")], "doc_id string, text string")
+    assert sorted(map(tuple, jj.similar(docs, bins=1 << 10).collect()), key=str) == [(1, 3, 1), (2, 3, 1), (None, 1, None), (None, 3, None)]
+    assert sorted(str(r["doc_id"]) for r in jj.kept_rows(docs).collect()) == ["1", "None", "x"]
