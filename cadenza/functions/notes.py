@@ -26,8 +26,10 @@ DEFAULT_AUTHOR = "neel"
 
 #: What a marker may hold; each tool writes some of it, numbers as numbers or as text.
 MARKER = "struct<author:string,category:string,note:string,time:string,bar:string,at:string,ts:string,slot:string,slot_bars:string>"
-#: What a critic's reply may hold.
-REPLY = "struct<overall_score:string,verdict:string,issues:array<struct<time_sec:string,category:string,severity:string,note:string>>,sections:map<string,string>,vs_reference:struct<reference_does_better:string,biggest_gap:string>>"
+#: What a critic's reply may hold; its issues are read one by one, so that one that is none loses no other.
+REPLY = "struct<overall_score:string,verdict:string,issues:string,sections:map<string,string>,vs_reference:struct<reference_does_better:string,biggest_gap:string>>"
+
+ISSUE = "struct<time_sec:string,category:string,severity:string,note:string>"
 
 
 def _number(text: Column) -> Column:
@@ -109,6 +111,6 @@ def critique(reply: Column, duration: Column | None = None) -> Column:
     points = F.coalesce(F.from_json(better, "array<string>"), F.when(F.coalesce(better, F.lit("")) != "", F.array(better)).otherwise(F.array().cast("array<string>")))
     return F.when(R.reply_object(reply).isNotNull() & data.isNotNull(), F.struct(
         R.score_100(data["overall_score"]).alias("overall_score"), F.when(said == "", "(no verdict returned)").otherwise(said).alias("verdict"),
-        F.coalesce(F.transform(F.filter(data["issues"], lambda x: x.isNotNull()), lambda x: issue(x, duration)), F.array().cast("array<struct<time_sec:double,category:string,severity:int,note:string>>")).alias("issues"),
-        data["sections"].alias("sections"), F.when(data["vs_reference"].isNotNull(), points).alias("better"), F.trim(data["vs_reference"]["biggest_gap"]).alias("gap"),
+        F.coalesce(F.transform(F.filter(F.from_json(data["issues"], "array<string>"), lambda x: x.startswith("{")), lambda x: issue(F.from_json(x, ISSUE), duration)), F.array().cast("array<struct<time_sec:double,category:string,severity:int,note:string>>")).alias("issues"),
+        F.coalesce(data["sections"], F.create_map().cast("map<string,string>")).alias("sections"), F.when(data["vs_reference"].isNotNull(), points).alias("better"), F.trim(data["vs_reference"]["biggest_gap"]).alias("gap"),
     ))

@@ -81,7 +81,7 @@ def key_flow(rows: DataFrame, group: str, order: str, code: str, largest: int =
     return own.mapInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, source string, {_FLOW}")
 
 
-def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: int, most: int | None = None) -> DataFrame:
+def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: float, most: int | None = None) -> DataFrame:
     """key, t, value: the strongest rows of each group that are apart from all stronger chosen ones; most of them at the most. Ties: the earlier.
 
     Rows on two sides of a gap of that width don't bear on each other, so the runs between gaps are dealt out and streamed in sorted

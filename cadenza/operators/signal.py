@@ -75,21 +75,6 @@ def chroma(x: np.ndarray, rate: int, size: int = 8192, hop: int = 2048) -> np.nd
     return out / np.maximum(out.sum(axis=0), 1e-12)
 
 
-def track_measures(clips: DataFrame) -> DataFrame:
-    """track_id, seconds, bpm, peak_db and rms_db of clips (track_id, sr, chunk, samples), a track's chunks in order in one group."""
-    ship(clips.sparkSession)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        x, rate = np.concatenate([np.asarray(s, float) for s in rows["samples"]]), int(rows["sr"].iloc[0])
-        mel = np.log1p(1000 * np.abs(stft(x, 1024, 256)))
-        onset = np.maximum(0, np.diff(mel, axis=1, prepend=mel[:, :1])).sum(axis=0)
-        level = lambda v: 20 * np.log10(max(float(v), 1e-6))
-        return pd.DataFrame({"track_id": rows["track_id"].iloc[:1], "seconds": [len(x) / rate], "bpm": [tempo(onset, rate / 256)], "peak_db": [level(np.abs(x).max())], "rms_db": [level(np.sqrt(np.mean(x * x)))]})
-
-    return clips.groupBy("track_id").applyInPandas(one, "track_id string, seconds double, bpm double, peak_db double, rms_db double")
-
-
 def subsequence_cost(query: np.ndarray, target: np.ndarray) -> float:
     """The least mean cost of aligning all of the query with a part of the target; 1 if either has fewer than 3 rows.
 

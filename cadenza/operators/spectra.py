@@ -1,12 +1,8 @@
-"""Spectral measures of tracks: numpy kernels that run inside grouped tasks, one track at a time, in blocks of frames."""
+"""Spectral kernels of whole signals with numpy, in blocks of frames. Tracks in chunks go through cadenza.operators.chunks."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from cadenza.session import ship
 
 SIZE, HOP = 2048, 512
 #: Frames that are transformed at once.
@@ -15,7 +11,7 @@ BLOCK = 2048
 
 def blocks(x: np.ndarray, size: int = SIZE, hop: int = HOP, block: int = BLOCK):
     """Magnitudes (bins x frames) of the signal, some frames at a time, so that no whole spectrum is held."""
-    padded = np.pad(np.asarray(x, float), size // 2)
+    padded = np.pad(np.asarray(x, float), size // 2, mode="reflect" if len(x) > size // 2 else "constant")
     frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
     for at in range(0, len(frames), block):
@@ -43,12 +39,17 @@ def log_mel(x: np.ndarray, rate: int, bands: int = 96) -> np.ndarray:
     return np.log1p(1000 * reduced(x, lambda m: bank @ m))
 
 
-def mfcc(x: np.ndarray, rate: int, n: int = 13, bands: int = 40) -> np.ndarray:
-    """The first n rows of the orthonormal cosine transform of the log-mel bands."""
+def cosines(n: int, bands: int) -> np.ndarray:
+    """The first n rows of the orthonormal cosine transform of so many bands."""
     k, b = np.arange(n)[:, None], np.arange(bands)[None, :]
     basis = np.cos(np.pi * k * (2 * b + 1) / (2 * bands)) * np.sqrt(2 / bands)
     basis[0] /= np.sqrt(2)
-    return basis @ log_mel(x, rate, bands)
+    return basis
+
+
+def mfcc(x: np.ndarray, rate: int, n: int = 13, bands: int = 40) -> np.ndarray:
+    """The first n rows of the orthonormal cosine transform of the log-mel bands."""
+    return cosines(n, bands) @ log_mel(x, rate, bands)
 
 
 def rms_frames(x: np.ndarray, size: int = SIZE, hop: int = HOP) -> np.ndarray:
@@ -134,25 +135,6 @@ def clicks(x: np.ndarray, rate: int, short: float = 0.002, long: float = 0.05, l
     return inside[np.sqrt(after) < louder * np.sqrt(np.maximum(before, 1e-12))] / rate
 
 
-def measures(clips: DataFrame) -> DataFrame:
-    """For each track of clips (track_id, sr, chunk, samples): seconds, flatness, low_share (of the level below 150 Hz), voice_share (300 to 3400 Hz), onsets and clicks a minute, and the mean mfcc. A track's chunks are one group."""
-    ship(clips.sparkSession)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        x, rate = np.concatenate([np.asarray(s, float) for s in rows["samples"]]), int(rows["sr"].iloc[0])
-        mel = log_mel(x, rate)
-        rise = np.maximum(0, np.diff(mel, axis=1, prepend=mel[:, :1])).sum(axis=0)
-        whole = max(float(band_level(x, rate, 20, rate / 2).sum()), 1e-12)
-        minutes = max(len(x) / rate / 60, 1e-9)
-        return pd.DataFrame({
-            "track_id": rows["track_id"].iloc[:1], "seconds": [len(x) / rate], "flatness": [float(flatness(x).mean())], "low_share": [float(band_level(x, rate, 20, 150).sum()) / whole], "voice_share": [float(band_level(x, rate, 300, 3400).sum()) / whole],
-            "onsets": [len(onsets(rise, rate / HOP)[0]) / minutes], "clicks": [len(clicks(x, rate)) / minutes], "mfcc": [mfcc(x, rate).mean(axis=1).tolist()],
-        })
-
-    return clips.where("sr is not null").groupBy("track_id").applyInPandas(one, "track_id string, seconds double, flatness double, low_share double, voice_share double, onsets double, clicks double, mfcc array<double>")
-
-
 def stacked(features: np.ndarray, lag: int = 4, step: int = 2) -> np.ndarray:
     """Each frame with the ones that follow it, `lag` in all, `step` apart; frames without them fall away."""
     n = features.shape[1] - (lag - 1) * step

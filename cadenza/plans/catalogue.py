@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import notes, records, series
+from cadenza.plans import audio, notes, records, series
 
-QUERIES: dict = {**series.QUERIES, **records.QUERIES, **notes.QUERIES}
+QUERIES: dict = {**series.QUERIES, **records.QUERIES, **notes.QUERIES, **audio.QUERIES}
 ORACLES: dict = {**series.ORACLES, **records.ORACLES, **notes.ORACLES}
 
 flagship = series.alignment_report

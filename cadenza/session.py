@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +56,33 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+class Workbench:
+    """Tables between steps as Parquet in the folder that spark.checkpoint.dir names (where it is unset and all runs on one machine, one of our own): lineage ends there, and losing an executor costs no more than a step."""
+
+    def __init__(self, spark: SparkSession):
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-cadenza-"))
+        self.spark, self.folder, self._paths = spark, context.getCheckpointDir(), []
+
+    def put(self, rows: DataFrame, keep: bool = False) -> DataFrame:
+        """rows, worked out once. keep: not deleted by clear()."""
+        path = f"{self.folder}/table-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        if not keep:
+            self._paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes what put() wrote, once nothing reads it any more."""
+        for path in self._paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._paths = []
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to the system: the worker lives on beside the JVM, which may need it."""
     import ctypes

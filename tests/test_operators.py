@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys, numeric, records, titles
-from cadenza.operators import folds, lattice, matching, scoring, signal
+from cadenza.operators import beats, folds, lattice, matching, scoring, signal
 
 
 def one(spark, *columns):
@@ -35,8 +35,8 @@ def test_keys(spark):
 
 
 def test_titles(spark):
-    p = one(spark, titles.parsed(F.lit("Some Artist - A Track (feat. Guest) [JLOOD & Kosuk Extended Remix] | FREE DOWNLOAD.mp3")))[0]
-    assert (p["artist"], p["track"], p["remixer"], p["kind"], p["feat"], p["ambiguous"]) == ("Some Artist", "A Track", "JLOOD & Kosuk", "remix", "Guest", False)
+    p = one(spark, titles.parsed(F.lit("Some Artist - A Track (feat. Guest) [Mira Koss & Novak Extended Remix] | FREE DOWNLOAD.mp3")))[0]
+    assert (p["artist"], p["track"], p["remixer"], p["kind"], p["feat"], p["ambiguous"]) == ("Some Artist", "A Track", "Mira Koss & Novak", "remix", "Guest", False)
     p = one(spark, titles.parsed(F.lit("Only A Name (Extended Mix)")))[0]
     assert (p["artist"], p["track"], p["remixer"], p["kind"], p["ambiguous"]) == ("", "Only A Name", "", "mix", True)
     assert one(spark, titles.normalised(F.lit("a_b_c – d.mp3")), titles.tokens(F.lit("Beyoncé (Official Video)")), titles.slug(F.lit("A b-C"))) == ("a b c - d", ["beyonce"], "abc")
@@ -130,8 +130,9 @@ def test_signal(spark):
     data = []
     for bpm in (90.0, 124.0, 140.0):
         x = clicks(bpm)
-        data += [(str(bpm), 8000, k, [float(v) for v in part]) for k, part in enumerate(np.array_split(x, 4))]
-    got = {r["track_id"]: r for r in signal.track_measures(spark.createDataFrame(data, "track_id string, sr int, chunk int, samples array<float>")).collect()}
+        parts = np.array_split(x, 4)
+        data += [(str(bpm), 8000, k, sum(map(len, parts[:k])), [float(v) for v in part]) for k, part in enumerate(parts)]
+    got = {r["track_id"]: r for r in beats.track_measures(spark.createDataFrame(data, "track_id string, sr int, chunk int, start_sample long, samples array<float>")).collect()}
     for bpm in (90.0, 124.0, 140.0):
         assert abs(got[str(bpm)]["bpm"] - bpm) < 2.0 and abs(got[str(bpm)]["seconds"] - 12) < 1e-6
     t = np.arange(8000 * 3) / 8000
