@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators import beats, chunks, pairs
+from cadenza.operators import prints as excerpts
 from cadenza.plans.series import r6
 from cadenza.sources.tables import table
 
@@ -75,3 +76,11 @@ def pair_match(spark, sf_dir):
     asked = names.select("original", F.explode(F.sequence(F.col("original"), F.col("original") + 2)).alias("remix"))
     known = names.select(F.col("original").alias("remix"))
     return r6(pairs.matched(asked.join(known, "remix"), prints(spark, sf_dir)).drop("note"))
+
+
+@query
+def excerpt_prints(spark, sf_dir):
+    """The print of each recording's most voiced six seconds, a row for each of its frames."""
+    rows = excerpts.printed(clips(spark, sf_dir), 6.0, FRAMES, 256, CELL)
+    frames = rows.select("name", "bpm", "downbeat", "begin", "seconds", F.posexplode("frames").alias("frame", "v"))
+    return r6(frames.select("name", "bpm", "downbeat", "begin", "seconds", "frame", *(F.get("v", F.lit(k)).alias(f"class_{k}") for k in range(12))))

@@ -36,8 +36,13 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def wav_clips(spark: SparkSession, folder: str, chunk: int = 1 << 16, overlap: int = 2048) -> DataFrame:
     """The mono samples of WAV files in overlapping chunks; see CLIPS. A file that can't be read has one row with a null rate."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    return wav_samples(files, chunk, overlap)
+
+
+def wav_samples(files: DataFrame, chunk: int = 1 << 16, overlap: int = 0) -> DataFrame:
+    """The same of files (path, content), whose track_id is the path. Kernels over chunks need no overlap, and don't mind it."""
+    ship(files.sparkSession)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -47,21 +52,20 @@ def wav_clips(spark: SparkSession, folder: str, chunk: int = 1 << 16, overlap: i
 
         for batch in batches:
             for path, content in batch.itertuples(index=False, name=None):
-                name = path.rsplit("/", 1)[-1]
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
                         raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8).reshape(-1, width)
                 except (wave.Error, EOFError, ValueError):
-                    yield pd.DataFrame({"track_id": [name], "sr": pd.array([None], "Int32"), "chunk": [0], "start_sample": [0], "samples": [None]})
+                    yield pd.DataFrame({"track_id": [path], "sr": pd.array([None], "Int32"), "chunk": [0], "start_sample": [0], "samples": [None]})
                     continue
                 wide = np.zeros((len(raw), 4), np.uint8)
                 wide[:, 4 - width :] = raw ^ np.uint8(128) if width == 1 else raw
                 x = wide.view("<i4").reshape(-1, channels).mean(axis=1) / 2**31
-                rows = [(name, rate, k, at, x[at : at + chunk + overlap].astype(np.float32)) for k, at in enumerate(range(0, max(len(x), 1), chunk))]
+                rows = [(path, rate, k, at, x[at : at + chunk + overlap].astype(np.float32)) for k, at in enumerate(range(0, max(len(x), 1), chunk))]
                 yield pd.DataFrame(rows, columns=["track_id", "sr", "chunk", "start_sample", "samples"])
 
-    return files.mapInPandas(decode, CLIPS)
+    return files.select("path", "content").mapInPandas(decode, CLIPS)
 
 
 def links(spark: SparkSession, path: str) -> DataFrame:

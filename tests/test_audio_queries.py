@@ -150,3 +150,62 @@ def test_paths():
         ends = [(best[n - 1, j][0] / best[n - 1, j][1], j, best[n - 1, j][1]) for j in range(m) if (n - 1, j) in best]
         want = min(ends) if ends and min(n, m) >= 3 else (1.0, 0, 0)
         assert np.allclose(P.best_path(cost), want)
+
+
+def test_excerpt_prints(spark, recordings):
+    got = {}
+    for r in audio.excerpt_prints(spark, DATA).orderBy("name", "frame").collect():
+        got.setdefault(r["name"], []).append(r)
+    for name, x in recordings.items():
+        hertz = np.fft.rfftfreq(64, 1 / 400)
+        level = lambda a, b: S.reduced(x, lambda m: np.sqrt((m[(hertz >= a) & (hertz < b)] ** 2).mean(axis=0)) if ((hertz >= a) & (hertz < b)).any() else np.zeros(m.shape[1]), 64, 8)  # noqa: E731, B023
+        begin = S.voiced_window(level(300, 4000), level(30, 200), 50.0, 6.0)
+        own = x[int(begin * 400) : int(begin * 400) + 2400]
+        power = S.reduced(own, lambda m: m * m, 256, 8)
+        bins = np.fft.rfftfreq(256, 1 / 400)
+        folded = np.zeros((12, power.shape[1]))
+        for k, h in enumerate(bins):
+            if 55 < h < 5000:
+                folded[round(69 + 12 * np.log2(h / 440)) % 12] += power[k]
+        folded = np.log1p(10 * folded / folded.sum(axis=0))
+        frames = S.resampled(folded, max(2, round(folded.shape[1] * 8 / 400 * 10)))
+        frames = frames - frames.mean(axis=1, keepdims=True)
+        frames = frames / np.maximum(np.linalg.norm(frames, axis=0), 1e-9)
+        assert np.allclose([[r[f"class_{k}"] for k in range(12)] for r in got[name]], frames.T, atol=2e-6)
+        assert abs(got[name][0]["begin"] - begin) < 1e-6 and abs(got[name][0]["seconds"] - len(own) / 400) < 1e-6
+
+
+def test_the_store_reads_only_what_is_new(spark, tmp_path):
+    import wave
+
+    from cadenza.operators import prints
+    from cadenza.sources import files
+
+    def save(name, hertz, seconds=3, rate=4000):
+        x = 0.4 * np.sin(2 * np.pi * hertz * np.arange(seconds * rate) / rate)
+        with wave.open(str(tmp_path / "wav" / name), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes((x * 32767).astype("<i2").tobytes())
+
+    (tmp_path / "wav").mkdir()
+    save("a.wav", 220)
+    save("b.wav", 330)
+    (tmp_path / "wav" / "broken.wav").write_bytes(b"RIFF")
+    listing = lambda: files.audio_files(spark, str(tmp_path / "wav")).select("path", "size", "changed")
+    load = lambda paths: spark.read.format("binaryFile").load(paths).select("path", "content")
+    measure = lambda rows: prints.classes(files.wav_samples(rows), 1024, 256).withColumnRenamed("track_id", "name")
+    store = prints.Store(spark, str(tmp_path / "store"))
+    assert store.read() is None and store.update(listing(), load, measure) == {"read": 3, "measured": 3, "kept": 0, "dropped": 0}
+    rows = lambda: {r["path"].rsplit("/", 1)[-1]: r["frames"] for r in store.read().collect()}
+    first = rows()
+    assert set(first) == {"a.wav", "b.wav", "broken.wav"} and first["broken.wav"] is None and np.array(first["a.wav"]).shape[1] == 12
+    assert store.update(listing(), load, measure) == {"read": 0, "measured": 0, "kept": 3, "dropped": 0} and rows() == first
+    (tmp_path / "wav" / "b.wav").unlink()
+    (tmp_path / "wav" / "copy.wav").write_bytes((tmp_path / "wav" / "a.wav").read_bytes())
+    save("c.wav", 440)
+    assert store.update(listing(), load, measure) == {"read": 2, "measured": 1, "kept": 2, "dropped": 1}
+    after = rows()
+    assert set(after) == {"a.wav", "broken.wav", "copy.wav", "c.wav"} and after["a.wav"] == first["a.wav"] == after["copy.wav"] != after["c.wav"]
+    assert len(store.versions()) == 2
