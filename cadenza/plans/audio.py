@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import tags
 from cadenza.operators import beats, chunks, pairs
 from cadenza.operators import prints as excerpts
 from cadenza.plans.series import r6
-from cadenza.sources.tables import table
+from cadenza.sources.tables import micros, table
 
 RATE, VECTORS = 400, 64
 #: Frames that fit recordings of ten seconds at this rate.
@@ -84,3 +85,22 @@ def excerpt_prints(spark, sf_dir):
     rows = excerpts.printed(clips(spark, sf_dir), 6.0, FRAMES, 256, CELL)
     frames = rows.select("name", "bpm", "downbeat", "begin", "seconds", F.posexplode("frames").alias("frame", "v"))
     return r6(frames.select("name", "bpm", "downbeat", "begin", "seconds", "frame", *(F.get("v", F.lit(k)).alias(f"class_{k}") for k in range(12))))
+
+
+def tagged(spark, sf_dir) -> DataFrame:
+    """user_id, title, cues and the tag's bytes: each user's first ten events are cues of a recording."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (micros("ts") / 1000).cast("long").alias("ms"), "value")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ms", "event_id"))
+    cue = F.struct("k", F.col("event_type").alias("name"), (F.col("ms") % 86_400_000).alias("millis"), F.pmod(F.floor("value"), F.lit(256)).cast("int").alias("red"), (F.col("event_id") % 256).cast("int").alias("green"), F.lit(7).alias("blue"))
+    rows = e.withColumn("k", k).where("k <= 10").groupBy("user_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    title = F.concat(F.lit("Listener "), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, " Ω").when(F.col("user_id") % 3 == 1, " é").otherwise(""))
+    frames = (tags.text_frame("TIT2", title), tags.text_frame("TBPM", F.format_string("%.2f", (100 + F.col("user_id") % 40).cast("double"))), tags.described_frame("TXXX", F.lit("INITIALKEY"), F.lit("Am")), tags.described_frame("COMM", F.lit(""), title, "eng"), tags.object_frame(tags.MARKERS, tags.markers(F.col("cues"))))
+    return rows.select("user_id", title.alias("title"), "cues", tags.tag(*frames).alias("bytes"))
+
+
+@query
+def tag_round_trip(spark, sf_dir):
+    """Tags written and read again: their digest, and title, key, comment and cues as they come back."""
+    rows = tags.with_fields(tagged(spark, sf_dir).select("user_id", "bytes"), "bytes")
+    cues = F.transform(F.filter("tag.entries", lambda e: e["kind"] == "cue"), lambda e: F.concat_ws(":", e["index"].cast("string"), e["millis"].cast("string"), e["color"], e["name"]))
+    return rows.select("user_id", F.sha2("bytes", 256).alias("digest"), F.col("tag.texts")["TIT2"].alias("title"), F.col("tag.described")["INITIALKEY"].alias("key"), F.col("tag.comments")[""].alias("comment"), F.array_join(cues, ",").alias("cues"), F.col("tag.error").alias("error"))
