@@ -270,7 +270,7 @@ def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key and median of a column's values, by sorted rows, so that no group is held."""
     rows = rows.select(key, F.col(value).alias("v"), F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("k"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    return rows.where(F.col("k").isin(0) | (F.col("k") == F.floor((F.col("n") + 1) / 2)) | (F.col("k") == F.floor(F.col("n") / 2) + 1)).groupBy(key).agg(F.avg("v").alias("median"))
+    return rows.where((F.col("k") == F.floor((F.col("n") + 1) / 2)) | (F.col("k") == F.floor(F.col("n") / 2) + 1)).groupBy(key).agg(F.avg("v").alias("median"))
 
 
 def tracked(envelope: DataFrame, tempo: DataFrame, bench: Workbench, frames: Frames = FRAMES) -> DataFrame:
@@ -333,7 +333,7 @@ def _sampled(c: Cell, frames: Frames, times: np.ndarray, offsets: np.ndarray) ->
     share = place - whole
     low, high = int(whole.min()), int(whole.max()) + 2
     x = c.beyond(low, high)[:, :2]
-    found = x[whole - low] * (1 - share)[..., None] + x[np.minimum(whole + 1, c.total - 1) - low if high > c.total else whole + 1 - low] * share[..., None]
+    found = x[whole - low] * (1 - share)[..., None] + x[whole + 1 - low] * share[..., None]
     found[(place < 0) | (place > c.total - 1)] = 0.0
     return found.sum(axis=1)
 
