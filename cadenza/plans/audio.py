@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import tags
-from cadenza.operators import beats, chunks, pairs
+from cadenza.operators import beats, chunks, loops, pairs
 from cadenza.operators import prints as excerpts
 from cadenza.plans.series import r6
 from cadenza.sources.tables import micros, table
@@ -57,6 +57,15 @@ def beat_times(spark, sf_dir):
     return r6(found.select("track_id", "place", "seconds"))
 
 
+@query
+def loop_search(spark, sf_dir):
+    """The best loops of one, two and four bars of each recording, a row for each of their kicks."""
+    rows = clips(spark, sf_dir)
+    grid, found = beats.grids(rows, FRAMES, CELL)
+    best = loops.looped(rows, found, grid, (1, 2, 4), FRAMES, CELL)
+    return r6(best.select("track_id", "bars", "place", "begin", "end", "score", F.posexplode_outer("kicks").alias("beat", "kick")))
+
+
 def prints(spark, sf_dir) -> DataFrame:
     """name, bpm, source, frames: a recording's vectors folded to 12 classes, centred, of length 1; the tempo from the mean label."""
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).alias("name"), "vec_id", "label", F.posexplode("embedding").alias("d", "x"))
