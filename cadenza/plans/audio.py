@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import tags
-from cadenza.operators import beats, chunks, loops, pairs
+from cadenza.operators import beats, chunks, loops, pairs, sections
 from cadenza.operators import prints as excerpts
 from cadenza.plans.series import r6
 from cadenza.sources.tables import micros, table
@@ -66,6 +66,19 @@ def loop_search(spark, sf_dir):
     return r6(best.select("track_id", "bars", "place", "begin", "end", "score", F.posexplode_outer("kicks").alias("beat", "kick")))
 
 
+def bars(spark, sf_dir) -> DataFrame:
+    """track_id, seconds of the bars of half a second that the sections of a recording keep to."""
+    lengths = clips(spark, sf_dir).groupBy("track_id").agg(F.max(F.col("start_sample") + F.size("samples")).alias("n"))
+    return lengths.select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") * 2 / RATE).cast("int"))).alias("k")).select("track_id", (F.col("k") / 2 + 0.1).alias("seconds"))
+
+
+@query
+def track_sections(spark, sf_dir):
+    """The sections of each recording, with bars of half a second."""
+    downs = bars(spark, sf_dir)
+    return r6(sections.segmented(clips(spark, sf_dir), downs, downs.select("track_id").distinct().withColumn("bar", F.lit(0.5)), FRAMES, 256, CELL, 8, 2))
+
+
 def prints(spark, sf_dir) -> DataFrame:
     """name, bpm, source, frames: a recording's vectors folded to 12 classes, centred, of length 1; the tempo from the mean label."""
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).alias("name"), "vec_id", "label", F.posexplode("embedding").alias("d", "x"))
