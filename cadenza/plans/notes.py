@@ -9,8 +9,10 @@ from cadenza.functions import choices as C
 from cadenza.functions import keys as K
 from cadenza.functions import names as NA
 from cadenza.functions import notes as NO
-from cadenza.operators import arrangement, lattice, ledger
+from cadenza.operators import arrangement, lattice, ledger, patches
 from cadenza.plans.series import E_, HOUR, _events, r6
+from cadenza.session import Workbench
+from cadenza.sinks.versions import Versions
 from cadenza.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -233,3 +235,41 @@ SELECT user_id, count(*) AS hits, round(count(*) / greatest((max(t) - min(t)) /
 def kick_collision(spark, sf_dir):
     """How much of a user's events fall on the hour, and off the half hours."""
     return r6(lattice.kick_collision(_events(spark, sf_dir), ["user_id"], "t", "value", HOUR, 300_000_000))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, value, event_id % 3 AS b, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT user_id, arg_max(event_id, b) AS event_id, arg_max(event_type, b) AS event_type, arg_max(value, b) AS value, (min(b) + 1)::BIGINT AS added, (max(b) + 1)::BIGINT AS updated FROM e WHERE k = 1 GROUP BY user_id""")
+def ledger_versions(spark, sf_dir):
+    """A versioned ledger of users' last events, put in three batches: what its third version holds."""
+    bench = Workbench(spark)
+    ledger_ = Versions(spark, bench.path("ledger"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    for b in range(3):
+        ledger_.put(e.where(F.col("event_id") % 3 == b), "user_id", ["ts", "event_id"], ("events", b))
+    out = bench.put(ledger_.read().drop("ts"), keep=True)
+    bench.clear()
+    return out
+
+
+_PATCH = """
+WITH p AS (SELECT l_orderkey, 20.0 + l_orderkey % 3 * 20 AS duration, 1 + l_orderkey % 2 AS grain FROM lineitem GROUP BY l_orderkey),
+     i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k, l_linenumber % 3 + 1 + CASE WHEN l_partkey % 5 = 0 THEN 10 ELSE 0 END AS slot, CASE l_suppkey % 4 WHEN 0 THEN 'drop_var' WHEN 1 THEN 'intro' WHEN 2 THEN 'polka' END AS pattern, l_quantity / 25 AS gain, l_extendedprice % 80 AS start, CASE WHEN l_partkey % 7 > 0 THEN l_returnflag || repeat('x', (l_partkey % 40)::INT) ELSE '' END AS label FROM lineitem),
+     v AS (SELECT i.*, CASE WHEN pattern IN ('drop_var', 'intro') THEN pattern END AS p, CASE WHEN gain <= 1 THEN gain END AS g, CASE WHEN start < duration AND round_even(start / (2 * grain), 0) * 2 * grain < duration THEN round_even(start / (2 * grain), 0) * 2 * grain END AS s, CASE WHEN label <> '' THEN label[1:32] END AS l FROM i JOIN p USING (l_orderkey)),
+     a AS (SELECT l_orderkey, slot, arg_max(p, k) FILTER (WHERE p IS NOT NULL) AS p, arg_max(g, k) FILTER (WHERE g IS NOT NULL) AS g, arg_max(s, k) FILTER (WHERE s IS NOT NULL) AS s, arg_max(l, k) FILTER (WHERE l IS NOT NULL) AS l, count(p) + count(g) + count(s) + count(l) AS taken, count(pattern) + 3 * count(*) - count(p) - count(g) - count(s) - count(l) AS refused FROM v GROUP BY l_orderkey, slot)"""
+
+
+@query(f"""{_PATCH}
+SELECT lineitem.l_orderkey, l_linenumber AS slot, coalesce(p, 'drop') AS drum_pattern, coalesce(g, l_discount) AS source_gain, coalesce(s, 0.0) AS source_start, coalesce(l, l_linestatus) AS source_label, coalesce(taken, 0) AS taken, coalesce(refused, 0) AS refused FROM lineitem LEFT JOIN a ON a.l_orderkey = lineitem.l_orderkey AND a.slot = l_linenumber""")
+def plan_patches(spark, sf_dir):
+    """Orders as plans with lines as slots, after a reply for each order with an instruction by line: some for slots that aren't there, some with fields that are refused."""
+    li = table(spark, sf_dir, "lineitem")
+    pattern = F.when(F.col("l_suppkey") % 4 == 0, "drop_var").when(F.col("l_suppkey") % 4 == 1, "intro").when(F.col("l_suppkey") % 4 == 2, "polka")
+    label = F.when(F.col("l_partkey") % 7 > 0, F.concat("l_returnflag", F.expr("repeat('x', int(l_partkey % 40))"))).otherwise("")
+    index = F.col("l_linenumber") % 3 + 1 + F.when(F.col("l_partkey") % 5 == 0, 10).otherwise(0)
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.struct(index.alias("index"), pattern.alias("drum_pattern"), (F.col("l_quantity") / 25).alias("source_gain"), (F.col("l_extendedprice") % 80).alias("source_start"), label.alias("source_label")).alias("item"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
+    replies = li.groupBy("l_orderkey").agg(F.concat(F.lit("Here you are: "), F.to_json(F.struct(F.lit("note").alias("note"), items.alias("slots"))), F.lit(" Enjoy.")).alias("reply"))
+    plans = li.select("l_orderkey").distinct().select("l_orderkey", (20.0 + F.col("l_orderkey") % 3 * 20).alias("duration"), F.lit(2.0).alias("bar"), (1 + F.col("l_orderkey") % 2).alias("grain"))
+    slots = li.select("l_orderkey", F.col("l_linenumber").alias("slot"), F.lit("drop").alias("drum_pattern"), F.col("l_discount").alias("source_gain"), F.lit(0.0).alias("source_start"), F.col("l_linestatus").alias("source_label"))
+    return patches.patched(slots, patches.instructions(replies, slots, plans, "l_orderkey"), "l_orderkey")

@@ -67,12 +67,17 @@ class Workbench:
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-cadenza-"))
         self.spark, self.folder, self._paths = spark, context.getCheckpointDir(), []
 
+    def path(self, name: str = "table") -> str:
+        """A new path in the folder, deleted by clear()."""
+        self._paths.append(f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        return self._paths[-1]
+
     def put(self, rows: DataFrame, keep: bool = False) -> DataFrame:
         """rows, worked out once. keep: not deleted by clear()."""
-        path = f"{self.folder}/table-{uuid.uuid4().hex}"
+        path = self.path()
         rows.write.parquet(path)
-        if not keep:
-            self._paths.append(path)
+        if keep:
+            self._paths.remove(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def clear(self) -> None:
