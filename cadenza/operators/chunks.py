@@ -282,3 +282,16 @@ def pitched(clips: DataFrame, length: int = 8192, hop: int = 1024, low: float =
 
     wide = halo(length, hop)
     return kernelled(haloed(clips, cell, wide, wide), cell, kernel, "frame long, seconds double, hertz double, clarity double").drop("sr")
+
+
+def levels(clips: DataFrame, size: int, hop: int, cell: int = CELL) -> DataFrame:
+    """track_id, sr, start, values: the level of so many samples from each hop on, as far as there are that many."""
+
+    def kernel(c: Cell) -> list[tuple]:
+        first, last = -(-c.start // hop), min((c.end - 1) // hop, (c.total - size) // hop)
+        if last < first:
+            return []
+        views = np.lib.stride_tricks.sliding_window_view(c.beyond(first * hop, last * hop + size), size)[::hop]
+        return [(first, np.concatenate([np.sqrt((views[k : k + 256] ** 2).mean(axis=1)) for k in range(0, len(views), 256)]).tolist())]
+
+    return kernelled(haloed(clips, cell, 0, size), cell, kernel, "start long, values array<double>")

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import chunks
 from cadenza.operators.beats import ATTACK_LATENCY, FRAMES, Frames, fine_envelopes
 from cadenza.operators.chunks import CELL, Cell, haloed, kernelled, scaled
 from cadenza.session import Workbench
@@ -24,16 +25,7 @@ BEATS = 4
 
 def levels(clips: DataFrame, bench: Workbench, frames: Frames = FRAMES, cell: int = CELL) -> DataFrame:
     """track_id, sr, start, values: the level of the samples from each hop of the attack envelope on, over the track's largest."""
-    size, hop = frames.size, frames.attack_hop
-
-    def kernel(c: Cell) -> list[tuple]:
-        first, last = -(-c.start // hop), min((c.end - 1) // hop, (c.total - size) // hop)
-        if last < first:
-            return []
-        views = np.lib.stride_tricks.sliding_window_view(c.beyond(first * hop, last * hop + size), size)[::hop]
-        return [(first, np.concatenate([np.sqrt((views[k : k + 256] ** 2).mean(axis=1)) for k in range(0, len(views), 256)]).tolist())]
-
-    return bench.put(scaled(bench.put(kernelled(haloed(clips, cell, 0, size), cell, kernel, "start long, values array<double>"))))
+    return bench.put(scaled(bench.put(chunks.levels(clips, frames.size, frames.attack_hop, cell))))
 
 
 def _spans(beats: DataFrame, fine: DataFrame, hop: int) -> DataFrame:
@@ -174,3 +166,11 @@ def looped(clips: DataFrame, beats: DataFrame, phases: DataFrame, lengths: tuple
     out = bench.put(best_loops(found, phases, lengths, allowed), keep=True)
     bench.clear()
     return out
+
+
+def repeated(spans: DataFrame, offsets: str = "kicks") -> DataFrame:
+    """spans (low, high: samples, high exclusive; sr, period: samples of a loop; offsets: seconds from its begin) with seconds: the kicks of the loop, repeated from 0 on, that are within. A row for each; spans without kicks or period have none."""
+    turns = F.sequence(F.floor(F.col("low") / F.col("period")), F.ceil(F.col("high") / F.col("period")))
+    rows = spans.where((F.col("period") > 0) & (F.size(offsets) > 0)).withColumn("__turn", F.explode(turns)).withColumn("__offset", F.explode(offsets))
+    rows = rows.withColumn("seconds", F.col("__turn") * (F.col("period") / F.col("sr")) + F.col("__offset"))
+    return rows.where((F.col("low") <= F.col("seconds") * F.col("sr")) & (F.col("seconds") * F.col("sr") < F.col("high"))).drop("__turn", "__offset")

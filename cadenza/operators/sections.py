@@ -94,13 +94,21 @@ def quantiles(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
     return near.groupBy(key).agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("quantile"))
 
 
-def _tops(curve: DataFrame) -> DataFrame:
+def tops(curve: DataFrame) -> DataFrame:
     """track_id, frame, v of the places above what is to both sides; of a flat top the middle."""
     line = Window.partitionBy("track_id").orderBy("frame")
     last = F.max("frame").over(Window.partitionBy("track_id"))
     changes = curve.select("*", F.lag("v").over(line).alias("before"), last.alias("last")).where("before is null or before <> v")
-    tops = changes.select("*", F.lead("v").over(line).alias("after"), F.lead("frame").over(line).alias("next"))
-    return tops.where("before < v and after < v").select("track_id", F.floor((F.col("frame") + F.col("next") - 1) / 2).alias("frame"), "v")
+    found = changes.select("*", F.lead("v").over(line).alias("after"), F.lead("frame").over(line).alias("next"))
+    return found.where("before < v and after < v").select("track_id", F.floor((F.col("frame") + F.col("next") - 1) / 2).alias("frame"), "v")
+
+
+def strongest(rows: DataFrame, apart: Column) -> DataFrame:
+    """rows (track_id, frame, v) that are so many frames, a number of their track's own, from all stronger ones that stay; of equal ones the earlier."""
+    # greedy_apart takes one distance for all: frames are counted in units of their track's own
+    rows = rows.withColumn("__t", F.col("frame") * 1_000_000 / apart)
+    chosen = folds.greedy_apart(rows, "track_id", "__t", "v", 999_999.5)
+    return rows.join(chosen.select("track_id", "__t"), ["track_id", "__t"], "left_semi").drop("__t")
 
 
 def snapped(times: DataFrame, grid: DataFrame) -> DataFrame:
@@ -108,7 +116,8 @@ def snapped(times: DataFrame, grid: DataFrame) -> DataFrame:
     both = times.select("track_id", "seconds", F.lit(1).alias("asked")).unionByName(grid.select("track_id", "seconds", F.lit(0).alias("asked")))
     line, known = Window.partitionBy("track_id").orderBy("seconds", "asked"), F.when(F.col("asked") == 0, F.col("seconds"))
     before = F.last(known, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("track_id").orderBy(F.desc("seconds"), "asked")
+    after = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = both.select("track_id", "seconds", "asked", before.alias("before"), after.alias("after")).where("asked = 1")
     nearest = F.when(F.col("seconds") - F.col("before") <= F.col("after") - F.col("seconds"), F.col("before")).otherwise(F.coalesce("after", "before", "seconds"))
     return rows.select("track_id", nearest.alias("seconds"))
@@ -134,11 +143,8 @@ def boundaries(curve: DataFrame, tracks: DataFrame, downbeats: DataFrame, hop: i
     each = curve.select("track_id", "start", F.posexplode("values").alias("k", "v")).select("track_id", (F.col("start") + F.col("k")).alias("frame"), "v")
     height = quantiles(each.where("v > 0"), "track_id", "v", HEIGHT)
     apart = F.greatest(F.lit(2.0), F.rint(F.col("least") * F.col("sr") / hop))
-    tops = _tops(each).join(height, "track_id").where("v >= quantile").join(tracks, "track_id")
-    # greedy_apart takes one distance for all: frames are counted in units of their track's own
-    rows = tops.select("track_id", "frame", "sr", "v", (F.col("frame") * 1_000_000 / apart).alias("t"))
-    chosen = folds.greedy_apart(rows, "track_id", "t", "v", 999_999.5)
-    times = rows.join(chosen.select("track_id", "t"), ["track_id", "t"], "left_semi").select("track_id", (F.col("frame") * hop / F.col("sr")).alias("seconds"))
+    rows = tops(each).join(height, "track_id").where("v >= quantile").join(tracks, "track_id")
+    times = strongest(rows, apart).select("track_id", (F.col("frame") * hop / F.col("sr")).alias("seconds"))
     inner = snapped(times, downbeats).groupBy("track_id").agg(F.collect_set("seconds").alias("inner"))
     every = tracks.join(inner, "track_id", "left")
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.col("seconds").cast("double")), F.coalesce("inner", F.array().cast("array<double>")))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import tags
-from cadenza.operators import beats, chunks, loops, pairs, sections
+from cadenza.operators import beats, chunks, layers, loops, pairs, sections
 from cadenza.operators import prints as excerpts
 from cadenza.plans.series import r6
 from cadenza.sources.tables import micros, table
@@ -79,6 +79,12 @@ def track_sections(spark, sf_dir):
     return r6(sections.segmented(clips(spark, sf_dir), downs, downs.select("track_id").distinct().withColumn("bar", F.lit(0.5)), FRAMES, 256, CELL, 8, 2))
 
 
+@query
+def syllable_times(spark, sf_dir):
+    """Where the level of each recording rises."""
+    return r6(layers.syllables(clips(spark, sf_dir), 32, 8, CELL, 128))
+
+
 def prints(spark, sf_dir) -> DataFrame:
     """name, bpm, source, frames: a recording's vectors folded to 12 classes, centred, of length 1; the tempo from the mean label."""
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).alias("name"), "vec_id", "label", F.posexplode("embedding").alias("d", "x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators import folds, lattice, matching, signal
+from cadenza.operators import folds, lattice, layers, matching, signal
 from cadenza.sources.tables import micros, table
 
 SECOND = 1_000_000
@@ -407,3 +407,12 @@ def queue_positions(spark, sf_dir):
     """The place of each waiting job in its queue."""
     e = _events(spark, sf_dir, "event_type").where("event_type <> 'purchase'")
     return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("t")).cast("long").alias("position"))
+
+
+@query(f"""
+WITH {E_} SELECT event_id, user_id, t, value FROM e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_type = 'purchase' AND abs(o.t - e.t) <= 86400000000)""")
+def layer_suppression(spark, sf_dir):
+    """Events that no purchase of their user is within a day of."""
+    e = _events(spark, sf_dir, "event_type")
+    rows = e.where("event_type <> 'purchase'").select("event_id", "user_id", "t", "value")
+    return layers.apart_from(rows, e.where("event_type = 'purchase'"), "user_id", "t", 24 * HOUR, 96 * HOUR)

@@ -140,7 +140,7 @@ def test_nearest_and_tops_and_quantiles(spark):
     times = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("a", 2.1), ("a", 3.0), ("a", 9.0), ("b", 1.0), ("c", 4.0)], "track_id string, seconds double")
     assert sorted(map(tuple, X.snapped(times, grid).collect())) == [("a", 1.0), ("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", 3.0), ("b", 5.0), ("c", 4.0)]
     curve = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate([5, 1, 2, 2, 2, 1, 1, 3, 3, 4, 2, 2, 9])], "track_id string, frame long, v double")
-    assert sorted((r["frame"], r["v"]) for r in X._tops(curve).collect()) == [(3, 2.0), (9, 4.0)]
+    assert sorted((r["frame"], r["v"]) for r in X.tops(curve).collect()) == [(3, 2.0), (9, 4.0)]
     values = np.random.default_rng(1).random(37)
     rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 2.0)], "track_id string, v double")
     got = {r["track_id"]: r["quantile"] for r in X.quantiles(rows, "track_id", "v", 0.55).collect()}
