@@ -329,7 +329,8 @@ def template_match_carry(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("user_id", "bar").orderBy(F.desc("s"), "event_type"))
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     g = days.withColumn("k", rank).groupBy("user_id", "bar").agg(pick(1, "event_type").alias("top"), pick(1, "s").alias("s1"), F.coalesce(pick(2, "s"), F.lit(0.0)).alias("s2"))
-    own = F.when((F.col("s1") - F.col("s2")) / F.col("s1") >= 0.25, F.col("top"))
+    # a day of no weight has no lead to measure: its first kind stands, as in SQL, where 0 / 0 is no number and above all
+    own = F.when(F.col("s1") == 0, F.col("top")).when(F.try_divide(F.col("s1") - F.col("s2"), F.col("s1")) >= 0.25, F.col("top"))
     line = Window.partitionBy("user_id").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumn("own", own).select("user_id", "bar", F.coalesce(F.last("own", ignorenulls=True).over(line), F.lit("none")).alias("chord"))
 

@@ -31,6 +31,12 @@ def against_sql(spark, tmp_path):
     return run
 
 
+def test_template_match_carry_takes_days_of_no_weight(against_sql):
+    rows = "(0, 0, 'click', 0.0), (1, 1, 'view', 3.0), (2, 1, 'click', 2.9), (3, 2, 'click', 0.0), (4, 2, 'buy', 0.0), (5, 3, 'view', 1.0), (6, 4, 'buy', -1.0), (7, 4, 'view', 0.0), (8, 5, 'buy', NULL)"
+    got = against_sql("template_match_carry", events=f"SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01 01:00:00' + INTERVAL 1 DAY * d AS ts, 7::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, '' AS props FROM (VALUES {rows}) AS x(i, d, k, v)")
+    assert [r["chord"] for r in sorted(got, key=lambda r: r["bar"])] == ["click", "click", "buy", "view", "view", "view"]
+
+
 def test_forms_of_fixed_parts_and_far_lengths(spark):
     rows = spark.createDataFrame([(0, [("build", 8), ("break", 4)], 40), (1, [("intro", 0), ("build", 8), ("outro", 0)], 1000), (2, [("intro", 16), ("drop", 16)], 36), (3, [("intro", 16), ("drop", 16)], 60), (4, [], 8)], "k int, parts array<struct<kind:string,bars:int>>, bars int")
     got = {r["k"]: [x["bars"] for x in r["p"]] for r in rows.select("k", arrangement.scaled(F.col("parts"), F.col("bars")).alias("p")).collect()}
