@@ -5,8 +5,15 @@ Times are microseconds (long), so that folding is exact; groups are the given co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cadenza.session import ship
 
 
 def phase_error(t: Column, step: int, origin: Column | int = 0) -> Column:
@@ -78,24 +85,38 @@ HALF_BEAT, ON_BEAT = 1.35, 0.10
 def comb(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int) -> DataFrame:
     """keys, offset (a share of the beat, from -1/4 to 1/4), sharpness, half_ratio, alignment (grid, offset or half-beat): where a comb of beats fits best.
 
-    Onsets are folded into COMB_BINS places of a beat, so a group is that many rows however many onsets it has; the comb
-    is tried at 121 offsets. The first of equal offsets counts.
+    Onsets are folded into COMB_BINS places of a beat, so a group is one row of that many places at most, however many onsets it has; the comb
+    is tried at 121 offsets, for some groups at a time by a matrix product. The first of equal offsets counts; a group without any weight has no offset.
     """
+    ship(rows.sparkSession)
     place = F.floor(F.pmod(F.col(t), F.lit(beat)) * COMB_BINS / beat).cast("int")
     folded = rows.groupBy(*keys, place.alias("__p")).agg(F.sum(F.col(weight).cast("double")).alias("__w"))
-    tried = F.array(*(F.lit(o) for o in [*range(-COMB_BINS // 4, COMB_BINS // 4 + 1, COMB_BINS // 240), COMB_BINS // 2]))
-    each = folded.select(*keys, "__p", "__w", F.explode(tried).alias("__o"))
-    away = F.pmod(F.col("__p") - F.col("__o"), F.lit(COMB_BINS))
-    fit = F.greatest(F.lit(0.0), 1 - F.least(away, COMB_BINS - away) / COMB_WIDTH)
-    scores = each.groupBy(*keys, "__o").agg(F.sum(F.col("__w") * fit).alias("__s"))
-    near = F.col("__o") <= COMB_BINS // 4
-    sums = scores.groupBy(*keys).agg(
-        F.max(F.when(near, F.struct(F.round("__s", 9).alias("s"), (-F.col("__o")).alias("o")))).alias("__best"), F.avg(F.when(near, F.col("__s"))).alias("__mean"),
-        F.greatest(F.max(F.when(F.col("__o") == 0, F.col("__s"))), F.lit(1e-9)).alias("__on"), F.max(F.when(~near, F.col("__s"))).alias("__half"),
-    )
-    offset, ratio = -F.col("__best.o") / COMB_BINS, F.col("__half") / F.col("__on")
+    groups = folded.groupBy(*keys).agg(F.collect_list(F.when(F.col("__p").isNotNull() & F.col("__w").isNotNull(), F.struct(F.col("__p").alias("p"), F.col("__w").alias("w")))).alias("__places"))
+    tried = np.array([*range(-COMB_BINS // 4, COMB_BINS // 4 + 1, COMB_BINS // 240), COMB_BINS // 2])
+    away = (np.arange(COMB_BINS)[:, None] - tried) % COMB_BINS
+    fit = np.maximum(0.0, 1 - np.minimum(away, COMB_BINS - away) / COMB_WIDTH)
+    out = T.StructType([*(groups.schema[k] for k in keys), *T.StructType.fromDDL("__o int, __s double, __mean double, __on double, __half double").fields])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                places = block.column(len(keys))
+                sizes = np.diff(places.offsets.to_numpy())
+                own = places.flatten()
+                weights = np.zeros((block.num_rows, COMB_BINS))
+                weights[np.repeat(np.arange(block.num_rows), sizes), own.field("p").to_numpy(zero_copy_only=False)] = own.field("w").to_numpy(zero_copy_only=False)
+                with np.errstate(invalid="ignore"):
+                    scores = weights @ fit
+                near, none = np.round(scores[:, :-1], 9), sizes == 0
+                best = np.where(np.isnan(near), np.inf, near).argmax(axis=1)  # what is no number is above all, as in Spark
+                found = (near[np.arange(len(best)), best], scores[:, :-1].mean(axis=1), np.maximum(scores[:, len(tried) // 2 - 1], 1e-9), scores[:, -1])
+                columns = [pa.array(tried[best].astype(np.int32), mask=none), *(pa.array(c, mask=none) for c in found)]
+                yield pa.RecordBatch.from_arrays([*(block.column(k) for k in range(len(keys))), *columns], names=out.names)
+
+    sums = groups.select(*keys, "__places").mapInArrow(task, out)
+    offset, ratio = F.col("__o") / COMB_BINS, F.col("__half") / F.col("__on")
     where = F.when(ratio > HALF_BEAT, "half-beat").when(F.abs(offset) < ON_BEAT, "grid").otherwise("offset")
-    return sums.select(*keys, offset.alias("offset"), ((F.col("__best.s") - F.col("__mean")) / F.greatest(F.col("__best.s"), F.lit(1e-9))).alias("sharpness"), ratio.alias("half_ratio"), where.alias("alignment"))
+    return sums.select(*keys, offset.alias("offset"), ((F.col("__s") - F.col("__mean")) / F.greatest(F.col("__s"), F.lit(1e-9))).alias("sharpness"), ratio.alias("half_ratio"), where.alias("alignment"))
 
 
 def bar_phase(beats: DataFrame, key: str, i: str, value: str, beats_per_bar: int = 4, window_bars: int = 8) -> DataFrame:

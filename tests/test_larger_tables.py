@@ -51,3 +51,16 @@ def test_many_forms_are_scaled_in_time(spark):
     begin = time.monotonic()
     assert arrangement.laid_out(plans).agg(F.sum((F.col("bars") % 8 == 0).cast("long"))).first()[0] == 7 * n
     assert time.monotonic() - begin < 30  # it was 3.7 ms a form, in one task
+
+
+def _events(rows: str) -> str:
+    """Events (user, minute, value)."""
+    return f"SELECT row_number() OVER ()::BIGINT AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * m AS ts, u::BIGINT AS user_id, 'click' AS event_type, v::DOUBLE AS value, '' AS props FROM (VALUES {rows}) AS x(u, m, v)"
+
+
+def test_combs_hold_one_row_of_places_for_each_group(spark, against_sql, tmp_path):
+    """User 1 has no weight at all, 2 has none near any offset, 3 has some below 0, 4 ties, 5 is on the half hour."""
+    got = against_sql("layer_comb", events=_events("(1, 3, NULL), (1, 70, NULL), (2, 22, 4.0), (3, 0, -2.0), (3, 61, -1.5), (4, 5, 1.0), (4, 7, NULL), (4, 50, 1.0), (5, 30, 3.0), (5, 61, 1.0), (NULL, 4, 2.0)"))
+    assert {r["user_id"]: (r["offset"], r["alignment"]) for r in got if r["user_id"] in (1, 2, 5)} == {1: (None, "offset"), 2: (-0.25, "offset"), 5: (0.016667, "half-beat")}
+    # the 121 offsets are no rows: their sums were a table of groups x offsets in every task
+    assert "Generate" not in QUERIES["layer_comb"](spark, str(tmp_path))._jdf.queryExecution().toString()
