@@ -64,3 +64,10 @@ def test_combs_hold_one_row_of_places_for_each_group(spark, against_sql, tmp_pat
     assert {r["user_id"]: (r["offset"], r["alignment"]) for r in got if r["user_id"] in (1, 2, 5)} == {1: (None, "offset"), 2: (-0.25, "offset"), 5: (0.016667, "half-beat")}
     # the 121 offsets are no rows: their sums were a table of groups x offsets in every task
     assert "Generate" not in QUERIES["layer_comb"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_layer_report_combs_without_rows_by_offset(spark, tmp_path):
+    duckdb.connect().execute(f"COPY ({_events('(1, 3, NULL), (2, 22, 4.0), (2, 62, 1.0), (2, 200, 1.0)')}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES["layer_report"](spark, str(tmp_path))
+    assert "Generate" not in df._jdf.queryExecution().toString()
+    assert {r["user_id"]: r["offset"] for r in df.collect()} == {1: None, 2: 0.033333}
