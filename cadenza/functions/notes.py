@@ -105,12 +105,18 @@ def issue(x: Column, duration: Column | None = None) -> Column:
 
 def critique(reply: Column, duration: Column | None = None) -> Column:
     """struct(overall_score, verdict, issues, sections, better, gap) of a critic's reply, with fences and prose around its JSON; null if there is none."""
-    data = F.from_json(R.reply_object(reply), REPLY)
-    said = F.trim(F.coalesce(data["verdict"], F.lit("")))
-    better = data["vs_reference"]["reference_does_better"]
-    points = F.coalesce(F.from_json(better, "array<string>"), F.when(F.coalesce(better, F.lit("")) != "", F.array(better)).otherwise(F.array().cast("array<string>")))
-    return F.when(R.reply_object(reply).isNotNull() & data.isNotNull(), F.struct(
-        R.score_100(data["overall_score"]).alias("overall_score"), F.when(said == "", "(no verdict returned)").otherwise(said).alias("verdict"),
-        F.coalesce(F.transform(F.filter(F.from_json(data["issues"], "array<string>"), lambda x: x.startswith("{")), lambda x: issue(F.from_json(x, ISSUE), duration)), F.array().cast("array<struct<time_sec:double,category:string,severity:int,note:string>>")).alias("issues"),
-        F.coalesce(data["sections"], F.create_map().cast("map<string,string>")).alias("sections"), F.when(data["vs_reference"].isNotNull(), points).alias("better"), F.trim(data["vs_reference"]["biggest_gap"]).alias("gap"),
-    ))
+    none = F.array().cast("array<struct<time_sec:double,category:string,severity:int,note:string>>")
+
+    def read(data: Column) -> Column:
+        said = F.trim(F.coalesce(data["verdict"], F.lit("")))
+        better = data["vs_reference"]["reference_does_better"]
+        points = F.coalesce(F.from_json(better, "array<string>"), F.when(F.coalesce(better, F.lit("")) != "", F.array(better)).otherwise(F.array().cast("array<string>")))
+        own = F.filter(F.from_json(data["issues"], "array<string>"), lambda x: x.startswith("{"))
+        return F.when(data.isNotNull(), F.struct(
+            R.score_100(data["overall_score"]).alias("overall_score"), F.when(said == "", "(no verdict returned)").otherwise(said).alias("verdict"),
+            F.coalesce(F.transform(own, lambda x: R.once(F.from_json(x, ISSUE), lambda i: issue(i, duration))), none).alias("issues"),
+            F.coalesce(data["sections"], F.create_map().cast("map<string,string>")).alias("sections"), F.when(data["vs_reference"].isNotNull(), points).alias("better"), F.trim(data["vs_reference"]["biggest_gap"]).alias("gap"),
+        ))
+
+    # each JSON is parsed once: without that every field of the struct would parse it again
+    return R.once(F.from_json(R.reply_object(reply), REPLY), read)

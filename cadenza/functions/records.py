@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _PRIVATE = r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01
 _PRIVATE_6 = r"^(?![23][0-9a-f]{3}:)|^2001:(?:0?[01]?[0-9a-f]{0,2})?:|^2001:0?db8:|^2002:|^3fff:0?[0-9a-f]{0,3}:"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
     """The host in lower case, without user, port, brackets and a dot at its end; empty if there is none."""
     host = F.regexp_extract(url, r"(?s)^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.records import once
+
 # The forms (kind, bars), and the kinds that may be scaled.
 FORMS = {
     "club": (("intro", 16), ("build", 8), ("drop", 32), ("breakdown", 16), ("build", 8), ("drop", 32), ("outro", 16)),
@@ -39,11 +39,6 @@ def shortest(parts: Column) -> Column:
     return _total(parts, False) + PHRASE * F.size(F.filter(parts, lambda x: x["kind"].isin(*SCALABLE)))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), where value is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def scaled(parts: Column, bars: Column) -> Column:
     """A form scaled to so many bars: fixed parts stay, the others are whole phrases, one at least. What rounding leaves is put on or taken off the longest of them, phrase by phrase; a length that can't be reached is left."""
     free = lambda x: x["kind"].isin(*SCALABLE)
@@ -51,24 +46,24 @@ def scaled(parts: Column, bars: Column) -> Column:
 
     def fitted(k: Column) -> Column:
         room = F.greatest(k["bars"] - k["fixed"], PHRASE * k["n"])
-        return _once(room / F.greatest(k["flexible"], F.lit(1)), lambda factor: F.transform(k["parts"], lambda x: F.when(free(x), F.greatest(F.lit(PHRASE), (F.bround(x["bars"] * factor / PHRASE) * PHRASE).cast("int"))).otherwise(0)))
+        return once(room / F.greatest(k["flexible"], F.lit(1)), lambda factor: F.transform(k["parts"], lambda x: F.when(free(x), F.greatest(F.lit(PHRASE), (F.bround(x["bars"] * factor / PHRASE) * PHRASE).cast("int"))).otherwise(0)))
 
     def step(s: Column, _: Column) -> Column:
         by = lambda most: F.when(s["gap"] > 0, PHRASE).when((s["gap"] < 0) & (most > PHRASE), -PHRASE).otherwise(0)
-        move = _once(F.array_max(s["own"]), lambda most: F.struct((F.array_position(s["own"], most).cast("int") - 1).alias("at"), by(most).alias("by")))
-        return _once(move, lambda m: F.struct(F.transform(s["own"], lambda x, i: x + F.when(i == m["at"], m["by"]).otherwise(0)).alias("own"), (s["gap"] - m["by"]).alias("gap")))
+        move = once(F.array_max(s["own"]), lambda most: F.struct((F.array_position(s["own"], most).cast("int") - 1).alias("at"), by(most).alias("by")))
+        return once(move, lambda m: F.struct(F.transform(s["own"], lambda x, i: x + F.when(i == m["at"], m["by"]).otherwise(0)).alias("own"), (s["gap"] - m["by"]).alias("gap")))
 
     def levelled(k: Column, own: Column) -> Column:
         """own after as many steps as there are phrases too few or too many, and one more if that is odd: later steps would come in pairs that undo each other."""
         total = F.aggregate(own, F.lit(0), lambda s, x: s + x)
         state = F.struct(own.alias("own"), (k["bars"] - k["fixed"] - total).alias("gap"), (total - PHRASE * k["n"]).alias("most"))
         steps = lambda s: F.when(k["n"] > 0, 2 * F.ceil(F.when(s["gap"] > 0, s["gap"]).otherwise(F.least(-s["gap"], s["most"])) / (2 * PHRASE)).cast("int")).otherwise(0)
-        return _once(state, lambda s: F.aggregate(F.array_repeat(F.lit(0), steps(s)), F.struct(s["own"].alias("own"), s["gap"].alias("gap")), step, lambda t: t["own"]))
+        return once(state, lambda s: F.aggregate(F.array_repeat(F.lit(0), steps(s)), F.struct(s["own"].alias("own"), s["gap"].alias("gap")), step, lambda t: t["own"]))
 
     def form_(k: Column) -> Column:
-        return F.zip_with(k["parts"], _once(fitted(k), lambda own: levelled(k, own)), lambda x, n: F.struct(x["kind"].alias("kind"), F.when(free(x), n).otherwise(x["bars"]).cast("int").alias("bars"))).cast(_FORM)
+        return F.zip_with(k["parts"], once(fitted(k), lambda own: levelled(k, own)), lambda x, n: F.struct(x["kind"].alias("kind"), F.when(free(x), n).otherwise(x["bars"]).cast("int").alias("bars"))).cast(_FORM)
 
-    return _once(known, form_)
+    return once(known, form_)
 
 
 def for_length(parts: Column, seconds: Column, bar_seconds: Column) -> Column:

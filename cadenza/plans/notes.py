@@ -61,8 +61,10 @@ def json_issues(spark, sf_dir):
     first = F.concat(F.lit('{"time_sec": '), _text(F.round("value", 1)), F.lit(', "category": " Off Beat ", "severity": "'), _text(1 + F.col("event_id") % 3), F.lit('", "note": " late "}'))
     body = F.concat(F.lit('{"overall_score": '), score, F.lit(', "verdict": "ok", "issues": ['), first, F.lit(', {"time_sec": "Infinity", "category": "magic", "severity": "much"}]}'))
     reply = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 3, "no JSON at all").when(k == 4, F.concat(F.lit("Here: "), body, F.lit(" bye"))).otherwise(body)
-    c = e.select("event_id", NO.critique(reply, F.lit(200.0)).alias("c")).where("c is not null")
-    return c.select("event_id", F.col("c.overall_score").alias("score"), F.posexplode("c.issues").alias("place", "x")).select("event_id", "place", "score", "x.category", F.col("x.time_sec").alias("at_second"), "x.severity", "x.note")
+    c = e.select("event_id", NO.critique(reply, F.lit(200.0)).alias("c"))
+    # not posexplode: from it a condition on the size of c.issues would be inferred, which reads every reply a second time
+    each = c.select("event_id", F.col("c.overall_score").alias("score"), F.posexplode_outer("c.issues").alias("place", "x")).where("place is not null")
+    return each.select("event_id", "place", "score", "x.category", F.col("x.time_sec").alias("at_second"), "x.severity", "x.note")
 
 
 @query("""

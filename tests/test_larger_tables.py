@@ -71,3 +71,10 @@ def test_layer_report_combs_without_rows_by_offset(spark, tmp_path):
     df = QUERIES["layer_report"](spark, str(tmp_path))
     assert "Generate" not in df._jdf.queryExecution().toString()
     assert {r["user_id"]: r["offset"] for r in df.collect()} == {1: None, 2: 0.033333}
+
+
+def test_each_json_of_a_reply_is_parsed_once(spark, tmp_path):
+    duckdb.connect().execute(f"COPY ({_events('(1, 3, 2.0), (2, 22, 4.0)')}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES["json_issues"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 4 and df.count() == 4  # the reply, its list of issues, an issue, and the points of its comparison
