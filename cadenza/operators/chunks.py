@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators import folds, spectra
-from cadenza.session import ship
+from cadenza.session import Workbench, ship
 
 #: Samples in a cell of the grid.
 CELL = 1 << 16
@@ -150,13 +151,17 @@ _SUMS = ("samples", "power", "frames", "flat", "low", "voice", "whole", "clicks"
 _PARTS = "start long, rise array<double>, sums array<double>, mfcc array<double>, peak double"
 
 
+@lru_cache(maxsize=8)
+def _bases(rate: float, size: int, n_mfcc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What the measures of all cells of a rate need: mel banks for rises and for coefficients, cosines, and which bins the bands have."""
+    hertz = np.fft.rfftfreq(size, 1 / rate)
+    bands = [(hertz >= a) & (hertz < b) for a, b in ((20, 150), (300, 3400), (20, rate / 2))]
+    return spectra.mel_bank(rate, size), spectra.mel_bank(rate, size, 40), spectra.cosines(n_mfcc, 40), bands
+
+
 def _measured(size: int, hop: int, n_mfcc: int):
     def kernel(cell: Cell) -> list[tuple]:
-        rate = cell.rate
-        bank, voice_bank = spectra.mel_bank(rate, size), spectra.mel_bank(rate, size, 40)
-        basis = spectra.cosines(n_mfcc, 40)
-        hertz = np.fft.rfftfreq(size, 1 / rate)
-        bands = [(hertz >= a) & (hertz < b) for a, b in ((20, 150), (300, 3400), (20, rate / 2))]
+        bank, voice_bank, basis, bands = _bases(cell.rate, size, n_mfcc)
         first, blocks = cell.magnitudes(size, hop, before=1)
         skip = cell.own_frames(hop) - first
         sums, mfcc, rises, last = np.zeros(len(_SUMS)), np.zeros(n_mfcc), [], None
@@ -179,6 +184,12 @@ def _measured(size: int, hop: int, n_mfcc: int):
     return kernel
 
 
+def _medians(d: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """The median of d around each of the places, half a width to both sides; a million values at a time."""
+    windows, block = np.lib.stride_tricks.sliding_window_view(d, 2 * half + 1), max(1, (1 << 20) // (2 * half + 1))
+    return np.concatenate([np.zeros(0), *(np.median(windows[at[k : k + block] - half], axis=1) for k in range(0, len(at), block))])
+
+
 def cell_clicks(cell: Cell, short: float = 0.002, long: float = 0.05, limits: tuple[float, float, float] = (8.0, 12.0, 0.05), louder: float = 1.6) -> np.ndarray:
     """The samples of the cell before which a splice is; see spectra.clicks(). A jump that follows another within 5 ms belongs to that one."""
     rate = cell.rate
@@ -195,8 +206,9 @@ def cell_clicks(cell: Cell, short: float = 0.002, long: float = 0.05, limits: tu
         d[inner > cell.total - 2] = d[inner == cell.total - 2][0]
     own = d[half[1] : half[1] + high - low]
     candidate = np.flatnonzero(own > limits[2])
-    median = lambda k, h: np.median(d[half[1] + k - h : half[1] + k + h + 1])
-    hit = np.array([k for k in candidate if own[k] / (median(k, half[0]) + 1e-6) > limits[0] and own[k] / (median(k, half[1]) + 1e-6) > limits[1]], int) + low
+    for h, limit in zip(half, limits, strict=False):
+        candidate = candidate[own[candidate] / (_medians(d, half[1] + candidate, h) + 1e-6) > limit]
+    hit = candidate + low
     hit = hit[np.concatenate([[True], np.diff(hit) > apart])] if len(hit) else hit
     hit = hit[(hit >= cell.start) & (hit >= width) & (hit + 1 + width <= cell.total)]
     level = lambda a: np.array([(cell.beyond(k, k + width) ** 2).sum() for k in a])
@@ -234,14 +246,15 @@ def envelope_peaks(envelope: DataFrame, rate: Column, gap: float = 0.028, cell:
     apart = F.greatest(F.lit(1), F.round(gap * rate)).cast("long") + 1
     # greedy_apart takes one distance for all: frames are counted in units of their track's own
     rows = peaks.withColumn("unit", apart).withColumn("t", F.col("frame") * 1_000_000 / F.col("unit"))
-    chosen = folds.greedy_apart(rows, "track_id", "t", "strength", 999_999.5)  # whole frames of a unit are not always whole in floats
-    return rows.join(chosen.select("track_id", "t"), ["track_id", "t"], "left_semi").select("track_id", "sr", "frame", "strength", "place")
+    chosen = folds.greedy_apart(rows, "track_id", "t", "strength", 999_999.5, also=("sr", "frame", "place"))  # whole frames of a unit are not always whole in floats
+    return chosen.select("track_id", "sr", "frame", "strength", "place")
 
 
 def measured(clips: DataFrame, size: int = spectra.SIZE, hop: int = spectra.HOP, n_mfcc: int = 13, cell: int = CELL) -> DataFrame:
     """For each track: seconds, peak_db, rms_db, flatness, low_share and voice_share (of the power from 20 Hz up: that below 150 Hz, and from 300 to 3400 Hz), onsets and clicks a minute, and the mean mfcc."""
     wide = F.greatest(F.lit(halo(size, hop, 1)), F.ceil(0.05 * F.col("sr")) + 4)
-    parts = kernelled(haloed(clips, cell, wide, wide), cell, _measured(size, hop, n_mfcc), _PARTS)
+    bench = Workbench(clips.sparkSession)
+    parts = bench.put(kernelled(haloed(clips, cell, wide, wide), cell, _measured(size, hop, n_mfcc), _PARTS))  # five steps read them
     fps = F.col("sr") / hop
     found = envelope_peaks(parts.select("track_id", "sr", "start", F.col("rise").alias("values")).where(F.size("values") > 0), fps).groupBy("track_id").agg(F.count("*").alias("found"))
     named = {n: F.sum(F.get("sums", F.lit(k))).alias(n) for k, n in enumerate(_SUMS)}
@@ -251,10 +264,13 @@ def measured(clips: DataFrame, size: int = spectra.SIZE, hop: int = spectra.HOP,
     level = lambda v: 20 * F.log10(F.greatest(v, F.lit(1e-6)))
     minutes = F.greatest(F.col("samples") / F.col("sr") / 60, F.lit(1e-9))
     whole = F.greatest("whole", F.lit(1e-12))
-    return rows.select(
+    out = rows.select(
         "track_id", (F.col("samples") / F.col("sr")).alias("seconds"), level(F.col("peak")).alias("peak_db"), level(F.sqrt(F.col("power") / F.col("samples"))).alias("rms_db"), (F.col("flat") / F.col("frames")).alias("flatness"),
         (F.col("low") / whole).alias("low_share"), (F.col("voice") / whole).alias("voice_share"), (F.coalesce("found", F.lit(0)) / minutes).alias("onsets"), (F.col("clicks") / minutes).alias("clicks"), "mfcc",
     )
+    out = bench.put(out, keep=True)
+    bench.clear()
+    return out
 
 
 def pitched(clips: DataFrame, length: int = 8192, hop: int = 1024, low: float = 35.0, high: float = 180.0, clarity: float = 0.35, cell: int = CELL) -> DataFrame:

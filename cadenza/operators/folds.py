@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,8 @@ def key_flow(rows: DataFrame, group: str, order: str, code: str, largest: int =
     return own.mapInPandas(fold, f"{group} {kind[group]}, {order} {kind[order]}, source string, {_FLOW}")
 
 
-def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: float, most: int | None = None) -> DataFrame:
-    """key, t, value: the strongest rows of each group that are apart from all stronger chosen ones; most of them at the most. Ties: the earlier.
+def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: float, most: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, t, value: the strongest rows of each group that are apart from all stronger chosen ones; most of them at the most. Ties: the earlier. also: columns that are handed on.
 
     Rows on two sides of a gap of that width don't bear on each other, so the runs between gaps are dealt out and streamed in sorted
     partitions; a run is what is held, not a group.
@@ -90,33 +91,39 @@ def greedy_apart(rows: DataFrame, key: str, t: str, value: str, apart: float, mo
     ship(rows.sparkSession)
     line = Window.partitionBy(key).orderBy(t)
     gap = F.coalesce((F.col(t) - F.lag(t).over(line) >= apart).cast("int"), F.lit(0))
-    own = rows.select(key, t, value).withColumn("__gap", gap)
-    own = own.withColumn("__run", F.sum("__gap").over(line.rowsBetween(Window.unboundedPreceding, 0))).select(key, t, value, "__run")
+    own = rows.select(key, t, value, *also).withColumn("__gap", gap)
+    own = own.withColumn("__run", F.sum("__gap").over(line.rowsBetween(Window.unboundedPreceding, 0))).select(key, t, value, *also, "__run")
 
-    def choose(run: pd.DataFrame) -> pd.DataFrame:
+    def choose(found: pd.DataFrame, run: np.ndarray) -> pd.DataFrame:
+        """Of some runs at once, run by run; run: the number of each row's."""
+        order = found.assign(__run=run).sort_values(["__run", value, t], ascending=[True, False, True], kind="stable")
         taken: list = []
-        keep = []
-        for i, x in run.sort_values([value, t], ascending=[False, True], kind="stable")[t].items():
+        keep, before = [], None
+        for i, r, x in zip(order.index.tolist(), order["__run"].tolist(), order[t].tolist(), strict=True):
+            if r != before:
+                taken, before = [], r
             k = bisect.bisect_left(taken, x)
             if (k == 0 or x - taken[k - 1] >= apart) and (k == len(taken) or taken[k] - x >= apart):
                 taken.insert(k, x)
                 keep.append(i)
-        return run.loc[keep]
+        return found.loc[keep].drop(columns="__run")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            rest = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rest[[key, "__run"]].iloc[-1:]
-            open_run = (rest[key].eq(last[key].iloc[0]) | (rest[key].isna() & last[key].isna().iloc[0])) & rest["__run"].eq(last["__run"].iloc[0])
-            done, held = rest[~open_run], rest[open_run]
-            found = [choose(run) for _, run in done.groupby([key, "__run"], sort=False, dropna=False)]
-            if found:
-                yield pd.concat(found)[[key, t, value]]
+            rest = batch.reset_index(drop=True) if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rest):
+                continue
+            names = pd.factorize(rest[key])[0]  # a null is a name of its own
+            run = np.cumsum(np.concatenate([[0], (np.diff(names) != 0) | (np.diff(rest["__run"].to_numpy()) != 0)]))
+            last = int(np.searchsorted(run, run[-1]))
+            held = rest.iloc[last:]
+            if last:
+                yield choose(rest.iloc[:last], run[:last])
         if held is not None:
-            yield choose(held)[[key, t, value]]
+            yield choose(held, np.zeros(len(held), int))
 
-    out = own.repartition(key, "__run").sortWithinPartitions(key, "__run", t).mapInPandas(stream, rows.select(key, t, value).schema)
+    out = own.repartition(key, "__run").sortWithinPartitions(key, "__run", t).mapInPandas(stream, own.drop("__run").schema)
     if most is None:
         return out
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), t))

@@ -106,9 +106,9 @@ def tops(curve: DataFrame) -> DataFrame:
 def strongest(rows: DataFrame, apart: Column) -> DataFrame:
     """rows (track_id, frame, v) that are so many frames, a number of their track's own, from all stronger ones that stay; of equal ones the earlier."""
     # greedy_apart takes one distance for all: frames are counted in units of their track's own
-    rows = rows.withColumn("__t", F.col("frame") * 1_000_000 / apart)
-    chosen = folds.greedy_apart(rows, "track_id", "__t", "v", 999_999.5)
-    return rows.join(chosen.select("track_id", "__t"), ["track_id", "__t"], "left_semi").drop("__t")
+    also = tuple(c for c in rows.columns if c not in ("track_id", "v"))
+    chosen = folds.greedy_apart(rows.withColumn("__t", F.col("frame") * 1_000_000 / apart), "track_id", "__t", "v", 999_999.5, also=also)
+    return chosen.select(*rows.columns)
 
 
 def snapped(times: DataFrame, grid: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Queries on rows that the small tables don't have, against their SQL, and operators at sizes at which they were once too slow."""
 
+import random
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import arrangement
+from cadenza.operators import arrangement, chunks, folds
 from cadenza.plans.catalogue import ORACLES, QUERIES
 from tests.test_queries import plain
 
@@ -78,3 +80,45 @@ def test_each_json_of_a_reply_is_parsed_once(spark, tmp_path):
     df = QUERIES["json_issues"](spark, str(tmp_path))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") <= 4 and df.count() == 4  # the reply, its list of issues, an issue, and the points of its comparison
+
+
+def test_measures_of_cells_are_worked_out_once(spark):
+    rows = [(t, 400, k * 64, np.random.default_rng(9 * t + k).normal(size=64).tolist()) for t in range(3) for k in range(40)]
+    df = chunks.measured(spark.createDataFrame(rows, "track_id long, sr int, start_sample long, samples array<double>"), 64, 8, 4, 1024)
+    assert "MapInArrow" not in df._jdf.queryExecution().toString() and df.count() == 3  # five steps read them, and each worked them out
+
+
+def test_clicks_take_medians_at_once(monkeypatch):
+    x, calls, median = np.random.default_rng(3).normal(size=3000), [], np.median
+    monkeypatch.setattr(np, "median", lambda *a, **b: calls.append(1) or median(*a, **b))
+    cell = chunks.Cell(x, 0, 0, len(x), len(x), 400.0, {})
+    got = chunks.cell_clicks(cell, limits=(1.5, 2.0, 0.05), louder=9.0)
+    assert 0 < len(calls) <= 4  # it was two for each of the jumps, which in noise are nearly all samples
+    d = np.abs(np.diff(x))
+    d_ = np.pad(d, 10, mode="edge")
+    hit = [k for k in range(len(d)) if d[k] > 0.05 and d[k] / (median(d_[k + 9 : k + 12]) + 1e-6) > 1.5 and d[k] / (median(d_[k : k + 21]) + 1e-6) > 2.0]
+    first = [k for j, k in enumerate(hit) if not j or k - hit[j - 1] > 2]
+    level = lambda k: np.sqrt((x[k : k + 8] ** 2).sum())
+    assert got.tolist() == [k for k in first if k >= 8 and k + 9 <= len(x) and level(k + 1) < 9.0 * level(k - 8)] and len(got) > 50
+
+
+def test_greedy_choices_over_batches_runs_and_nulls(spark):
+    rng = random.Random(7)
+    rows = sorted({(g, rng.randrange(4000)): None for g in (None, 1, 2, 3) for _ in range(250)}, key=repr)
+    rows = [(g, t, float(rng.randrange(9)), f"{g}:{t}") for g, t in rows]
+    want = set()
+    for g in (None, 1, 2, 3):
+        taken: list[int] = []
+        for _, t, _, name in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if all(abs(t - x) >= 12 for x in taken):
+                taken.append(t)
+                want.add(name)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (before, "7"):
+            spark.conf.set(size, n)
+            got = [r["name"] for r in folds.greedy_apart(spark.createDataFrame(rows, "g long, t long, v double, name string"), "g", "t", "v", 12, also=("name",)).collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set(size, before)
