@@ -21,27 +21,34 @@ def reply_object(text: Column) -> Column:
     return F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
-
-
 def _got(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _number(v: Column) -> Column:
-    """A number, or a boolean as 0 or 1; null for anything else."""
-    kind = _kind(v)
-    return F.when(kind == "BOOLEAN", _got(v, "$", "boolean").cast("double")).when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), _got(v, "$", "double"))
+def _text(v: str) -> Column:
+    """The text of the variant column of that name, whose schema is in __<v>; null for anything else."""
+    return F.when(F.col(f"__{v}") == "STRING", _got(F.col(v), "$", "string"))
 
 
-def _text(v: Column) -> Column:
-    return F.when(_kind(v) == "STRING", _got(v, "$", "string"))
+def _number(v: str) -> Column:
+    """A number, or a boolean as 0 or 1; null for anything else."""
+    kind = F.col(f"__{v}")
+    return F.when(kind == "BOOLEAN", _got(F.col(v), "$", "boolean").cast("double")).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), _got(F.col(v), "$", "double"))
 
 
-def _index(v: Column) -> Column:
+def _index(number: Column, text: Column) -> Column:
     """A number without its fraction, a boolean, or a text of a whole number."""
-    return F.coalesce(F.when(F.abs(_number(v)) < 9e18, _number(v).cast("long")), F.regexp_extract(_text(v), r"^\s*([+-]?[0-9]+)\s*$", 1).try_cast("long"))
+    return F.coalesce(F.when(F.abs(number) < 9e18, number.cast("long")), F.when(text.isNotNull(), F.regexp_extract(text, r"^\s*([+-]?[0-9]+)\s*$", 1).try_cast("long")))
+
+
+def _typed(items: DataFrame, key: str) -> DataFrame:
+    """key, k, slot, and of each field whether it is there (has_), its text or its number: each part of an item is read once, in a step of its own."""
+    names = ("index", *FIELDS)
+    rows = items.select(key, "k", *(_got(F.col("item"), f"$.{n}", "variant").alias(n) for n in names))
+    rows = rows.select("*", *(F.schema_of_variant(n).alias(f"__{n}") for n in names))
+    kinds = {"drum_pattern": _text, "source_gain": _number, "source_start": _number, "source_label": _text}
+    rows = rows.select(key, "k", _number("index").alias("__number"), _text("index").alias("__text"), *(F.col(n).isNotNull().alias(f"has_{n}") for n in FIELDS), *(kinds[n](n).alias(n) for n in FIELDS))
+    return rows.withColumn("slot", _index(F.col("__number"), F.col("__text"))).drop("__number", "__text")
 
 
 def instructions(replies: DataFrame, slots: DataFrame, plans: DataFrame, key: str, text: str = "reply") -> DataFrame:
@@ -52,12 +59,11 @@ def instructions(replies: DataFrame, slots: DataFrame, plans: DataFrame, key: st
     """
     read = replies.select(key, reply_object(F.col(text)).alias("o"))
     items = read.select(key, F.posexplode(_got(F.col("o"), "$.slots", "array<variant>")).alias("k", "item"))
-    own = items.select(key, "k", _index(_got(F.col("item"), "$.index", "variant")).alias("slot"), *(_got(F.col("item"), f"$.{f}", "variant").alias(f) for f in FIELDS))
-    known = own.join(plans.select(key, "duration", "bar", "grain"), key).join(slots.select(key, "slot").distinct().withColumn("known", F.lit(True)), [key, "slot"], "left")
-
-    pattern, gain, start, label = _text(F.col(FIELDS[0])), _number(F.col(FIELDS[1])), _number(F.col(FIELDS[2])), _text(F.col(FIELDS[3]))
     line = F.greatest(F.lit(1), F.col("grain").cast("int")) * F.col("bar")
-    moved = F.when(line > 0, F.rint(start / line) * line).otherwise(0.0)
+    known = _typed(items, key).join(plans.select(key, "duration", "bar", "grain"), key).join(slots.select(key, "slot").distinct().withColumn("known", F.lit(True)), [key, "slot"], "left")
+    known = known.withColumn("line", line).withColumn("moved", F.when(F.col("line") > 0, F.rint(F.col("source_start") / F.col("line")) * F.col("line")).otherwise(0.0))
+
+    pattern, gain, start, label, moved = (F.col(c) for c in (*FIELDS, "moved"))
     within = lambda x: (x >= 0) & (x < F.col("duration"))
     none = F.lit(None)
 
@@ -66,7 +72,7 @@ def instructions(replies: DataFrame, slots: DataFrame, plans: DataFrame, key: st
         for when, what in reversed(reasons):
             reason = F.when(F.coalesce(when, F.lit(True)), what).otherwise(reason)
         parts = (F.lit(field).alias("field"), value.cast("string").alias("value"), number.cast("double").alias("number"), reason.alias("reason"))
-        return F.when(F.col(field).isNotNull(), F.struct(*parts))
+        return F.when(F.col(f"has_{field}"), F.struct(*parts))
 
     fields = F.array(
         said("drum_pattern", pattern, none, (pattern.isNull(), "no text"), (~pattern.isin(*PATTERNS), "no such pattern")),

@@ -270,7 +270,7 @@ def plan_patches(spark, sf_dir):
     label = F.when(F.col("l_partkey") % 7 > 0, F.concat("l_returnflag", F.expr("repeat('x', int(l_partkey % 40))"))).otherwise("")
     index = F.col("l_linenumber") % 3 + 1 + F.when(F.col("l_partkey") % 5 == 0, 10).otherwise(0)
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.struct(index.alias("index"), pattern.alias("drum_pattern"), (F.col("l_quantity") / 25).alias("source_gain"), (F.col("l_extendedprice") % 80).alias("source_start"), label.alias("source_label")).alias("item"))
-    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
+    items = F.sort_array(F.collect_list(item))["item"]
     replies = li.groupBy("l_orderkey").agg(F.concat(F.lit("Here you are: "), F.to_json(F.struct(F.lit("note").alias("note"), items.alias("slots"))), F.lit(" Enjoy.")).alias("reply"))
     plans = li.select("l_orderkey").distinct().select("l_orderkey", (20.0 + F.col("l_orderkey") % 3 * 20).alias("duration"), F.lit(2.0).alias("bar"), (1 + F.col("l_orderkey") % 2).alias("grain"))
     slots = li.select("l_orderkey", F.col("l_linenumber").alias("slot"), F.lit("drop").alias("drum_pattern"), F.col("l_discount").alias("source_gain"), F.lit(0.0).alias("source_start"), F.col("l_linestatus").alias("source_label"))

@@ -122,3 +122,10 @@ def test_greedy_choices_over_batches_runs_and_nulls(spark):
             assert len(got) == len(want) and set(got) == want
     finally:
         spark.conf.set(size, before)
+
+
+def test_each_part_of_an_instruction_is_read_once(spark, tmp_path):
+    duckdb.connect().execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet' WHERE l_orderkey < 40) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    df = QUERIES["plan_patches"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(") <= 16 and df.count() > 0  # 13, eight of them in a filter on the index; it was 36, as each condition read its part anew
