@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.session import ship
+from cadenza.session import Workbench, ship
 
 
 def phase_error(t: Column, step: int, origin: Column | int = 0) -> Column:
@@ -173,19 +173,23 @@ def layer_report(rows: DataFrame, key: str, t: str, weight: str, order: str, bea
     """All measures of a layer of onsets against its grid, and what is wrong with it: phase_report(), comb() and bar_phase() of each group.
 
     The strength of a beat is the weight of the onsets nearest to it. The 90th percentile and the share within the limit are judged only for a
-    source layer; a comb counts if it is sharp, a bar phase if its margin is clear.
+    source layer; a comb counts if it is sharp, a bar phase if its margin is clear. Each measure is stored, as a task that joins them would hold the sorted rows of all.
     """
+    bench = Workbench(rows.sparkSession)
     phase = phase_report(rows, [key], t, weight, order, beat // division, close, limits).drop("problems", "ok")
     near = rows.select(key, F.floor((F.col(t) + beat // 2) / beat).alias("__i"), F.col(weight).cast("double").alias("__w")).groupBy(key, "__i").agg(F.sum("__w").alias("__w"))
     bars = bar_phase(near, key, "__i", "__w").select(key, F.col("phase").alias("bar_phase"), F.col("margin").alias("bar_margin"))
-    out = phase.join(comb(rows, [key], t, weight, beat), key).join(bars, key).withColumn("division", F.lit(division))
+    phase, combed, bars = bench.put(phase), bench.put(comb(rows, [key], t, weight, beat)), bench.put(bars)
+    out = phase.join(combed, key).join(bars, key).withColumn("division", F.lit(division))
     judged = lambda c: c if source else F.lit(False)
     found = {
         "median": F.col("median") > limits[0], "p90": judged(F.col("p90") > limits[1]), "within": judged(F.col("within") < limits[2]),
         "beat": (F.col("alignment") != "grid") & (F.col("sharpness") > 0.05), "bar": (F.col("bar_phase") != 0) & (F.col("bar_margin") > 0.08),
     }
     problems = F.filter(F.array(*(F.when(c, k) for k, c in found.items())), lambda x: x.isNotNull())
-    return out.withColumn("problems", F.array_join(problems, ",")).withColumn("ok", F.col("problems") == "")
+    out = bench.put(out.withColumn("problems", F.array_join(problems, ",")).withColumn("ok", F.col("problems") == ""), keep=True)
+    bench.clear()
+    return out
 
 
 def kick_collision(rows: DataFrame, keys: list[str], t: str, weight: str, beat: int, tolerance: int = 40_000) -> DataFrame:

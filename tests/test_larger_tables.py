@@ -129,3 +129,9 @@ def test_each_part_of_an_instruction_is_read_once(spark, tmp_path):
     df = QUERIES["plan_patches"](spark, str(tmp_path))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("schemaOfVariant(") <= 16 and df.count() > 0  # 13, eight of them in a filter on the index; it was 36, as each condition read its part anew
+
+
+def test_layer_report_stores_its_measures(spark, tmp_path):
+    duckdb.connect().execute(f"COPY ({_events('(1, 3, 1.0), (2, 22, 4.0), (2, 62, 1.0)')}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES["layer_report"](spark, str(tmp_path))
+    assert "Window" not in df._jdf.queryExecution().toString() and df.count() == 2  # one task held the sorted rows of all measures
