@@ -324,9 +324,15 @@ WITH {E_}, b AS (SELECT user_id, t // 86400000000 AS bar, event_type, sum(value)
      c AS (SELECT user_id, bar, CASE WHEN (s1 - s2) / s1 >= 0.25 THEN top END AS chord FROM g)
 SELECT user_id, bar, coalesce(last_value(chord IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY bar ROWS UNBOUNDED PRECEDING), 'none') AS chord FROM c""")
 def template_match_carry(spark, sf_dir):
-    """The strongest kind of each day; where it leads by less than a quarter, the day before it decides."""
-    days = _events(spark, sf_dir, "event_type").groupBy("user_id", F.floor(F.col("t") / (24 * HOUR)).alias("bar"), "event_type").agg(F.sum("value").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("user_id", "bar").orderBy(F.desc("s"), "event_type"))
+    """The strongest kind of each day; where it leads by less than a quarter, the day before it decides.
+
+    A lead of just a quarter hangs on the last bit of the sums, so each is added up in the order of its events: the same for any files and partitions, and SQL's sum on one thread.
+    """
+    e = _events(spark, sf_dir, "event_type").withColumn("bar", F.expr("t div 86400000000")).repartition("user_id", "bar")
+    events = Window.partitionBy("user_id", "bar", "event_type").orderBy("event_id", "t", "value")
+    sums = F.sum("value").over(events.rowsBetween(Window.unboundedPreceding, 0))
+    days = e.select("user_id", "bar", "event_type", sums.alias("s"), F.lead(F.lit(True)).over(events).alias("more")).where("more IS NULL")
+    rank = F.row_number().over(Window.partitionBy("user_id", "bar").orderBy(F.desc("s"), F.asc_nulls_last("event_type")))
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     g = days.withColumn("k", rank).groupBy("user_id", "bar").agg(pick(1, "event_type").alias("top"), pick(1, "s").alias("s1"), F.coalesce(pick(2, "s"), F.lit(0.0)).alias("s2"))
     # a day of no weight has no lead to measure: its first kind stands, as in SQL, where 0 / 0 is no number and above all

@@ -39,6 +39,32 @@ def test_template_match_carry_takes_days_of_no_weight(against_sql):
     assert [r["chord"] for r in sorted(got, key=lambda r: r["bar"])] == ["click", "click", "buy", "view", "view", "view"]
 
 
+def test_template_match_carry_adds_in_the_order_of_events(spark, tmp_path):
+    """Leads of just a quarter hang on the last bit of the sums, and here the first event of each kind is in a file of its own."""
+    days = [
+        ((2.55, 57.92, 61.21), (91.26,)), ((23.1, 12.73, 102.69), (38.34, 42.36, 23.19)), ((70.92,), (28.41, 16.93, 7.73, 0.12)), ((103.84,), (5.59, 56.65, 8.05, 7.59)),
+        ((1.52, 34.39, 21.41), (42.99,)), ((149.52,), (57.46, 7.75, 46.93)), ((92.77, 38.87), (30.84, 45.46, 22.43)), ((59.8, 5.46, 24.14), (67.05,)),
+    ]
+    events = [(place, user, kind, x) for user, kinds in enumerate(days) for kind, xs in zip(("view", "click"), kinds) for place, x in enumerate(xs)]
+    con, folder = duckdb.connect(), tmp_path / "events.parquet"
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET threads = 1")
+    folder.mkdir()
+    for part, rows in enumerate(([e for e in events if e[0] == 0], [e for e in events if e[0] > 0])):
+        rows = ", ".join(f"({p}, {u}, '{k}', {x})" for p, u, k, x in rows)
+        con.execute(f"COPY (SELECT (1000 * p + 10 * u + (k = 'view')::INT)::BIGINT AS event_id, TIMESTAMP '2024-01-01 01:00:00' + INTERVAL 1 HOUR * p AS ts, u::BIGINT AS user_id, k AS event_type, x::DOUBLE AS value, '' AS props FROM (VALUES {rows}) AS x(p, u, k, x)) TO '{folder}/{part}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet' ORDER BY event_id")
+    got = {r["user_id"]: r["chord"] for r in QUERIES["template_match_carry"](spark, str(tmp_path)).collect()}
+    assert got == {u: chord for u, _, chord in con.execute(ORACLES["template_match_carry"]).fetchall()}
+    assert [got[u] for u in range(8)] == ["view", "none", "none", "view", "view", "none", "view", "none"]
+
+
+def test_template_match_carry_before_1970_and_without_a_kind(against_sql):
+    rows = "(0, '1969-12-31 12:00:00', 'view', 1.0), (1, '1970-01-01 12:00:00', 'click', 2.0), (2, '1970-01-02 12:00:00', NULL, 0.0), (3, '1970-01-02 13:00:00', 'buy', 0.0), (4, '1970-01-03 12:00:00', NULL, 5.0)"
+    got = against_sql("template_match_carry", events=f"SELECT i::BIGINT AS event_id, t::TIMESTAMP AS ts, 7::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, '' AS props FROM (VALUES {rows}) AS x(i, t, k, v)")
+    assert [(r["bar"], r["chord"]) for r in sorted(got, key=lambda r: r["bar"])] == [(0, "click"), (1, "buy"), (2, "buy")]
+
+
 def test_forms_of_fixed_parts_and_far_lengths(spark):
     rows = spark.createDataFrame([(0, [("build", 8), ("break", 4)], 40), (1, [("intro", 0), ("build", 8), ("outro", 0)], 1000), (2, [("intro", 16), ("drop", 16)], 36), (3, [("intro", 16), ("drop", 16)], 60), (4, [], 8)], "k int, parts array<struct<kind:string,bars:int>>, bars int")
     got = {r["k"]: [x["bars"] for x in r["p"]] for r in rows.select("k", arrangement.scaled(F.col("parts"), F.col("bars")).alias("p")).collect()}
