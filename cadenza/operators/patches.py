@@ -54,33 +54,49 @@ def _typed(items: DataFrame, key: str) -> DataFrame:
 def instructions(replies: DataFrame, slots: DataFrame, plans: DataFrame, key: str, text: str = "reply") -> DataFrame:
     """key, k (the instruction's place), slot, field, value, number, taken and reason of each field of each instruction.
 
-    replies: key, text. slots: key, slot. plans: key, duration, bar (seconds) and grain (bars of the source's lines); one row each. An instruction without a known slot is one
+    replies: key, text. slots: key, slot (a whole number). plans: key, duration, bar (seconds) and grain (bars of the source's lines); one row each. An instruction without a known slot is one
     row without a field; so is one that has none of the fields, which counts as taken. Replies that can't be read, and those of unknown plans, give no rows.
     """
     read = replies.select(key, reply_object(F.col(text)).alias("o"))
     items = read.select(key, F.posexplode(_got(F.col("o"), "$.slots", "array<variant>")).alias("k", "item"))
     line = F.greatest(F.lit(1), F.col("grain").cast("int")) * F.col("bar")
-    known = _typed(items, key).join(plans.select(key, "duration", "bar", "grain"), key).join(slots.select(key, "slot").distinct().withColumn("known", F.lit(True)), [key, "slot"], "left")
-    known = known.withColumn("line", line).withColumn("moved", F.when(F.col("line") > 0, F.rint(F.col("source_start") / F.col("line")) * F.col("line")).otherwise(0.0))
+    asked = _typed(items, key).join(plans.select(key, "duration", "bar", "grain"), key)
+    asked = asked.withColumn("line", line).withColumn("moved", F.when(F.col("line") > 0, F.rint(F.col("source_start") / F.col("line")) * F.col("line")).otherwise(0.0))
 
     pattern, gain, start, label, moved = (F.col(c) for c in (*FIELDS, "moved"))
     within = lambda x: (x >= 0) & (x < F.col("duration"))
-    none = F.lit(None)
-
-    def said(field: str, value: Column, number: Column, *reasons: tuple[Column, str]) -> Column:
+    # of each field what it becomes, and what speaks against it
+    values = dict(zip(FIELDS, (pattern, gain, moved, F.substring(label, 1, LABEL)), strict=True))
+    against = {
+        "drum_pattern": ((pattern.isNull(), "no text"), (~pattern.isin(*PATTERNS), "no such pattern")),
+        "source_gain": ((gain.isNull(), "no number"), (~gain.between(0.0, 1.0), "not from 0 to 1")),
+        "source_start": ((start.isNull(), "no number"), (~within(start), "outside of the source"), (~within(moved), "no line of the source there")),
+        "source_label": ((label.isNull(), "no text"), (label == "", "empty")),
+    }
+
+    def refusal(field: str) -> Column:
+        """Which reason is the first against a field; null where it is taken, or not there."""
+        number = F.lit(None).cast("int")
+        for i, (when, _) in reversed([*enumerate(against[field], 1)]):
+            number = F.when(F.coalesce(when, F.lit(True)), i).otherwise(number)
+        return F.when(F.col(f"has_{field}"), number)
+
+    def said(field: str) -> Column:
         reason = F.lit(None).cast("string")
-        for when, what in reversed(reasons):
-            reason = F.when(F.coalesce(when, F.lit(True)), what).otherwise(reason)
+        for i, (_, what) in enumerate(against[field], 1):
+            reason = F.when(F.col(f"no_{field}") == i, what).otherwise(reason)
+        value, number = (F.col(field), F.lit(None)) if field in ("drum_pattern", "source_label") else (F.lit(None), F.col(field))
         parts = (F.lit(field).alias("field"), value.cast("string").alias("value"), number.cast("double").alias("number"), reason.alias("reason"))
-        return F.when(F.col(f"has_{field}"), F.struct(*parts))
-
-    fields = F.array(
-        said("drum_pattern", pattern, none, (pattern.isNull(), "no text"), (~pattern.isin(*PATTERNS), "no such pattern")),
-        said("source_gain", none, gain, (gain.isNull(), "no number"), (~gain.between(0.0, 1.0), "not from 0 to 1")),
-        said("source_start", none, moved, (start.isNull(), "no number"), (~within(start), "outside of the source"), (~within(moved), "no line of the source there")),
-        said("source_label", F.substring(label, 1, LABEL), none, (label.isNull(), "no text"), (label == "", "empty")),
-    )
-    fields = F.filter(fields, lambda f: f.isNotNull())
+        return F.when(F.col(field).isNotNull() | F.col(f"no_{field}").isNotNull(), F.struct(*parts))
+
+    # fields are taken or refused before slots are looked up: what they were read from, what is refused and what the plan says of itself aren't shuffled
+    asked = asked.select("*", *(refusal(f).alias(f"no_{f}") for f in FIELDS))
+    kept = (F.when(F.col(f"has_{f}") & F.col(f"no_{f}").isNull(), values[f]).alias(f) for f in FIELDS)
+    asked = asked.select(key, "k", "slot", *kept, *(f"no_{f}" for f in FIELDS))
+    # slot gets the type that it has in asked, so that the rows of distinct() lie as the join needs them
+    there = slots.select(key, F.col("slot").cast("long").alias("slot")).distinct().withColumn("known", F.lit(True))
+    known = asked.join(there, [key, "slot"], "left")
+    fields = F.filter(F.array(*map(said, FIELDS)), lambda f: f.isNotNull())
     rows = known.withColumn("fields", F.when(F.col("known"), fields).otherwise(F.array().cast("array<struct<field: string, value: string, number: double, reason: string>>")))
     rows = rows.select(key, "k", "slot", "known", F.explode_outer("fields").alias("f"))
     reason = F.when(F.col("slot").isNull(), "no slot").when(F.col("known").isNull(), "no such slot").otherwise(F.col("f.reason"))
@@ -92,7 +108,7 @@ def patched(slots: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """slots (key, slot, drum_pattern, source_gain, source_start, source_label, ...) after instructions(), with how many of its fields were taken and refused."""
     last = lambda field, c: F.max_by(F.when((F.col("field") == field) & F.col("taken"), F.col(c)), F.when((F.col("field") == field) & F.col("taken"), F.col("k")))
     columns = dict(zip(FIELDS, ("value", "number", "number", "value"), strict=True))
-    own = found.where("field is not null").groupBy(key, "slot").agg(*(last(f, c).alias(f"__{f}") for f, c in columns.items()), F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("refused"))
+    own = found.where("field is not null").groupBy(key, "slot").agg(*(last(f, c).alias(f"__{f}") for f, c in columns.items()), F.count_if("taken").alias("taken"), (F.count("taken") - F.count_if("taken")).alias("refused"))
     rows = slots.join(own, [key, "slot"], "left")
     changed = {f: F.coalesce(f"__{f}", f).alias(f) for f in FIELDS}
     return rows.select(*(changed.get(c, F.col(c)) for c in slots.columns), F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("refused", F.lit(0)).alias("refused"))

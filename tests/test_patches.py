@@ -76,3 +76,43 @@ def test_patches_equal_a_loop(spark):
     assert reasons == {None, "no slot", "no such slot", "no text", "no number", "no such pattern", "not from 0 to 1", "outside of the source", "no line of the source there", "empty"}
     assert all((r["reason"] is None) == r["taken"] for r in found.collect()) and notes[999]["usable"] is False
     assert P.patched(table, found.limit(0), "plan").where("taken + refused > 0").count() == 0
+
+
+def _plain(spark, build):
+    """The optimized and the physical plan of what build makes, without broadcasts and changes while it runs."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        done = build()._jdf.queryExecution()
+        return done.optimizedPlan().toString(), done.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_slots_are_shuffled_once_for_the_lookup_and_only_outcomes_go_to_it(spark):
+    slots = spark.createDataFrame([(1, 0, "drop", 0.5, 0.0, "a")], "plan int, slot int, drum_pattern string, source_gain double, source_start double, source_label string").repartition(2)
+    asked, plans = spark.createDataFrame([(1, '{"slots":[{"index":0}]}')], "plan int, reply string").repartition(2), spark.createDataFrame([(1, 30.0, 2.0, 1)], "plan int, duration double, bar double, grain int").repartition(2)
+    logical, physical = _plain(spark, lambda: P.patched(slots, P.instructions(asked, slots, plans, "plan"), "plan"))
+    # instructions and plans by plan, instructions, known slots and slots by plan and slot; known slots were shuffled again, as their numbers had another type
+    assert physical.count("Exchange hashpartitioning") == 5
+    lines = logical.splitlines()
+    below = lines[max(i for i, x in enumerate(lines) if "Join LeftOuter" in x) + 1]  # what is joined with the known slots
+    assert "no_source_gain" in below and not any(x in below.split("CASE")[0] for x in ("duration", "grain", "has_"))
+
+
+def test_odd_rows_of_replies_slots_and_plans(spark):
+    table = [(1, 0, "drop", 0.5, 0.0, "a"), (1, 0, "drop", 0.6, 0.0, "b"), (1, None, "drop", 0.7, 0.0, "c"), (None, 0, "drop", 0.8, 0.0, "d"), (2, 0, None, None, None, None)]
+    slots = spark.createDataFrame(table, "plan int, slot int, drum_pattern string, source_gain double, source_start double, source_label string")
+    said = '{"slots":[{"index":0,"source_gain":0.25,"source_start":5},{"index":0,"source_gain":2},{"index":null,"source_gain":0.1},{"index":7,"source_label":"x"},{"index":0}]}'
+    asked = spark.createDataFrame([(1, said), (None, said), (2, None), (3, said)], "plan int, reply string")
+    plans = spark.createDataFrame([(1, None, 2.0, 1), (None, 30.0, 2.0, 1), (2, 30.0, 2.0, 1)], "plan int, duration double, bar double, grain int")
+    found = P.instructions(asked, slots, plans, "plan")
+    assert found.columns == ["plan", "k", "slot", "field", "value", "number", "taken", "reason"] and dict(found.dtypes)["slot"] == "bigint"
+    want = {(1, 0, 0, "source_gain", 0.25, True, None), (1, 0, 0, "source_start", None, False, "outside of the source"), (1, 1, 0, "source_gain", None, False, "not from 0 to 1"), (1, 2, None, None, None, False, "no slot"), (1, 3, 7, None, None, False, "no such slot"), (1, 4, 0, None, None, True, None)}
+    rows = [(r["plan"], r["k"], r["slot"], r["field"], r["number"], r["taken"], r["reason"]) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want and found.where("value is not null").count() == 0
+    got = sorted((tuple(r) for r in P.patched(slots, found, "plan").collect()), key=repr)
+    assert got == sorted([(1, 0, "drop", 0.25, 0.0, "a", 1, 2), (1, 0, "drop", 0.25, 0.0, "b", 1, 2), (1, None, "drop", 0.7, 0.0, "c", 0, 0), (None, 0, "drop", 0.8, 0.0, "d", 0, 0), (2, 0, None, None, None, None, 0, 0)], key=repr)
