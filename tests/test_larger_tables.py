@@ -161,3 +161,31 @@ def test_layer_report_stores_its_measures(spark, tmp_path):
     duckdb.connect().execute(f"COPY ({_events('(1, 3, 1.0), (2, 22, 4.0), (2, 62, 1.0)')}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     df = QUERIES["layer_report"](spark, str(tmp_path))
     assert "Window" not in df._jdf.queryExecution().toString() and df.count() == 2  # one task held the sorted rows of all measures
+
+
+def test_sections_are_picked_without_a_row_for_each_want(spark):
+    rng = random.Random(5)
+    some = lambda *c: rng.choice(c)
+    columns = ("track", "o", "start", "end", "label", "energy")
+    rows = [(some(None, 1, 2, 3, 4), some(None, 1, 2, 3), some(0.0, 10.0, None), some(30.0, 60.0, 90.0, None), some("hook", "verse", "section", "", None), some(0.0, 0.2, 0.9, 0.9, -0.1, None, float("nan"))) for _ in range(60)]
+    rows = [*rows, *rows[:7], (5, 1, 0.0, 9.0, "section", 0.5), (5, 1, 0.0, 9.0, "section", 0.5)]  # sections that come twice
+    df = arrangement.picked(spark.createDataFrame(rows, "track long, o long, start double, end double, label string, energy double"), "track", "o")
+
+    up = lambda x: (0, 0) if x is None else (2, 0) if x != x else (1, x)  # noqa: E731  as Spark orders: nulls first, NaN last
+    of = lambda x, f: None if x is None else f(x)
+
+    def cost(want, _, __, start, end, label, energy):
+        length = 40.0 if start is None or end is None else min(end - start, 40.0)  # least() passes nulls over
+        other = {"drop": of(label, lambda x: x != "hook"), "breakdown": of(label, lambda x: x not in ("verse", "breakdown", "intro")), "intro": False}[want]
+        return other, of(energy, lambda x: -x * length) if want == "drop" else energy
+
+    want = set()
+    for track in (None, 1, 2, 3, 4, 5):
+        for w in ("drop", "breakdown", "intro"):
+            best = min((r for r in rows if r[0] == track), key=lambda r: [up(x) for x in (*cost(w, *r), *r[1:])])
+            want.add(repr((track, w, *best[1:])))
+    assert df.columns == [columns[0], "want", *columns[1:]] and dict(df.dtypes)["energy"] == "double"
+    got = [repr(tuple(r)) for r in df.collect()]
+    assert len(got) == 18 and set(got) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[plan.index("Aggregate") :]  # three rows for each section were sorted, on both sides of the shuffle
